@@ -71,7 +71,7 @@ def _present(w: Words, useful: np.ndarray | None = None) -> tuple[np.ndarray, np
     return np.concatenate([row, shape_row]), np.concatenate([feature, bins])
 
 
-def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, features: int = 4000, steps: int = 200, rate: float = 0.05, l2: float = 0.5, least_z: float = 5.0) -> Model:
+def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, features: int = 4000, steps: int = 200, rate: float = 0.05, l2: float = 0.5, least_z: float = 4.0) -> Model:
     """The model from rated texts. Features are chosen by the z-score of their presence between neighbouring grade
     splits; the weights minimise the penalised negative log-likelihood by Adam steps over the whole sample."""
     grades = np.asarray(grades, np.int64)
@@ -92,7 +92,7 @@ def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, feat
         here = (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
         z = np.where(np.abs(here) > np.abs(z), here, z)
     count = np.bincount(feature, minlength=SIZE)
-    z[count < 5] = 0
+    z[count < 4] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:features]
     chosen = chosen[np.abs(z[chosen]) >= least_z]
     index = np.full(SIZE, -1, np.int64)
