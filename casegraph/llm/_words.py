@@ -51,7 +51,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 @dataclass
 class Words:
     raw: np.ndarray  # the slice's bytes as they are
-    buf: np.ndarray  # lower-cased A-Z
+    buf: np.ndarray  # what is hashed: lower-cased A-Z, unless fold is off
     bounds: np.ndarray  # byte offsets of the rows, one more than rows
     start: np.ndarray
     end: np.ndarray
@@ -82,7 +82,7 @@ def rolled(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return mixed(out[at]), at
 
 
-def sliced(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray = ALNUM, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def sliced(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray = ALNUM, most: int = SLICE_BYTES, fold: bool = True) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of successive slices; a null text has no words."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -93,11 +93,11 @@ def sliced(column: pa.Array | pa.ChunkedArray, is_word: np.ndarray = ALNUM, most
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        yield first, last, words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], is_word)
+        yield first, last, words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], is_word, fold)
         first = last
 
 
-def words(raw: np.ndarray, bounds: np.ndarray, is_word: np.ndarray = ALNUM) -> Words:
+def words(raw: np.ndarray, bounds: np.ndarray, is_word: np.ndarray = ALNUM, fold: bool = True) -> Words:
     n = len(raw)
     _grown(n + 1)
     inside = np.zeros(n + 2, bool)
@@ -108,7 +108,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, is_word: np.ndarray = ALNUM) -> W
     begins[cut] = inside[cut + 1]
     ends[cut - 1] = inside[cut]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    buf = LOWER[raw]
+    buf = LOWER[raw] if fold else raw
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[buf] * _powers[0][:n], out=prefix[1:])
     return Words(raw, buf, bounds, start, end, np.searchsorted(bounds, start, "right") - 1, prefix)

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import written
+from ._words import mixed, sliced
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 18
-CACHE_PIECES = 400_000
+CACHE_PIECES = 3_000_000
+SLICE = 2 << 20
 LEVEL = 1
 
 
@@ -39,11 +41,11 @@ def encode(ids: np.ndarray, docs: list[int | None], counts: np.ndarray) -> bytes
     pack = zstandard.ZstdCompressor(level=LEVEL).compress
     planes, zeros = [], []
     for bit in range(bits - 1, -1, -1):
-        one = (a >> a.dtype.type(bit) & a.dtype.type(1)).astype(bool)
+        one = (a & a.dtype.type(1 << bit)) != 0
         planes.append(pack(np.packbits(one, bitorder="little").tobytes()))
-        low = a[~one]
+        low = np.compress(~one, a)
         zeros.append(len(low))
-        a = np.concatenate([low, a[one]])
+        a = np.concatenate([low, np.compress(one, a)])
     known = np.array([d if d is not None else 0 for d in docs], np.int64)
     keys = pack(np.diff(known, prepend=np.int64(0)).tobytes() + np.array([d is None for d in docs], np.uint8).tobytes())
     sizes = pack(np.ascontiguousarray(counts, "<u4").tobytes())
@@ -100,8 +102,8 @@ class Shard:
         for level in range(self.bits - 1, -1, -1):
             one = self.plane(level)
             b = np.empty_like(a)
-            b[~one] = a[: self.zeros[level]]
-            b[one] = a[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            b[np.flatnonzero(~one)] = a[: self.zeros[level]]
+            b[np.flatnonzero(one)] = a[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             a = b
         return a.astype(np.uint32)
 
@@ -162,53 +164,148 @@ class Shard:
 # --- tokens ---
 
 
+class Table:
+    """Open-addressed table from non-zero 64-bit keys to numbers, all operations on arrays."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where a key is missing."""
+        out = np.full(len(keys), -1, np.int32)
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            have = self.keys[at]
+            same = have == keys[todo]
+            out[todo[same]] = self.values[at[same]]
+            on = ~same & (have != 0)
+            todo, at = todo[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds different keys that are not there."""
+        if (self.size + len(keys)) * 2 > len(self.keys):
+            used = self.keys != 0
+            old = self.keys[used], self.values[used]
+            self.__init__(max(self.bits + 1, int(4 * (self.size + len(keys))).bit_length()))
+            self.put(*old)
+        self.size += len(keys)
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            slot, first = np.unique(at, return_index=True)
+            first = first[self.keys[slot] == 0]
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+
+_PIECE = np.ones(256, bool)
+_PIECE[32] = False
+_BAD = -2
+_FIRST = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
 class Encoder:
     """Ids by the tokenizers library. Where a single space stands between two other characters that are no white space, a
-    byte-level BPE always begins a piece, so the pieces there are encoded apart, each different piece once."""
+    byte-level BPE always begins a piece, so the pieces there are encoded apart, each different piece once: it is known by
+    64 bits of hash and its length. New pieces are encoded side by side in one text and cut where their bytes end."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        pre = json.loads(self.tokenizer.to_str())
-        kind = pre.get("pre_tokenizer") or {}
-        self.pieces = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not pre.get("normalizer")
-        added = pre.get("added_tokens") or []
+        model = json.loads(self.tokenizer.to_str())
+        kind = model.get("pre_tokenizer") or {}
+        added = model.get("added_tokens") or []
+        self.pieces = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not model.get("normalizer")
         self.pieces = self.pieces and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
-        self.cache: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(tokens.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for t, i in tokens.items():
+            self.bytes[i] = len(t)
+        for t in added:
+            self.bytes[t["id"]] = len(t["content"].encode())
+        self._empty()
+
+    def _empty(self) -> None:
+        self.table, self.known, self.used = Table(), 0, 0
+        self.flat, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], spaced: np.ndarray) -> None:
+        """keys: of different new pieces; spaced: a space stands before the piece. Pieces whose white space may join that around
+        them are marked as bad."""
+        text = [p.decode() for p in pieces]
+        bad = np.fromiter((t[-1].isspace() or s and t[0].isspace() for t, s in zip(text, spaced, strict=True)), bool, len(text))
+        self.table.put(keys[bad], np.full(bad.sum(), _BAD, np.int32))
+        alone = np.flatnonzero(~bad & ~spaced)
+        joined = np.flatnonzero(~bad & spaced)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([text[i] for i in alone], add_special_tokens=False)]
+        size = [len(x) for x in ids]
+        parts = [np.array(x, np.uint32) for x in ids]
+        for i in range(0, len(joined), 2000):
+            some = joined[i : i + 2000]
+            got = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(text[k] for k in some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes[got]), np.cumsum([len(pieces[k]) + 1 for k in some])) + 1
+            size += np.diff(ends, prepend=0).tolist()
+            parts.append(got)
+        order, new = np.concatenate([alone, joined]), np.concatenate([*parts, np.zeros(0, np.uint32)])
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(new), len(self.flat)), np.uint32)])
+        if self.known + len(order) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros(max(len(order) + 1, len(self.first)), np.int64)])
+        self.flat[self.used : self.used + len(new)] = new
+        self.first[self.known + 1 : self.known + 1 + len(order)] = self.used + np.cumsum(size)
+        self.table.put(keys[order], np.arange(self.known, self.known + len(order), dtype=np.int32))
+        self.known, self.used = self.known + len(order), self.used + len(new)
+
+    def whole(self, text: str | None) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if text else np.zeros(0, np.uint32)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; a null text has none."""
         if not self.pieces:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache, self.ids = {}, []
-        split = [(t or "").split(" ") for t in texts]
-        for words in split:  # the first piece has no space before it; a space, which no other piece has, marks it
-            words[0] = " " + words[0]
-        new = list({w for words in split for w in words} - self.cache.keys())
-        plain = [w for w in new if w and not w[-1].isspace() and (w[0] == " " or not w[0].isspace())]
-        bad = set(new).difference(plain)
-        for w in bad:
-            self.cache[w] = -1
-        for e, w in zip(self.tokenizer.encode_batch_fast([w[1:] if w[0] == " " else " " + w for w in plain], add_special_tokens=False), plain, strict=True):
-            self.cache[w] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.uint32))
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        size = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        first = np.cumsum(size) - size
-        out, get = [], self.cache.__getitem__
-        for text, words in zip(texts, split, strict=True):
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            if at.min() < 0:
-                out.append(self._whole(text or ""))  # spaces next to other white space: as a whole
-                continue
-            n = size[at]
-            out.append(flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)])
-        return out
+            for t in texts:
+                yield self.whole(t.as_py())
+            return
+        for base, last, w in sliced(texts, _PIECE, fold=False, most=SLICE):
+            if self.known > CACHE_PIECES:
+                self._empty()
+            n, rows = len(w.start), last - base
+            lead = np.ones(n, bool)
+            lead[1:] = w.row[1:] != w.row[:-1]
+            keys = mixed(w.word_hash() + (w.end - w.start).astype(np.uint64)) ^ np.where(lead, _FIRST, np.uint64(0))
+            keys[keys == 0] = 1
+            at = self.table.get(keys)
+            if len(miss := np.flatnonzero(at == -1)):
+                new, where = np.unique(keys[miss], return_index=True)
+                where = miss[where]
+                raw = w.raw.tobytes()
+                self._learn(new, [raw[a:b] for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)], ~lead[where])
+                at[miss] = self.table.get(keys[miss])
+            # rows with spaces at an end or side by side, or with bad pieces, are encoded as wholes
+            odd = np.bincount(w.row[at == _BAD], minlength=rows) > 0
+            space = np.bincount(np.searchsorted(w.bounds, np.flatnonzero(w.raw == 32), "right") - 1, minlength=rows)
+            odd |= space != np.maximum(np.bincount(w.row, minlength=rows) - 1, 0)
+            at = np.maximum(at, 0)
+            first = self.first[at]
+            size = self.first[at + 1] - first
+            ids = self.flat[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)] if n else np.zeros(0, np.uint32)
+            ends = np.cumsum(np.bincount(w.row, weights=size, minlength=rows).astype(np.int64))
+            for r in range(rows):
+                yield self.whole(texts[base + r].as_py()) if odd[r] else ids[(ends[r - 1] if r else 0) : ends[r]]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process, so that known pieces stay known."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -222,25 +319,22 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None = 2, doc_id: str =
     end = [] if end_id is None else [end_id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seq, done = Encoder(path), 0, 0
+        seq, done, held = 0, 0, 0
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
-        held = 0
 
         def shard() -> pa.RecordBatch:
             blob = encode(np.concatenate(ids), keys, np.array([len(x) for x in ids]))
             return pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([done], pa.int64()), pa.array([held], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([blob], pa.binary())], names=["seq", "part_start", "tokens", "docs", "blob"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                for key, x in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids.append(np.concatenate([x, np.array(end, np.uint32)]))
-                    keys.append(key)
-                    held += len(ids[-1])
-                    if held >= shard_tokens:
-                        yield shard()
-                        seq, done, held, ids, keys = seq + 1, done + held, 0, [], []
+            for key, x in zip(b.column(0).to_pylist(), encoder(path).encode(b.column(1)), strict=True):
+                ids.append(np.concatenate([x, np.array(end, np.uint32)]))
+                keys.append(key)
+                held += len(ids[-1])
+                if held >= shard_tokens:
+                    yield shard()
+                    seq, done, held, ids, keys = seq + 1, done + held, 0, [], []
         if keys:
             yield shard()
 
