@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import fresh_name
+from ..operators.store import fresh_name
 from ._words import rolled, sliced
 
 SHINGLE = 5

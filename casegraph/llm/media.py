@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import written
+from ..operators.store import written
 
 UNIT = 192  # bytes of one image row: 64 pixels of three samples
 TILE = 16

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import fresh_name, written
+from ..operators.store import fresh_name, written
 
 DIMENSIONS = ("source", "lang", "topic")
 SWEEPS_A_ROUND = 4

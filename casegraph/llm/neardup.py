@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import fresh_name, written
-from .components import components
+from ..operators.store import fresh_name, written
+from ..operators.components import components
 
 RADIUS = 3
 SEED = 42

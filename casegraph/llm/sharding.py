@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import fresh_name, written
+from ..operators.store import fresh_name, written
 
 
 def _sizes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import written
+from ..operators.store import written
 from ._words import mixed, sliced
 
 MAGIC = b"WVM1"
