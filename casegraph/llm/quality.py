@@ -1,8 +1,9 @@
 """Ordinal regression on graded ratings: a cumulative-link (proportional odds) model over hashed text features.
 
 P(grade >= j) = sigmoid(w . x - t_j) with one weight vector for all grades and thresholds t_1 < t_2. The features are the
-presence of hashed words and word prefixes, and of bins of a few shape ratios (upper case, symbols, digits,
-what is no word). Only features that tell the grades apart beyond chance in the training sample get weights.
+presence of hashed words and word prefixes, and of bins of a few shape ratios (upper case, symbols, digits, what is no
+word, words that repeat the one before). Only features that tell the grades apart beyond chance in the training sample get
+weights, and of words only those that speak for a lower grade.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ._words import Words, sliced
 
 BITS = 20
 PREFIXES = (4, 5, 6)
-SHAPES = 5
+SHAPES = 6
 EDGES = np.array([0.0, 0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8])
 SIZE = (1 << BITS) + SHAPES * (len(EDGES) + 1)
 _CLASS = np.zeros((256, 4), np.int64)
@@ -63,6 +64,9 @@ def _present(w: Words, useful: np.ndarray | None = None) -> tuple[np.ndarray, np
         ratios[:, c] = (total[w.bounds[1:]] - total[w.bounds[:-1]]) / size
     letters = np.bincount(w.row, weights=w.end - w.start, minlength=n)
     ratios[:, 4] = 1 - letters / size
+    h = features[0]
+    same = np.flatnonzero((h[1:] == h[:-1]) & (w.row[1:] == w.row[:-1]))
+    ratios[:, 5] = np.bincount(w.row[same], minlength=n) / np.maximum(np.bincount(w.row, minlength=n), 1)
     bins = np.searchsorted(EDGES, ratios, "right") + np.arange(SHAPES) * (len(EDGES) + 1) + (1 << BITS)
     shape_row, bins = np.repeat(np.arange(n), SHAPES), bins.ravel()
     if useful is not None:
@@ -71,34 +75,38 @@ def _present(w: Words, useful: np.ndarray | None = None) -> tuple[np.ndarray, np
     return np.concatenate([row, shape_row]), np.concatenate([feature, bins])
 
 
-def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, features: int = 4000, steps: int = 200, rate: float = 0.05, l2: float = 0.5, least_z: float = 4.0) -> Model:
+def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, weight_of: np.ndarray | None = None, features: int = 4000, steps: int = 200, rate: float = 0.05, l2: float = 1.0, least_z: float = 6.0) -> Model:
     """The model from rated texts. Features are chosen by the z-score of their presence between neighbouring grade
     splits; the weights minimise the penalised negative log-likelihood by Adam steps over the whole sample."""
     grades = np.asarray(grades, np.int64)
-    row, feature = [], []
-    for first, _, w in sliced(pa.array(texts, pa.large_string())):
+    each = (np.ones(grade_count) if weight_of is None else np.asarray(weight_of, float))[grades]
+    each = each / max(each.sum(), 1e-9)
+    n, texts = len(texts), pa.array(texts, pa.large_string())
+    have = np.zeros((grade_count, SIZE), np.float32)  # first pass: in how many texts of each grade a feature is
+    for first, last, w in sliced(texts, most=1 << 20):
         r, f = _present(w)
-        row.append(r + first)
-        feature.append(f)
-    n = len(texts)
-    row, feature = (np.concatenate(row), np.concatenate(feature)) if row else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    z = np.zeros(SIZE)
+        for j in range(grade_count):
+            have[j] += np.bincount(f[grades[first:last][r] == j], minlength=SIZE).astype(np.float32)
+    z = np.zeros(SIZE, np.float32)
     for j in range(1, grade_count):
-        up = (grades >= j).astype(float)
-        n1, n0 = max(up.sum(), 1), max(n - up.sum(), 1)
-        c1 = np.bincount(feature, weights=up[row], minlength=SIZE)
-        c0 = np.bincount(feature, weights=1 - up[row], minlength=SIZE)
+        n1, n0 = max((grades >= j).sum(), 1), max((grades < j).sum(), 1)
+        c1, c0 = have[j:].sum(0), have[:j].sum(0)
         p = (c1 + c0 + 1) / (n1 + n0 + 2)
         here = (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-        z = np.where(np.abs(here) > np.abs(z), here, z)
-    count = np.bincount(feature, minlength=SIZE)
-    z[count < 4] = 0
+        bigger = np.abs(here) > np.abs(z)
+        bigger[: 1 << BITS] = here[: 1 << BITS] < z[: 1 << BITS]  # words only count against a text: else long texts gather credit
+        z = np.where(bigger, here, z)
+    z[have.sum(0) < 4] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:features]
     chosen = chosen[np.abs(z[chosen]) >= least_z]
     index = np.full(SIZE, -1, np.int64)
     index[chosen] = np.arange(len(chosen))
-    at = np.flatnonzero(index[feature] >= 0)
-    row, col = row[at], index[feature[at]]
+    row, col = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, _, w in sliced(texts, most=1 << 20):  # second pass: which chosen features each text has
+        r, f = _present(w, index >= 0)
+        row.append(r + first)
+        col.append(index[f])
+    row, col = np.concatenate(row), np.concatenate(col)
     theta = np.concatenate([np.zeros(len(chosen)), np.linspace(-1, 1, grade_count - 1) if grade_count > 2 else np.zeros(1)])
     m1, m2, k, i = np.zeros_like(theta), np.zeros_like(theta), len(chosen), np.arange(n)
     for step in range(1, steps + 1):
@@ -108,8 +116,9 @@ def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, feat
         hi, lo = up[i, grades], up[i, grades + 1]
         p = np.maximum(hi - lo, 1e-9)
         dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g = -(dhi - dlo) / n
-        gradient = np.concatenate([np.bincount(col, weights=g[row], minlength=k) + l2 / n * weight, [(dhi[grades == j].sum() - dlo[grades == j - 1].sum()) / n for j in range(1, grade_count)]])
+        dhi, dlo = dhi * each, dlo * each
+        g = -(dhi - dlo)
+        gradient = np.concatenate([np.bincount(col, weights=g[row], minlength=k) + l2 / n * weight, [dhi[grades == j].sum() - dlo[grades == j - 1].sum() for j in range(1, grade_count)]])
         m1 = 0.9 * m1 + 0.1 * gradient
         m2 = 0.99 * m2 + 0.01 * gradient**2
         theta = theta - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
@@ -120,7 +129,7 @@ def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, feat
     return Model(weights, cut)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade_count: int, doc_id: str = "doc_id", text: str = "text", per_grade: int = 2500, longest: int = 100_000, **options) -> Model:
+def fit(docs: DataFrame, ratings: DataFrame, grade_count: int, doc_id: str = "doc_id", text: str = "text", per_grade: int = 1500, longest: int = 50_000, **options) -> Model:
     """Fits on a bounded sample: about `per_grade` rated documents of each grade, drawn by a hash of their id among those of
     at most `longest` bytes; equal texts count once. `ratings`: doc_id, grade (0 .. grade_count - 1; other and null
     grades are left out)."""
@@ -137,7 +146,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_count: int, doc_id: str = "do
     rows = own.join(F.broadcast(picked), "_id").select("_id", "_grade", "_text").collect()
     seen = {r["_text"]: r for r in sorted(rows, key=lambda r: (r["_id"], r["_grade"]))}
     rows = sorted(seen.values(), key=lambda r: r["_id"])
-    return fit_rows([r["_text"] for r in rows], np.array([r["_grade"] for r in rows], np.int64), grade_count, **options)
+    of = np.array([r["_grade"] for r in rows], np.int64)
+    # a grade that was thinned out counts for all its documents
+    weight_of = [counts.get(j, 0) / max((of == j).sum(), 1) for j in range(grade_count)]
+    return fit_rows([r["_text"] for r in rows], of, grade_count, weight_of, **options)
 
 
 def scores(column: pa.Array, model: Model, useful: np.ndarray) -> np.ndarray:
@@ -176,5 +188,5 @@ def rated(docs: DataFrame, model: Model, text: str = "text", least_tail: float =
 
 
 def grades(labels: DataFrame) -> DataFrame:
-    """The graded rating behind the two labels: 0 poor, 1 well written but toxic, 2 well written and clean."""
-    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade"))
+    """The graded rating behind the two labels: 0 toxic, 1 poor, 2 clean and well written; null if a label that decides is."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when((F.col("toxic") == 0) & (F.col("quality") == 0), 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2).alias("grade"))
