@@ -342,16 +342,16 @@ def clustering_agreement(pairs: DataFrame) -> DataFrame:
     c = pairs.groupBy("truth", "found").agg(F.count("*").cast("double").alias("n"))
     choose = lambda x: x * (x - 1) / 2
     a, b = c.groupBy("truth").agg(F.sum("n").alias("n")), c.groupBy("found").agg(F.sum("n").alias("n"))
-    total = c.agg(F.sum("n").alias("N"), F.sum(choose(F.col("n"))).alias("same"))
-    h = lambda t, name: t.crossJoin(F.broadcast(total)).agg(F.sum(choose(F.col("n"))).alias(f"c_{name}"), F.sum(-F.col("n") / F.col("N") * F.log(F.col("n") / F.col("N"))).alias(f"h_{name}"))
+    total = c.agg(F.sum("n").alias("items"), F.sum(choose(F.col("n"))).alias("same"))
+    h = lambda t, name: t.crossJoin(F.broadcast(total)).agg(F.sum(choose(F.col("n"))).alias(f"c_{name}"), F.sum(-F.col("n") / F.col("items") * F.log(F.col("n") / F.col("items"))).alias(f"h_{name}"))
     pure = c.groupBy("found").agg(F.max("n").alias("m")).agg(F.sum("m").alias("pure"))
     joint = h(c, "ab")
     one = total.crossJoin(h(a, "a")).crossJoin(h(b, "b")).crossJoin(joint).crossJoin(pure)  # one row each
-    expected = F.col("c_a") * F.col("c_b") / choose(F.col("N"))
+    expected = F.col("c_a") * F.col("c_b") / choose(F.col("items"))
     top = (F.col("c_a") + F.col("c_b")) / 2
     mutual = F.col("h_a") + F.col("h_b") - F.col("h_ab")
     return one.select(
-        F.when(top == expected, 1.0).otherwise((F.col("same") - expected) / (top - expected)).alias("ari"), F.when(F.col("h_a") + F.col("h_b") == 0, 1.0).otherwise(2 * mutual / (F.col("h_a") + F.col("h_b"))).alias("nmi"), (F.col("pure") / F.col("N")).alias("purity")
+        F.when(top == expected, 1.0).otherwise((F.col("same") - expected) / (top - expected)).alias("ari"), F.when(F.col("h_a") + F.col("h_b") == 0, 1.0).otherwise(2 * mutual / (F.col("h_a") + F.col("h_b"))).alias("nmi"), (F.col("pure") / F.col("items")).alias("purity")
     )
 
 
