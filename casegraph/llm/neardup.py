@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import spread_join
 from ..operators.store import fresh_name, written
 from ..operators.components import components
 
@@ -137,14 +138,15 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     An empty table gives an empty one. Other columns are not read.
     """
     rows = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k=k), "fingerprints")
-    first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    first = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     pairs = links(first, radius)
     nodes = components(pairs)
     linked = nodes.join(first, nodes.node == first.fp).select("node", "component", "first")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     named = linked.join(least, "component").select(F.col("node").alias("fp"), F.col("component_id"))
     of = first.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    total = first.agg(F.sum("n")).head()[0] or 0
+    return spread_join(rows, of, "fp", first, total, F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, radius: int = RADIUS) -> DataFrame:
