@@ -75,7 +75,7 @@ def _present(w: Words, useful: np.ndarray | None = None) -> tuple[np.ndarray, np
     return np.concatenate([row, shape_row]), np.concatenate([feature, bins])
 
 
-def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, weight_of: np.ndarray | None = None, features: int = 4000, steps: int = 200, rate: float = 0.05, l2: float = 1.0, least_z: float = 6.0) -> Model:
+def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, weight_of: np.ndarray | None = None, features: int = 4000, steps: int = 200, rate: float = 0.05, l2: float = 1.0, least_z: float = 4.0) -> Model:
     """The model from rated texts. Features are chosen by the z-score of their presence between neighbouring grade
     splits; the weights minimise the penalised negative log-likelihood by Adam steps over the whole sample."""
     grades = np.asarray(grades, np.int64)
