@@ -249,7 +249,7 @@ def _bfs(near: dict, s) -> dict:
     return dist
 
 
-def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
     """(id, eigenvector): power iteration of the weighted adjacency plus identity within each component, unit length, times the
     component's share of all nodes; components of fewer than three nodes: 0. All components iterate side by side as joins."""
     arcs = written(both_ways(edges, "a", "b", "weight"), "arcs")

@@ -1 +1,119 @@
-"""placeholder"""
+"""Graph queries over the part co-occurrence graph and small closed graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from ..operators.components import components
+from ..operators.edges import both_ways, co_members
+from ..operators.store import written
+from . import Tables, query
+
+PARTS = "m as (select distinct l_orderkey g, l_partkey p from lineitem), pg as (select x.p a, y.p b, cast(count(*) as double) weight from m x join m y on x.g = y.g and x.p < y.p group by 1, 2 having count(*) >= {w})"
+P2, P3 = PARTS.format(w=2), PARTS.format(w=3)
+BOTH = "bw as (select a u, b v, weight from pg union all select b, a, weight from pg)"
+
+
+def parts(t: Tables, least: int) -> DataFrame:
+    e = co_members(t.lineitem, "l_orderkey", "l_partkey").groupBy("a", "b").agg(F.count("*").cast("double").alias("weight")).where(F.col("weight") >= least)
+    return written(e, "parts")
+
+
+@query(f"with {P2}, {BOTH} select u id, cast(count(*) as bigint) degree, sum(weight) weighted_degree from bw group by 1")
+def degree(t: Tables) -> DataFrame:
+    return G.degrees(parts(t, 2))
+
+
+@query(f"with {P2}, {BOTH} select cast(n as bigint) nodes, cast(e as bigint) edges, round(2.0 * e / (n * (n - 1)), 9) density from (select count(distinct u) n, (select count(*) from pg) e from bw)")
+def density(t: Tables) -> DataFrame:
+    return G.density(parts(t, 2)).withColumn("density", F.round("density", 9))
+
+
+@query(f"""with {P2}, {BOTH}, mx as (select max(weight) w from pg), d as (select u, count(*) k from bw group by 1), tr as (select x.u id, sum(cbrt((x.weight / w) * (y.weight / w) * (z.weight / w))) s from bw x join bw y on x.u = y.u and x.v < y.v join pg z on z.a = x.v and z.b = y.v cross join mx group by 1)
+ select d.u id, round(case when k < 2 then 0 else 2 * coalesce(s, 0) / (k * (k - 1)) end, 6) coefficient from d left join tr on d.u = tr.id""")
+def clustering(t: Tables) -> DataFrame:
+    return G.clustering(parts(t, 2)).withColumn("coefficient", F.round("coefficient", 6))
+
+
+@query(f"""with recursive {P3}, {BOTH}, r(id, c) as (select u, u from bw union select v, c from r join bw on u = id) select id, min(c) component from r group by 1""")
+def connected_components(t: Tables) -> DataFrame:
+    return components(parts(t, 3)).select(F.col("node").alias("id"), "component")
+
+
+_RANK = "r{i} as (select v id, 0.15 / n + 0.85 * sum(rank * p) rank from ar join r{p} on u = id cross join nn group by v, n)"
+
+
+@query(f"""with {P2}, {BOTH}, st as (select u, sum(weight) s from bw group by 1), ar as (select u, v, weight / s p from bw join st using (u)), nn as (select count(*) n from st), r0 as (select u id, 1.0 / n rank from st, nn), {', '.join(_RANK.format(i=i, p=i - 1) for i in range(1, 6))}
+ select id, round(cast(rank as decimal(18,9)), 7)::double rank from r5""")
+def pagerank_fixed(t: Tables) -> DataFrame:
+    r = G.pagerank(parts(t, 2), rounds=5, tolerance=0.0)
+    return r.select("id", F.round(F.col("rank").cast("decimal(18,9)"), 7).cast("double").alias("rank"))
+
+
+@query(f"""with {P2}, {BOTH}, d as (select u, count(*) k from bw group by 1), h as (select x.v a, y.v b, count(*) common, sum(1 / ln(k)) aa from bw x join bw y on x.u = y.u and x.v < y.v join d on d.u = x.u group by 1, 2)
+ select h.a, h.b, cast(common as bigint) common, round(aa, 6) adamic_adar, round(common / (da.k + db.k - common), 6) jaccard from h left join pg on pg.a = h.a and pg.b = h.b join d da on da.u = h.a join d db on db.u = h.b where pg.a is null and common >= 2""")
+def link_prediction(t: Tables) -> DataFrame:
+    return G.two_hop(parts(t, 2)).where("common >= 2").select("a", "b", "common", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"""with {P2}, {BOTH}, d as (select u, count(*) k from bw group by 1), com as (select u id, u % 20 c from d), h as (select x.v a, y.v b, count(*) common from bw x join bw y on x.u = y.u and x.v < y.v group by 1, 2)
+ select h.a, h.b, cast(common as bigint) common, round(common / (da.k + db.k - common), 6) jaccard from h left join pg on pg.a = h.a and pg.b = h.b join d da on da.u = h.a join d db on db.u = h.b where pg.a is null and common >= 2 and h.a % 20 = h.b % 20 and round(common / (da.k + db.k - common), 6) >= 0.15""")
+def ghost_pairs(t: Tables) -> DataFrame:
+    from ..plans.scoring import ghosts
+
+    e = parts(t, 2)
+    of = both_ways(e, "a", "b").select(F.col("u").alias("id"), (F.col("u") % 20).alias("community")).distinct()
+    return ghosts(e, of, least_jaccard=0.15).select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"with {P2}, {BOTH}, s as (select 7 id, 0 as hop union all select distinct v, 1 from bw where u = 7), t as (select id, hop from s union all select distinct v, 2 from bw where u in (select id from s)) select id, min(hop) as hop from t group by 1")
+def k_hop_ego(t: Tables) -> DataFrame:
+    return G.ego(parts(t, 2), t.spark.createDataFrame([(7,)], "id long"), 2)
+
+
+@query("""with recursive g as (select 'C'||c_custkey a, 'N'||c_nationkey b from customer where c_custkey < 400 union all select 'S'||s_suppkey, 'N'||s_nationkey from supplier union all select 'N'||n_nationkey, 'R'||n_regionkey from nation), bw as (select a u, b v from g union all select b, a from g),
+ p(at_, path, n) as (select 'C3', ['C3'], 0 union all select v, path || [v], n + 1 from p join bw on u = at_ where n < 6 and not list_contains(path, v) and at_ <> 'S38') select n length, array_to_string(path, '>') as path from p where at_ = 'S38' order by length, path limit 3""")
+def bounded_paths(t: Tables) -> DataFrame:
+    n = lambda df, a, pa, b, pb: df.select(F.concat(F.lit(pa), a).alias("a"), F.concat(F.lit(pb), b).alias("b"))
+    g = n(t.customer.where("c_custkey < 400"), "c_custkey", "C", "c_nationkey", "N").unionAll(n(t.supplier, "s_suppkey", "S", "s_nationkey", "N")).unionAll(n(t.nation, "n_nationkey", "N", "n_regionkey", "R"))
+    return G.paths(g, "C3", "S38", k=3, cutoff=6)
+
+
+@query(f"""with {P3}, {BOTH}, src as (select distinct u id, cast(0.5 + 0.001 * (u % 100) as double) score from bw where u % 3 = 0), h0 as (select id source, id, score, 0 as hop from src), h1 as (select source, v id, score, 1 as hop from h0 join bw on u = id where v <> source),
+ h2 as (select distinct source, v id, score, 2 as hop from h1 join bw on u = id where (source, v) not in (select (source, id) from h0 union all select (source, id) from h1)), h3 as (select distinct source, v id, score, 3 as hop from h2 join bw on u = id where (source, v) not in (select (source, id) from h0 union all select (source, id) from h1 union all select (source, id) from h2)),
+ a as (select * from h1 union all select * from h2 union all select * from h3) select id, round(max(score * case as_hop when 1 then 1.0::double when 2 then 0.3::double else 0.09::double end), 6) risk, cast(min(as_hop) as int) as hop, cast(count(*) as bigint) sources from (select source, id, score, hop as as_hop from a) group by 1""")
+def proximity_3hop(t: Tables) -> DataFrame:
+    e = parts(t, 3)
+    src = both_ways(e, "a", "b").where("u % 3 = 0").select(F.col("u").alias("id")).distinct().withColumn("score", 0.5 + 0.001 * (F.col("id") % 100))
+    return G.proximity(e, src).withColumn("risk", F.round("risk", 6))
+
+
+@query()
+def betweenness_closeness(t: Tables) -> DataFrame:
+    c = G.path_centralities(parts(t, 3))
+    return c.select("id", F.round("betweenness", 9).alias("betweenness"), F.round("closeness", 9).alias("closeness"))
+
+
+@query()
+def eigenvector(t: Tables) -> DataFrame:
+    return G.eigenvector(parts(t, 3)).withColumn("eigenvector", F.round("eigenvector", 6))
+
+
+@query()
+def louvain(t: Tables) -> DataFrame:
+    return G.louvain(parts(t, 3))
+
+
+@query()
+def removal_impact(t: Tables) -> DataFrame:
+    e = parts(t, 3)
+    top = [r["id"] for r in G.degrees(e).orderBy(F.desc("degree"), "id").limit(2).collect()]
+    return G.removal_impact(e, top)
+
+
+@query(f"with {P2}, {BOTH}, d as (select u, count(*) k from bw group by 1), s as (select distinct u id from bw where u % 97 = 0), hubs as (select u from d where k > 12 and u not in (select id from s)), n1 as (select distinct v id from bw where u in (select id from s) and v not in (select u from hubs) union select id from s), n2 as (select distinct v id from bw where u in (select id from n1) and v not in (select u from hubs) union select id from n1) select id from n2")
+def hub_pruned_neighbours(t: Tables) -> DataFrame:
+    e = parts(t, 2)
+    return G.pruned_neighbours(e, both_ways(e, "a", "b").where("u % 97 = 0").select(F.col("u").alias("id")).distinct(), hops=1, most_degree=12)

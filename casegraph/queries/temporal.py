@@ -1 +1,124 @@
-"""placeholder"""
+"""Windows over events, and detectors that are made of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import keys as K
+from ..operators import windows as W
+from . import Tables, query
+
+BURSTS = """h as (select cast(floor(epoch(ts) / 3600) as bigint) as hour, count(*) n from events group by 1), v as (select hour, n, sum(n) over (order by hour range between current row and 5 following) v from h),
+ z as (select hour, n, v, (select sum(n) from h) total, (v - (select avg(v) from v)) / (select case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end from v) z from v)"""
+
+
+@query(f"with {BURSTS} select hour, cast(n as bigint) n, cast(v as bigint) v, round(z, 6) z from z")
+def rolling_burst_zscore(t: Tables) -> DataFrame:
+    return W.rolling_bursts(t.events).select("hour", "n", "v", F.round("z", 6).alias("z"))
+
+
+@query(f"""with recursive {BURSTS}, c as (select hour from z where z >= 1.5), r(hour) as (select min(hour) from c union all select (select min(c.hour) from c where c.hour >= r.hour + 6) from r where (select min(c.hour) from c where c.hour >= r.hour + 6) is not null) select hour from r""")
+def burst_suppressed(t: Tables) -> DataFrame:
+    b = W.rolling_bursts(t.events).where("round(z, 6) >= 1.5").withColumn("g", F.lit(0))
+    return W.suppressed(b, ["g"]).select("hour")
+
+
+@query("""with b as (select user_id, cast(floor(epoch(ts)) as bigint) s from events where value between 40 and 60), n as (select user_id, s, count(*) over (partition by user_id order by s range between current row and 259200 following) n from b),
+ m as (select user_id, max(n) n from n group by 1) select m.user_id, min(s) start, m.n, cast(least(1.0, 0.55 + 0.05 * m.n) as double) score from m join n on m.user_id = n.user_id and m.n = n.n where m.n >= 3 group by all""")
+def structuring_72h(t: Tables) -> DataFrame:
+    b = W.anchored_count(t.events.where("value between 40 and 60"), "user_id")
+    return b.select("user_id", "start", "n", F.least(F.lit(1.0), 0.55 + 0.05 * F.col("n")).alias("score"))
+
+
+@query("""with e as (select event_id, user_id, cast(floor(epoch(ts)) as bigint) s, value, event_type from events), j as (select p.user_id, p.event_id first_id, v.event_id next_id, v.value next_value, row_number() over (partition by p.event_id order by v.value desc, v.event_id) k
+ from e p join e v on v.user_id = p.user_id and v.event_type = 'view' and v.s between p.s and p.s + 345600 where p.event_type = 'purchase') select user_id, first_id, next_id, next_value from j where k = 1""")
+def onward_transfer(t: Tables) -> DataFrame:
+    e = t.events.select("user_id", F.col("event_id").alias("id"), "ts", "value", "event_type")
+    return W.onward(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), "user_id")
+
+
+@query("""with d as (select user_id, cast(ts as date) - date '1970-01-01' as dd, sum(cast(value as decimal(38,4))) s, count(*) c from events group by all), w as (select user_id, dd, sum(s) over x total, sum(c) over x n from d window x as (partition by user_id order by dd range between current row and 4 following)),
+ r as (select *, row_number() over (partition by user_id order by total desc, dd) k from w) select user_id, cast(dd as int) as "day", cast(total as double) total, cast(n as bigint) n from r where k = 1""")
+def passthrough_5day(t: Tables) -> DataFrame:
+    return W.best_days(t.events, "user_id", "value")
+
+
+TRANSFERS = "tr as (select event_id id, 'A'||user_id src, 'A'||((user_id * 7 + event_id) % 150) dst, value * 1000 amount, cast(floor(epoch(ts)) as bigint) t from events where event_type in ('purchase', 'click'))"
+
+
+def transfers(t: Tables) -> DataFrame:
+    e = t.events.where("event_type in ('purchase', 'click')")
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("A"), "user_id").alias("src"), F.concat(F.lit("A"), (F.col("user_id") * 7 + F.col("event_id")) % 150).alias("dst"), (F.col("value") * 1000).alias("amount"), "ts")
+
+
+_HOP = """w{i} as (select first_id, stops||'>'||dst stops, dst at_, first_amount, amount last_amount, t0, t last_t, {h} hops, seen || [dst] seen from (select w.first_id, w.stops, n.dst, w.first_amount, n.amount, w.t0, n.t, w.seen, row_number() over (partition by w.first_id order by n.amount desc, n.id) k
+ from w{p} w join tr n on n.src = w.at_ and n.t > w.last_t and n.t <= w.last_t + 345600 and n.amount between 0.35 * w.last_amount and 1.05 * w.last_amount and not list_contains(w.seen, n.dst)) where k = 1)"""
+
+
+@query(f"""with {TRANSFERS}, w1 as (select id first_id, src||'>'||dst stops, dst at_, amount first_amount, amount last_amount, t t0, t last_t, 1 hops, [src, dst] seen from tr where amount >= 150000),
+ {', '.join(_HOP.format(i=i, p=i - 1, h=i) for i in range(2, 6))}, a as ({' union all '.join(f'select * from w{i}' for i in range(1, 6))}), r as (select *, row_number() over (partition by first_id order by hops desc) k from a)
+ select first_id, stops, hops, first_amount, last_amount, cast(last_t - t0 as bigint) total_s from r where k = 1""")
+def layering_chain(t: Tables) -> DataFrame:
+    return W.chains(transfers(t), least=150_000.0)
+
+
+@query("select user_id, n, cast(least(1.0, 0.55 + 0.03 * least(n, 12) + case when cities >= 4 then 0.1 else 0 end) as double) score, third from (select user_id, count(*) n, count(distinct cast(ts as date)) cities, arg_min(ts, k) filter (k = 3) third from (select *, row_number() over (partition by user_id order by ts, event_id) k from events where event_type = 'error') group by 1) where n >= 3")
+def complaint_hub(t: Tables) -> DataFrame:
+    from ..plans.detectors import complaint_hubs
+
+    e = t.events.where("event_type = 'error'").select(F.col("user_id").alias("account"), "ts", F.col("event_id").alias("id"), F.col("ts").cast("date").cast("string").alias("city"))
+    return complaint_hubs(e).select(F.col("account").alias("user_id"), "n", "score", F.col("third").alias("third"))
+
+
+@query("select user_id, n, round(ratio, 6) ratio, round(least(1.0, 0.3 + ratio), 6) score from (select user_id, count(*) n, avg(case when hour(ts) >= 23 or hour(ts) < 5 then 1.0 else 0.0 end) ratio from events group by 1) where n >= 15 and ratio >= 0.3")
+def night_activity(t: Tables) -> DataFrame:
+    from ..plans.detectors import night_activity as night
+
+    return night(t.events.select(F.col("user_id").alias("phone"), "ts"), least_ratio=0.3).select(F.col("phone").alias("user_id"), "n", F.round("ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))
+
+
+@query("select user_id, n, cast(least(1.0, 0.5 + 0.05 * n + case when nights > 0.5 * n then 0.15 else 0 end) as double) score from (select user_id, count(*) n, count(*) filter (hour(ts) >= 23 or hour(ts) < 5) nights from events where user_id % 9 = 0 group by 1)")
+def international_contact(t: Tables) -> DataFrame:
+    from ..plans.detectors import international
+
+    return international(t.events.where("user_id % 9 = 0").select(F.col("user_id").alias("phone"), "ts")).select(F.col("phone").alias("user_id"), "n", "score")
+
+
+@query("select user_id, cast(floor(date_diff('second', min(ts), max(ts)) / 86400) + 1 as bigint) span, min(ts) first_seen, max(ts) last_seen from events group by 1")
+def active_span(t: Tables) -> DataFrame:
+    seconds = W.epoch("last_seen") - W.epoch("first_seen")
+    e = t.events.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return e.select("user_id", (F.floor(seconds / 86400) + 1).cast("long").alias("span"), "first_seen", "last_seen")
+
+
+@query("select conv_id, turn, role, next_role, cast(case when next_role is null then 0 when next_role = role then 1 else 2 end as int) kind from (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn, text) next_role from conversations)")
+def conversation_adjacent_pairs(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = t.conversations.withColumn("next_role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn", "text")))
+    return c.select("conv_id", "turn", "role", "next_role", F.when(F.col("next_role").isNull(), 0).when(F.col("next_role") == F.col("role"), 1).otherwise(2).alias("kind"))
+
+
+@query("select event_id, case when hour(ts) >= 23 or hour(ts) < 5 then true else false end night from events")
+def night_flag(t: Tables) -> DataFrame:
+    return t.events.select("event_id", K.is_night(F.col("ts")).alias("night"))
+
+
+@query("""with b as (select user_id, count(*) n, min(ts) a, max(ts) z from events where user_id % 5 = 0 and event_type = 'click' group by 1), s as (select *, floor(date_diff('second', a, z) / 86400) + 1 span from b)
+ select user_id, n, cast(span as bigint) span, round(least(1.0, 0.5 + 0.03 * n / span + 0.1), 6) score from s where n >= 8 and span <= 30""")
+def burner_phones(t: Tables) -> DataFrame:
+    from ..plans.detectors import burners
+
+    e = t.events.where("user_id % 5 = 0 and event_type = 'click'").select(F.col("user_id").alias("phone"), "ts")
+    return burners(e, most_days=30).select(F.col("phone").alias("user_id"), "n", "span", F.round("score", 6).alias("score"))
+
+
+@query("""with i as (select 'A'||((user_id * 7 + event_id) % 150) account, 'A'||user_id sender, value amount, cast(ts as date) - date '1970-01-01' as dd from events where event_type = 'purchase'), d as (select account, dd, sum(cast(amount as decimal(38,4))) s, count(*) c from i group by all),
+ w as (select account, dd, sum(s) over x total, sum(c) over x n from d window x as (partition by account order by dd range between current row and 4 following)), b as (select *, row_number() over (partition by account order by total desc, dd) k from w),
+ a as (select account, sum(cast(amount as decimal(38,4))) total_in, count(*) c, count(distinct sender) senders from i group by 1) select account, cast(b.n as bigint) n, senders, round(cast(b.total as double) / cast(total_in as double), 6) share from a join b using (account) where k = 1 and c >= 6 and b.n >= 4 and senders >= 3 and b.total >= 0.3 * total_in""")
+def transfer_bursts(t: Tables) -> DataFrame:
+    from ..plans.detectors import transfer_concentration
+
+    e = t.events.where("event_type = 'purchase'").select(F.concat(F.lit("A"), (F.col("user_id") * 7 + F.col("event_id")) % 150).alias("account"), F.concat(F.lit("A"), "user_id").alias("sender"), F.col("value").alias("amount"), "ts")
+    return transfer_concentration(e, least_share=0.3).select("account", "n", "senders", F.round("share", 6).alias("share"))
