@@ -16,7 +16,7 @@ SECTIONS = r"(?i)\b(?:sections?|u/s|sec\.?)\s+([0-9]+[A-Z]?(?:\([0-9a-z]+\))?(?:
 
 def snippet(text: Column, needle: Column, around: int = 90) -> Column:
     """What stands around the first hit of `needle`, white space squashed; null without a hit."""
-    at = F.charindex(F.lower(needle), F.lower(text))
+    at = F.position(F.lower(needle), F.lower(text))
     first = F.greatest(at - around, F.lit(1))
     return F.when(at > 0, F.trim(F.regexp_replace(F.substring(text, first, at + F.length(needle) + around - first), r"\s+", " ")))
 
@@ -63,7 +63,8 @@ def identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kinds' matches are blanked first."""
     rest, found = F.col(text), []
     for kind, pattern in IDENTIFIERS:
-        found.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), 1), lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value"))))
+        values = F.regexp_extract_all(rest, F.lit(pattern), 1)
+        found.append(F.arrays_zip(F.array_repeat(F.lit(kind), F.size(values)).alias("kind"), values.alias("value")))
         rest = F.regexp_replace(rest, pattern, "#")
     # one pattern hits all: only such texts go through the chain
     some = F.col(text).rlike("[0-9]{4}|@")

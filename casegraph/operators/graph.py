@@ -270,7 +270,7 @@ def eigenvector(edges: DataFrame, rounds: int = 30, tolerance: float = 1e-6) ->
         return a.join(b.select("id", F.col("x").alias("y")), "id").agg(F.coalesce(F.max(F.abs(F.col("x") - F.col("y"))), F.lit(0.0))).head()[0] < tolerance
 
     big = comp.where("size >= 3").select("id", "component", "size", (1 / F.sqrt("size")).alias("x"))
-    state = iterate(big, step, rounds, done, every=5, name="eigen")
+    state = iterate(big, step, rounds, done, name="eigen")  # a step reads the state twice, so lineage is cut each round
     return comp.select("id").join(state.select("id", (F.abs("x") * F.col("size") / n).alias("e")), "id", "left").select("id", F.coalesce("e", F.lit(0.0)).alias("eigenvector"))
 
 

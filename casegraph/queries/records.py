@@ -1 +1,147 @@
-"""placeholder"""
+"""Resolution, watches, ledger, dossiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.store import written
+from ..plans import dossier, ledger, resolve
+from ..streaming import watches as W
+from . import Tables, query
+
+
+@query("""with m as (select 'LOCATION' as type, case when c_custkey % 2 = 0 then upper(c_mktsegment) else '  '||lower(c_mktsegment)||' ' end as text, c_custkey from customer) select 'LOCATION' as type, lower(trim(text)) as key, sha256('LOCATION|'||lower(trim(text))) id, arg_min(text, c_custkey) as label, count(*) mention_count from m group by 2""")
+def exact_resolve(t: Tables) -> DataFrame:
+    text = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.concat(F.lit("  "), F.lower("c_mktsegment"), F.lit(" ")))
+    m = t.customer.select(F.lit("LOCATION").alias("type"), text.alias("text"), F.col("c_custkey").alias("order"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    return resolve.exact(m).select("type", "key", "id", "label", "mention_count")
+
+
+@query("""with m as (select 'ravi kumar' as key, 'src'||(c_custkey % 4) source, min(c_custkey) f from customer group by all) select key || case when n > 1 then '#'||n else '' end as key, source from (select *, row_number() over (order by f, source) n from m)""")
+def namesake_split(t: Tables) -> DataFrame:
+    m = t.customer.select(F.lit("PERSON").alias("type"), F.lit("Ravi Kumar").alias("text"), F.concat(F.lit("src"), F.col("c_custkey") % 4).alias("source"), F.col("c_custkey").alias("order"))
+    return resolve.namesakes(m).select("key", "source").distinct()
+
+
+@query()
+def fuzzy_resolve(t: Tables) -> DataFrame:
+    rows = [(1, "ravi kumar singh", "a"), (2, "ravi kr kumar singh", "a"), (3, "ravi kumar singh", "b"), (4, "amit verma", "a"), (5, "amit k verma", "a"), (6, "rohit singh", "a")]
+    e = t.spark.createDataFrame(rows, "id long, key string, source string").withColumn("type", F.lit("PERSON"))
+    return resolve.fuzzy(e)
+
+
+@query()
+def screening(t: Tables) -> DataFrame:
+    a = t.spark.createDataFrame([(1, "PERSON", "Ravi Kumar Singh"), (2, "ORGANIZATION", "Blue Star Traders"), (3, "PERSON", "Ravi"), (4, "PERSON", "Someone Else")], "id long, type string, label string")
+    w = t.spark.createDataFrame([("L1", "PERSON", "Ravi Kumar Singh"), ("L2", "ORGANIZATION", "Blue Star Traders Ltd"), ("L3", "PERSON", "Ravi Kumar")], "id string, type string, name string")
+    return resolve.screened(a, w)
+
+
+@query("select distinct l_suppkey src, l_partkey % 500 dst, cast(count(*) as double) weight, count(*) count from lineitem where l_suppkey <> l_partkey % 500 group by 1, 2")
+def entity_merge_redirect(t: Tables) -> DataFrame:
+    from ..operators.edges import accumulate
+
+    o = t.lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("SUPPLIES").alias("rel_type"), F.lit(1.0).alias("weight"), F.col("l_shipdate").alias("at"), F.lit(1.0).alias("confidence"), F.lit(None).cast("double").alias("amount"), F.lit(None).cast("long").alias("duration"), F.lit(None).cast("boolean").alias("night"), F.lit(None).cast("string").alias("attr"), F.col("l_orderkey").alias("order"))
+    # a part and the part it is folded into are the same numbers, so suppliers keep theirs
+    e = accumulate(o.withColumn("dst", F.col("dst") + 1000000).withColumn("rel_type", F.lit("SUPPLIES")))
+    mapping = t.part.select((F.col("p_partkey") + 1000000).alias("id"), (F.col("p_partkey") % 500).alias("into"))
+    return resolve.redirected(e, mapping).select("src", "dst", "weight", "count")
+
+
+@query("select p_partkey id from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_returnflag = 'R')")
+def orphan_entities(t: Tables) -> DataFrame:
+    line = t.lineitem.where("l_returnflag = 'R'")
+    return resolve.orphans(t.part.select(F.col("p_partkey").alias("id")), line.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).where("dst is not null").select(F.col("dst").alias("src"), "dst"), t.spark.createDataFrame([], "entity_id long"))
+
+
+WATCHES = [("w1", "TEXT", "license", True), ("w2", "TEXT", "idiot", True), ("w3", "TEXT", "zzzzqq", True), ("w4", "TEXT", "the", False)]
+
+
+def _watches(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(WATCHES, "id string, kind string, norm string, active boolean")
+
+
+def _docs(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.lit(None).cast("timestamp_ntz").alias("occurred_at"))
+
+
+@query("select w watch_id, doc_id document_id, '' entity_id from documents, (values ('w1', 'license'), ('w2', 'idiot'), ('w3', 'zzzzqq')) x(w, norm) where contains(lower(source || chr(10) || text), norm)")
+def watch_text_scan(t: Tables) -> DataFrame:
+    return W.text_hits(_docs(t), _watches(t)).select("watch_id", "document_id", "entity_id")
+
+
+@query("select 0::bigint again, count(*) n from documents, (values ('license'), ('idiot'), ('zzzzqq')) x(norm) where contains(lower(source || chr(10) || text), norm)")
+def watch_rescan_idempotent(t: Tables) -> DataFrame:
+    hits = written(W.text_hits(_docs(t), _watches(t)), "hits")
+    again = W.new_hits(W.text_hits(_docs(t), _watches(t)), hits)
+    return again.agg(F.count("*").alias("again")).crossJoin(hits.agg(F.count("*").alias("n")))
+
+
+@query("select 'k'||(c_custkey % 3) watch_id, o_orderkey document_id, c_custkey entity_id from customer join orders on o_custkey = c_custkey where c_custkey < 60 and o_orderkey % 10 = 0")
+def watch_key_scan(t: Tables) -> DataFrame:
+    w = t.customer.where("c_custkey < 60").select(F.concat(F.lit("k"), F.col("c_custkey") % 3).alias("id"), F.lit("PERSON").alias("kind"), F.lower("c_name").alias("norm"), F.lit(True).alias("active"))
+    m = t.orders.where("o_orderkey % 10 = 0").join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("document_id"), F.col("c_custkey").alias("entity_id"), F.lit("PERSON").alias("type"), F.lower("c_name").alias("key"), F.lit("seen").alias("snippet"), F.col("o_orderdate").alias("occurred_at"), F.lit(1).alias("rank"))
+    return W.key_hits(m, w).select("watch_id", "document_id", "entity_id")
+
+
+@query("select doc_id, sha256(text) payload_hash from documents")
+def payload_hashes(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.sha2("text", 256).alias("payload_hash"))
+
+
+@query("with recursive l as (select row_number() over (order by doc_id) - 1 i, sha256(text) h from documents), r(lv, i, h) as (select 0, i, h from l union all select lv + 1, i // 2, case when count(*) = 2 then sha256(min(case when i % 2 = 0 then h end) || max(case when i % 2 = 1 then h end)) else sha256(max(h) || max(h)) end from r where lv < 14 group by lv, i // 2) select h root from r where lv = 10 and i = 0")
+def merkle_root(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    # document ids are dense here; leaves are numbered by id
+    leaves = t.documents.select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), F.sha2("text", 256).alias("hash"))
+    return t.spark.createDataFrame([(ledger.merkle_root(written(leaves, "leaves")),)], "root string")
+
+
+@query("select 17::bigint as index, 'content' why union all select 40, 'link'")
+def chain_verify(t: Tables) -> DataFrame:
+    rows = ledger.append([{"timestamp": f"2024-01-01T00:00:{i:02d}", "actor": "a", "action": "ADD", "subject_type": "doc", "subject_id": str(i), "payload": {"n": i}} for i in range(60)], None)
+    rows[17]["detail"] = "changed"
+    rows[40]["previous_hash"] = "0" * 64
+    rows[40]["entry_hash"] = ledger.entry_hash(rows[40])
+    rows[41]["previous_hash"] = rows[40]["entry_hash"]
+    for i in range(41, 60):
+        rows[i]["previous_hash"] = rows[i - 1]["entry_hash"]
+        rows[i]["entry_hash"] = ledger.entry_hash(rows[i])
+    return ledger.broken(t.spark.createDataFrame(rows))
+
+
+def _case(t: Tables) -> dossier.Case:
+    ents = t.customer.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.lit("PERSON").alias("type"), F.col("c_name").alias("label"), F.lower("c_name").alias("canonical_key"), F.lit(1).alias("mention_count"))
+    e = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst")).agg(F.lit("TRANSFERRED_TO").alias("rel_type"), F.count("*").cast("double").alias("weight"), F.sum(F.col("l_extendedprice").cast("decimal(38,4)")).cast("double").alias("total_amount"))
+    ev = t.orders.select(F.col("o_orderkey").alias("id"), F.lit("TRANSFER").alias("kind"), F.col("o_orderdate").alias("occurred_at"), F.array(F.concat(F.lit("C"), "o_custkey")).alias("entity_ids"))
+    al = t.spark.createDataFrame([("a", 0.9, ["C3"])], "title string, score double, entity_ids array<string>")
+    evid = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("document_id"), F.concat(F.lit("C"), "o_custkey").alias("entity_id"), F.lit(0.9).alias("confidence"))
+    docs = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("content"))
+    return dossier.Case(ents, e, ev, al, evid, docs)
+
+
+@query("select 'S'||l_suppkey other, cast(count(*) as double) weight from orders join lineitem on o_orderkey = l_orderkey where o_custkey = 3 group by 1 order by weight desc, other limit 40")
+def dossier_associates(t: Tables) -> DataFrame:
+    return dossier.dossier(_case(t), "C3")["associates"]
+
+
+@query("select strftime(o_orderdate, '%G-W%V') grp, cast(count(*) as double) as value from orders where o_custkey = 3 group by 1")
+def dossier_weekly(t: Tables) -> DataFrame:
+    return dossier.dossier(_case(t), "C3")["weekly"]
+
+
+@query("select o_orderkey id, o_orderdate occurred_at from orders where o_custkey = 3 order by o_orderdate desc, o_orderkey limit 120")
+def entity_timeline(t: Tables) -> DataFrame:
+    return dossier.timeline(_case(t), "C3").select("id", "occurred_at")
+
+
+@query("select strftime(o_orderdate, '%Y-%m-%d') bucket, 'TRANSFER' kind, count(*) n from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate <= timestamp '1996-12-31' group by 1")
+def timeline_histogram(t: Tables) -> DataFrame:
+    return dossier.timeline_view(_case(t), ["TRANSFER"], "1996-01-01", "1996-12-31")[1]
+
+
+@query()
+def routed_question(t: Tables) -> DataFrame:
+    return dossier.answer(_case(t), "show the money transfers")[1]

@@ -1 +1,188 @@
-"""placeholder"""
+"""Text, identifiers, similarity and search."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import keys as K
+from ..functions import similarity as S
+from ..functions import text as T
+from ..plans import search
+from . import Tables, query
+
+
+def literal(t: Tables, rows: list[tuple], schema: str) -> DataFrame:
+    return t.spark.createDataFrame(rows, schema)
+
+
+@query("""select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z.]+')) as int) emails, cast(len(regexp_extract_all(text, '\\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\\b')) as int) ips, cast(len(regexp_extract_all(text, '[0-9]{9,}')) as int) numbers from documents""")
+def regex_identifiers(t: Tables) -> DataFrame:
+    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), 0))
+    return t.documents.select("doc_id", n(r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z.]+").alias("emails"), n(r"\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\b").alias("ips"), n(r"[0-9]{9,}").alias("numbers"))
+
+
+@query()
+def identifier_extraction(t: Tables) -> DataFrame:
+    return T.identifiers(t.documents)
+
+
+@query()
+def identifier_summary(t: Tables) -> DataFrame:
+    x = T.identifiers(t.documents)
+    ok = K.validated(F.col("kind"), F.col("value"))["valid"]
+    return x.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
+
+
+@query("""select * from (values ('9876543210', '9876543210', false), ('09876543210', '9876543210', false), ('+91 98765-43210', '9876543210', false), ('+44 20 7946 0958', '442079460958', true), ('1234', '1234', false)) x(raw, norm, foreign_)""")
+def phone_keys(t: Tables) -> DataFrame:
+    df = literal(t, [("9876543210",), ("09876543210",), ("+91 98765-43210",), ("+44 20 7946 0958",), ("1234",)], "raw string")
+    return df.select("raw", K.norm_phone(F.col("raw")).alias("norm"), K.is_international(F.col("raw")).alias("foreign_"))
+
+
+@query("""select * from (values ('PERSON', 'Shri. Md. Salim Khan', 'mohd salim khan'), ('ORGANIZATION', 'Blue Star Traders Pvt Ltd', 'blue star traders'), ('VEHICLE', 'dl 01-ab 1234', 'DL01AB1234'), ('BANK_ACCOUNT', 'A/c 0012 3456', '00123456'), ('BANK_ACCOUNT', 'Ravi@YBL', 'ravi@ybl'), ('CRYPTO_WALLET', '0xABC1', 'abc1'), ('SOCIAL_HANDLE', '@The_One', 'the_one'), ('LOCATION', '  Old   Delhi ', 'old delhi'), ('GOV_ID', 'abcde 1234 f', 'ABCDE1234F')) x(kind, raw, canonical)""")
+def canonical_keys(t: Tables) -> DataFrame:
+    rows = [("PERSON", "Shri. Md. Salim Khan"), ("ORGANIZATION", "Blue Star Traders Pvt Ltd"), ("VEHICLE", "dl 01-ab 1234"), ("BANK_ACCOUNT", "A/c 0012 3456"), ("BANK_ACCOUNT", "Ravi@YBL"), ("CRYPTO_WALLET", "0xABC1"), ("SOCIAL_HANDLE", "@The_One"), ("LOCATION", "  Old   Delhi "), ("GOV_ID", "abcde 1234 f")]
+    return literal(t, rows, "kind string, raw string").select("kind", "raw", K.canonical_key(F.col("kind"), F.col("raw")).alias("canonical"))
+
+
+@query("select * from (values ('236', 3), ('12345', 1), ('142857', 0)) x(digits, check_digit)")
+def verhoeff(t: Tables) -> DataFrame:
+    return literal(t, [("236",), ("12345",), ("142857",)], "digits string").select("digits", K.verhoeff_digit(F.col("digits")).alias("check_digit"))
+
+
+@query("select * from (values ('PAN', 'ABCPE1234F', true, 'ok'), ('PAN', 'ABCDE1234F', false, 'format'), ('IFSC', 'SBIN0001234', true, 'ok'), ('IFSC', 'SBIN1001234', false, 'format'), ('GSTIN', '27AAPFU0939F1ZV', true, 'ok'), ('GSTIN', '27AAPFU0939F1ZA', false, 'checksum or format'), ('AADHAAR', '123412341234', false, 'checksum or format')) x(kind, raw, valid, reason)")
+def identifier_validation(t: Tables) -> DataFrame:
+    rows = [("PAN", "ABCPE1234F"), ("PAN", "ABCDE1234F"), ("IFSC", "SBIN0001234"), ("IFSC", "SBIN1001234"), ("GSTIN", "27AAPFU0939F1ZV"), ("GSTIN", "27AAPFU0939F1ZA"), ("AADHAAR", "123412341234")]
+    v = K.validated(F.col("kind"), F.col("raw"))
+    return literal(t, rows, "kind string, raw string").select("kind", "raw", v["valid"].alias("valid"), v["reason"].alias("reason"))
+
+
+@query("select * from (values ('AADHAAR', '234123412346', 'XXXX XXXX 2346'), ('PAN', 'ABCPE1234F', 'ABCXX1234X'), ('PASSPORT', 'K1234567', 'XXXX4567')) x(kind, raw, masked)")
+def identifier_masks(t: Tables) -> DataFrame:
+    return literal(t, [("AADHAAR", "234123412346"), ("PAN", "ABCPE1234F"), ("PASSPORT", "K1234567")], "kind string, raw string").select("kind", "raw", K.masked(F.col("kind"), F.col("raw")).alias("masked"))
+
+
+@query("select c_custkey, substr(sha256('pepper|NAME|'||upper(regexp_replace(c_name, '[ -]', '', 'g'))), 1, 32) print from customer")
+def identifier_prints(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", K.identifier_print("pepper", F.lit("NAME"), F.regexp_replace("c_name", "[ -]", "")).alias("print"))
+
+
+@query("""select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) title, cast(len(regexp_extract_all(html, 'href="[^"]*"')) as int) links from pages""")
+def html_title_links(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.html_title(F.col("html")).alias("title"), F.size(T.html_links(F.col("html"))).alias("links"))
+
+
+@query()
+def html_readable(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", T.html_text(F.col("html")).alias("text"), T.readable(F.col("html")).alias("article"))
+
+
+@query("""with n as (select doc_id, text, unnest(range(greatest(1, least(3, cast(ceil(length(text) / 1200.0) as int))))) n from documents), p as (select doc_id, cast(n as int) n, trim(substr(text, n * 1200 + 1, 1200), ' ') passage from n) select * from p where length(passage) >= 40""")
+def passages(t: Tables) -> DataFrame:
+    return T.passages(t.documents)
+
+
+@query("""select doc_id, case when p > 0 then trim(regexp_replace(substr(text, greatest(p - 90, 1), p + 12 + 90 - greatest(p - 90, 1)), '\\s+', ' ', 'g'), ' ') end snippet from (select doc_id, text, instr(lower(text), 'licensed und') p from documents)""")
+def haystack_snippet(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.snippet(F.col("text"), F.lit("licensed und")).alias("snippet"))
+
+
+@query("""with q as (select vec_id query, embedding e from embeddings where vec_id % 100 = 0), s as (select query, vec_id, round(list_cosine_similarity(e::double[], embedding::double[]), 5) score, row_number() over (partition by query order by list_cosine_similarity(e::double[], embedding::double[]) desc, vec_id) rank from q, embeddings) select query, vec_id, score, rank from s where rank <= 10""")
+def cosine_topk(t: Tables) -> DataFrame:
+    q = [(r["vec_id"], r["embedding"]) for r in t.embeddings.where("vec_id % 100 = 0 and vec_id < 10000").collect()]
+    return search.nearest(t.embeddings, q).select("query", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""with e as (select label as k, unnest(embedding) x, generate_subscripts(embedding, 1) i from embeddings), m as (select k, i, avg(x::double) x from e group by k, i), v as (select k, list(x order by i) c from m group by k) select a.k a, b.k b, round(list_cosine_similarity(a.c, b.c), 5) cos from v a join v b on a.k < b.k""")
+def centroid_similar(t: Tables) -> DataFrame:
+    c = search.centroid(t.embeddings, "label")
+    x, y = c.select(F.col("label").alias("a"), F.col("centroid").alias("x")), c.select(F.col("label").alias("b"), F.col("centroid").alias("y"))
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(S.cosine(F.col("x"), F.col("y")), 5).alias("cos"))
+
+
+@query()
+def tfidf_terms(t: Tables) -> DataFrame:
+    return search.tfidf(t.documents, "doc_id", "text", 2000).withColumn("w", F.round("w", 6))
+
+
+@query("""with k as (select user_id, list_sort(list_distinct(list(event_type))) x, list_sort(list_distinct(list(strftime(ts, '%a')))) d from events group by 1) select a.user_id a, b.user_id b, round(len(list_intersect(a.d, b.d)) / len(list_distinct(a.d || b.d)), 6) jaccard from k a join k b on b.user_id = a.user_id + 1""")
+def jaccard_sets(t: Tables) -> DataFrame:
+    k = t.events.groupBy("user_id").agg(F.collect_set(F.date_format("ts", "EEE")).alias("d"))
+    y = k.select(F.col("user_id").alias("b"), F.col("d").alias("e"))
+    return k.withColumnRenamed("user_id", "a").join(y, F.col("b") == F.col("a") + 1).select("a", "b", F.round(S.jaccard(F.col("d"), F.col("e")), 6).alias("jaccard"))
+
+
+@query("""with p as (select p_partkey, p_name, substr(lower(p_name), 1, 6) block, p_brand from part where p_partkey < 800) select x.p_partkey a, y.p_partkey b, cast(levenshtein(x.p_name, y.p_name) as int) d from p x join p y on x.block = y.block and x.p_brand = y.p_brand and x.p_partkey < y.p_partkey where levenshtein(x.p_name, y.p_name) <= 2""")
+def fuzzy_block_match(t: Tables) -> DataFrame:
+    p = t.part.where("p_partkey < 800").select("p_partkey", "p_name", F.substring(F.lower("p_name"), 1, 6).alias("block"), "p_brand")
+    x, y = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), "block", "p_brand"), p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"), "block", "p_brand")
+    return x.join(y, ["block", "p_brand"]).where("a < b").select("a", "b", F.levenshtein("na", "nb").alias("d")).where("d <= 2")
+
+
+@query()
+def fuzzy_scores(t: Tables) -> DataFrame:
+    c = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey")).select("c_custkey", "c_name", "s_name")
+    for k in S.SCORERS:
+        c = S.scored(c, "c_name", "s_name", k, k)
+    return c
+
+
+@query("""select * from (values ('302, 34 and 120B IPC', 'IPC', '302'), ('302, 34 and 120B IPC', 'IPC', '34'), ('302, 34 and 120B IPC', 'IPC', '120B'), ('u/s 20(b) NDPS Act; 103 BNS', 'NDPS', '20(b)'), ('u/s 20(b) NDPS Act; 103 BNS', 'BNS', '103')) x(raw, act, section)""")
+def statute_charges(t: Tables) -> DataFrame:
+    df = literal(t, [("302, 34 and 120B IPC",), ("u/s 20(b) NDPS Act; 103 BNS",)], "raw string").withColumn("id", F.col("raw"))
+    return T.charges(df, "id", "raw").select(F.col("id").alias("raw"), "act", "section")
+
+
+@query("""select * from (values ('FIR dated 12/03/2024 and 2024-05-01 under section 302, 34', '12/03/2024,2024-05-01', '302,34')) x(raw, dates, sections)""")
+def dates_sections(t: Tables) -> DataFrame:
+    df = literal(t, [("FIR dated 12/03/2024 and 2024-05-01 under section 302, 34",)], "raw string")
+    return df.select("raw", F.array_join(T.dates(F.col("raw")), ",").alias("dates"), F.array_join(T.sections(F.col("raw")), ",").alias("sections"))
+
+
+@query("""select * from (values ('2024-03-05T10:20:30Z', timestamp '2024-03-05 10:20:30'), ('05/03/2024', timestamp '2024-03-05 00:00:00'), ('05/03/2024 14:05', timestamp '2024-03-05 14:05:00'), ('soon', null)) x(raw, parsed)""")
+def datetime_parse(t: Tables) -> DataFrame:
+    df = literal(t, [("2024-03-05T10:20:30Z",), ("05/03/2024",), ("05/03/2024 14:05",), ("soon",)], "raw string")
+    return df.select("raw", K.parsed_time(F.col("raw")).alias("parsed"))
+
+
+@query("""select doc_id, len(regexp_extract_all(lower(text), 'idiot|moron|stupid'))::int hits from documents where regexp_matches(lower(text), 'idiot|moron|stupid')""")
+def regex_row_filter(t: Tables) -> DataFrame:
+    p = "idiot|moron|stupid"
+    return t.documents.where(F.lower("text").rlike(p)).select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(p), 0)).alias("hits"))
+
+
+@query()
+def rule_ner(t: Tables) -> DataFrame:
+    from ..plans.extract import mentions
+
+    return mentions(t.documents)
+
+
+@query()
+def relation_inference(t: Tables) -> DataFrame:
+    from ..plans.extract import relations
+
+    text = ["Ravi Kumar met Amit Singh near Central Market. Shri Anil Verma is director of Blue Star Traders Ltd.", "Sunita Sharma phoned Neha Gupta; Deepak Yadav was present. accused Imran Khan using mobile 9876543210."]
+    return relations(literal(t, list(enumerate(text)), "doc_id long, text string"))
+
+
+@query()
+def sentence_split(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
+
+
+@query("""select * from (values ('He went  to Delhi.', 'went to delhi', true), ('He went to Delhi.', 'to Agra', false), ('x', null, false)) x(body, quote, ok)""")
+def grounding_check(t: Tables) -> DataFrame:
+    from ..plans.extract import grounded
+
+    return literal(t, [("He went  to Delhi.", "went to delhi"), ("He went to Delhi.", "to Agra"), ("x", None)], "body string, quote string").withColumn("ok", grounded(F.col("body"), F.col("quote")))
+
+
+@query()
+def case_linkage(t: Tables) -> DataFrame:
+    vocabulary = {"approach": ("the", "and "), "control": ("that", "for "), "scene": ("with", "from"), "signature": ("idiot", "license")}
+    f = search.case_features(t.documents.withColumnRenamed("doc_id", "case_id"), vocabulary=vocabulary)
+    f = f.where(F.size("signature") > 0)
+    none = t.spark.createDataFrame([], "a long, b long, cos double")
+    return search.case_links(f, none).select("a", "b", F.round("score", 6).alias("score"), "strong")
