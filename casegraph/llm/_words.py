@@ -1,6 +1,6 @@
 """Vectorised word splitting and hashing over Arrow string columns, for use inside mapInArrow.
 
-A batch is cut into slices of a few megabytes. In a slice every word has its start, end, row and a
+A batch is cut into slices of about a megabyte, whose arrays stay small; a longer text is a slice of its own. In a slice every word has its start, end, row and a
 64-bit polynomial hash that comes from prefix sums over the bytes, so no Python object is made per word.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -110,7 +110,7 @@ def fit_rows(texts: list[str], langs: list[str], steps: int = 40, rate: float =
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)))
     gold_of = np.array([languages.index(x) for x in langs])
     labels = len(languages)
-    w = next(iter(sliced(pa.array(texts, pa.large_string()), _WORD, 1 << 62)))[2]
+    w = next(iter(sliced(pa.array(texts, pa.large_string()), _WORD, 1 << 62)))[2]  # the sample is bounded
     start, end, row, _, _ = _chains(w)
     n = len(start)
     if not n:

@@ -75,15 +75,15 @@ def _present(w: Words, useful: np.ndarray | None = None) -> tuple[np.ndarray, np
     return np.concatenate([row, shape_row]), np.concatenate([feature, bins])
 
 
-def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, weight_of: np.ndarray | None = None, features: int = 4000, steps: int = 200, rate: float = 0.05, l2: float = 1.0, least_z: float = 4.0) -> Model:
+def fit_rows(texts: list[str | None] | pa.Array, grades: np.ndarray, grade_count: int, weight_of: np.ndarray | None = None, features: int = 4000, steps: int = 200, rate: float = 0.05, l2: float = 1.0, least_z: float = 4.0) -> Model:
     """The model from rated texts. Features are chosen by the z-score of their presence between neighbouring grade
     splits; the weights minimise the penalised negative log-likelihood by Adam steps over the whole sample."""
     grades = np.asarray(grades, np.int64)
     each = (np.ones(grade_count) if weight_of is None else np.asarray(weight_of, float))[grades]
     each = each / max(each.sum(), 1e-9)
-    n, texts = len(texts), pa.array(texts, pa.large_string())
+    n, texts = len(texts), texts if isinstance(texts, pa.Array | pa.ChunkedArray) else pa.array(texts, pa.large_string())
     have = np.zeros((grade_count, SIZE), np.float32)  # first pass: in how many texts of each grade a feature is
-    for first, last, w in sliced(texts, most=1 << 20):
+    for first, last, w in sliced(texts):
         r, f = _present(w)
         for j in range(grade_count):
             have[j] += np.bincount(f[grades[first:last][r] == j], minlength=SIZE).astype(np.float32)
@@ -102,7 +102,7 @@ def fit_rows(texts: list[str | None], grades: np.ndarray, grade_count: int, weig
     index = np.full(SIZE, -1, np.int64)
     index[chosen] = np.arange(len(chosen))
     row, col = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first, _, w in sliced(texts, most=1 << 20):  # second pass: which chosen features each text has
+    for first, _, w in sliced(texts):  # second pass: which chosen features each text has
         r, f = _present(w, index >= 0)
         row.append(r + first)
         col.append(index[f])
@@ -143,13 +143,14 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_count: int, doc_id: str = "do
     unit = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
     picked = rated.where(unit < share)  # about per_grade * grade_count rows
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where(F.octet_length("_text") <= longest)
-    rows = own.join(F.broadcast(picked), "_id").select("_id", "_grade", "_text").collect()
-    seen = {r["_text"]: r for r in sorted(rows, key=lambda r: (r["_id"], r["_grade"]))}
-    rows = sorted(seen.values(), key=lambda r: r["_id"])
-    of = np.array([r["_grade"] for r in rows], np.int64)
+    rows = own.join(F.broadcast(picked), "_id").select("_id", "_grade", "_text").toArrow().sort_by([("_id", "ascending"), ("_grade", "ascending")])
+    first = {t.as_py(): i for i, t in reversed(list(enumerate(rows["_text"])))}  # equal texts: the first
+    rows = rows.take(pa.array(sorted(first.values()), pa.int64()))
+    del first
+    of = rows["_grade"].to_numpy().astype(np.int64)
     # a grade that was thinned out counts for all its documents
     weight_of = [counts.get(j, 0) / max((of == j).sum(), 1) for j in range(grade_count)]
-    return fit_rows([r["_text"] for r in rows], of, grade_count, weight_of, **options)
+    return fit_rows(rows["_text"], of, grade_count, weight_of, **options)
 
 
 def scores(column: pa.Array, model: Model, useful: np.ndarray) -> np.ndarray:
