@@ -45,8 +45,12 @@ def balanced(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str
 
 
 def sharded(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with shard and slot instead of any columns so named: the layout of the final output."""
-    key = fresh_name("_id", docs.columns)
-    at = balanced(docs, shards, doc_id, text).select(F.col("doc_id").alias(key), "shard", "slot")
-    rest = docs.drop("shard", "slot")
-    return rest.join(at, F.col(doc_id).eqNullSafe(F.col(key))).drop(key)
+    """`docs` with shard and slot instead of any columns so named: the layout of the final output. Rows that repeat a doc_id, null
+    included, are matched by their rank within it, so each row has one slot."""
+    key, nth = fresh_name("_id", docs.columns), fresh_name("_nth", docs.columns)
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rank = lambda *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    at = balanced(docs, shards, doc_id, text).withColumn(key, whole("doc_id")).withColumn(nth, rank("shard", "slot")).select(key, nth, "shard", "slot")
+    utf8 = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rest = docs.drop("shard", "slot").withColumn(key, whole(doc_id)).withColumn(nth, rank(F.xxhash64(text), F.octet_length(utf8)))
+    return rest.join(at, [key, nth]).drop(key, nth)
