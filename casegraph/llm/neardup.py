@@ -22,9 +22,11 @@ from pyspark.sql import types as T
 from ..operators.skew import spread_join
 from ..operators.store import fresh_name, written
 from ..operators.components import components
+from ._words import SPACE, mixed, rolled, sliced
 
 RADIUS = 3
 SEED = 42
+_NULL = -(1 << 63)
 _SPACES = bytes([32, *range(9, 14)])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in _SPACES else c for c in range(256))
 
@@ -89,10 +91,10 @@ def home(half: np.ndarray) -> np.ndarray:
     return half ^ ERRORS[_remainder(low)]
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray, halves: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the fingerprint, anchor with its half in bit 32, at home?) for all anchors within radius plus one."""
     at, key, own = [], [], []
-    for half in (0, 1):
+    for half in range(halves):
         v = (fp.astype(np.int64) >> (32 * half)) & 0xFFFFFFFF
         near = np.stack([home(v), *(home(v ^ (1 << b)) for b in range(32))], axis=1)
         mine = near[:, :1].copy()
@@ -127,7 +129,144 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return close.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-# --- operator ---
+# --- similarity above a threshold ---
+#
+# A radius of three bits holds copies that differ in few words of many. For all texts of a shingle similarity of 0.8 or
+# more, the fingerprint is a long SimHash over the set of a text's words, cut into bands of 32 bits. Similar texts agree in
+# some band up to one bit, so in that band they meet at an anchor. Per anchor each text is compared with the anchor's first
+# text only, which keeps a group of n copies at n comparisons instead of n * n; as every text meets some 14 anchors in
+# each of the bands, a pair has many chances to meet, directly or over a common neighbour. Candidates are then verified by
+# the exact Jaccard similarity of their shingle sets.
+
+BANDS = 12
+BROADCAST_TEXTS = 500_000
+_LANES = np.uint64(0x0101010101010101)
+_BLACK = ~SPACE
+
+
+def majority(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """(rows, width) uint64: bitwise majority over width derived hashes of each item. Bits are counted eight at a time in the
+    bytes of 64-bit sums, over runs of at most 255 items, which no byte overflows."""
+    out = np.zeros((rows, width), np.uint64)
+    if not len(h):
+        return out
+    n = np.bincount(row, minlength=rows)
+    first = np.cumsum(n) - n
+    runs = -(-n // 255)
+    at = np.repeat(np.arange(rows), runs)
+    begin = first[at] + 255 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+    have = np.flatnonzero(n)
+    for k in range(width):
+        x = mixed(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+        bits = np.zeros((rows, 8), np.uint8)
+        for b in range(8):
+            sums = np.add.reduceat(x >> np.uint64(b) & _LANES, begin).view(np.uint8).reshape(-1, 8)
+            count = np.zeros((rows, 8), np.int64)
+            count[have] = np.add.reduceat(sums.astype(np.int64), (np.cumsum(runs) - runs)[have], axis=0)
+            bits |= (2 * count > n[:, None]).astype(np.uint8) << np.uint8(b)
+        out[:, k] = bits.view("<u8")[:, 0]
+    return out
+
+
+def banded(column: pa.Array, bands: int = BANDS) -> np.ndarray:
+    """(texts, bands) uint32: the SimHash over each text's set of words."""
+    out = np.zeros((len(column), bands), np.uint32)
+    for base, last, w in sliced(column, _BLACK):
+        pair = np.unique(w.row.astype(np.uint64) << np.uint64(44) | w.word_hash() >> np.uint64(20))
+        full = majority(mixed(pair & np.uint64((1 << 44) - 1)), (pair >> np.uint64(44)).astype(np.int64), last - base, -(-bands // 2))
+        out[base:last] = full.view("<u4")[:, :bands]
+    return out
+
+
+def shingle_sets(column: pa.Array, k: int) -> list[bytes]:
+    """The sorted set of each text's k-word shingle hashes as bytes; fewer words make one shingle, none makes none."""
+    out = [b""] * len(column)
+    for base, last, w in sliced(column, _BLACK):
+        h, ends = w.word_hash(), w.rows_from()
+        s, at = rolled(h, w.row, k)
+        begin = np.searchsorted(at, ends)
+        for r in range(last - base):
+            words = h[ends[r] : ends[r + 1]]
+            mine = s[begin[r] : begin[r + 1]] if len(words) >= k else rolled(words, np.zeros(len(words), np.int64), len(words))[0] if len(words) else words
+            out[base + r] = np.unique(mine).astype("<u8").tobytes()
+    return out
+
+
+def candidates(prints: DataFrame, bands: int = BANDS) -> DataFrame:
+    """(a, b), a < b: each text of `prints` (id long, no repeats; fp, the bands as bytes) with the first text of each anchor that it
+    meets in a band, if they differ there in at most one bit."""
+
+    def placed(schema: str, near: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                fps = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), "<u4").reshape(-1, bands).astype(np.int64)
+                for band in range(bands):
+                    for i in range(0, len(ids), 20_000):
+                        fp = fps[i : i + 20_000, band]
+                        if near:
+                            at, key, _ = anchors(fp, halves=1)
+                        else:
+                            at, key = np.arange(len(fp)), home(fp)
+                        yield pa.RecordBatch.from_arrays([pa.array(key | band << 40), pa.array(ids[i : i + 20_000][at]), pa.array(fp[at])], names=["anchor", "id", "fp"])
+
+        return prints.mapInArrow(run, schema)
+
+    schema = "anchor long, id long, fp long"
+    first = placed(schema, False).groupBy("anchor").agg(F.min("id").alias("first"), F.min_by("fp", "id").alias("first_fp"))
+    met = placed(schema, True).join(first, "anchor").where((F.col("id") != F.col("first")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= 1))
+    return met.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The `pairs` (a, b) whose sets (id, s: sorted hashes as bytes) have a Jaccard similarity of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                union = len(np.unique(np.concatenate([p, q]))) if min(len(p), len(q)) >= least * max(len(p), len(q)) else 0
+                ok.append(union > 0 and len(p) + len(q) - union >= least * union - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    x, y = sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), sets.select(F.col("id").alias("b"), F.col("s").alias("s2"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "s1", "s2").mapInArrow(run, "a long, b long")
+
+
+# --- operators ---
+
+
+def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) per row: groups of texts joined by similarity of at least `least`; component_id as in clusters().
+    Equal texts are one; null and wordless texts are equal to each other. A null doc_id counts as the smallest id."""
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("digest"), F.col(text).cast("string").alias("text"))
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = banded(b.column(2)).astype("<u4")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in fp], pa.binary())], names=["doc_id", "digest", "fp"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shingle_sets(b.column(1), k), pa.binary())], names=["id", "s"])
+
+    rows = written(own.mapInArrow(printed, "doc_id long, digest binary, fp binary"), "prints")
+    first = written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("fp").alias("fp")), "distinct")
+    pairs = written(candidates(first.select(F.xxhash64("digest").alias("id"), "fp")), "met")
+    named = first.select("digest", "id", "n", F.xxhash64("digest").alias("node"))
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(named, "node").select("node", F.col("id").alias("doc_id"), "digest")
+    used = written(used, "used")
+    if used.count() <= BROADCAST_TEXTS:
+        used = F.broadcast(used)
+    s = own.join(used, ["doc_id", "digest"]).select(F.col("node").alias("id"), "text").mapInArrow(sets, "id long, s binary")
+    s = written(s.groupBy("id").agg(F.first("s").alias("s")), "sets")  # rows that repeat
+    nodes = components(verified(pairs, s, least))
+    linked = nodes.join(named, "node").select("digest", "component", "id")
+    smallest = linked.groupBy("component").agg(F.min("id").alias("component_id"))
+    of = first.join(linked.join(smallest, "component").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
+    total = first.agg(F.sum("n")).head()[0] or 0
+    return spread_join(rows, of, "digest", first, total, F.xxhash64("doc_id")).select("doc_id", "component_id")
 
 
 def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -149,12 +288,11 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     return spread_join(rows, of, "fp", first, total, F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` with one document of each group: that of the smallest doc_id. Of rows that repeat this id one
-    stays; of groups that have null ids only, one row stays for all. All columns stay as they are."""
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of `docs` with one document of each group of similar_clusters(): that of the smallest doc_id. Of rows that repeat this
+    id one stays. All columns stay as they are; an empty table gives an empty one."""
     key, rank = fresh_name("_key", docs.columns), fresh_name("_rank", docs.columns)
-    whole = F.coalesce(F.col(doc_id), F.lit(-(1 << 63)))  # one plain key, so that the join's partitioning serves the window
-    kept = clusters(docs, doc_id, text, k, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(key))
+    whole = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL))  # one plain key, so that the join's partitioning serves the window
+    kept = similar_clusters(docs, doc_id, text, k, least).where("doc_id = component_id").select(F.col("doc_id").alias(key))
     one = F.row_number().over(Window.partitionBy(key).orderBy(key))
     return docs.withColumn(key, whole).join(kept, key, "left_semi").withColumn(rank, one).where(F.col(rank) == 1).drop(key, rank)

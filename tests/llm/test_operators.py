@@ -435,11 +435,63 @@ def brute_clusters(rows, k=3, radius=3):
 def test_near_duplicates(docs, empty, k):
     got = Counter((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in neardup.clusters(docs, k=k).collect())
     assert got == brute_clusters(TEXTS, k)
-    assert neardup.clusters(empty).collect() == [] and neardup.deduplicated(empty).collect() == []
-    kept = neardup.deduplicated(docs, k=k)
+    assert neardup.clusters(empty).collect() == []
+
+
+def brute_similar(rows, k=5, least=0.8):
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split(rb"[\x20\x09-\x0D]+", (t or "").encode().lower()) if x]
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = (rows[i][1] or "") == (rows[j][1] or "")
+            if same or sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                parent[find(i)] = find(j)
+    least_of: dict = {}
+    for i, (d, _) in enumerate(rows):
+        least_of[find(i)] = min(least_of.get(find(i), 1 << 62), -(1 << 63) if d is None else d)
+    return Counter((-(1 << 63) if d is None else d, least_of[find(i)]) for i, (d, _) in enumerate(rows))
+
+
+def test_similar_texts(spark, docs, empty):
+    ascii_rows = [(d, t) for d, t in TEXTS]
+    got = Counter((r["doc_id"], r["component_id"]) for r in neardup.similar_clusters(docs).collect())
+    assert got == brute_similar(ascii_rows)
+    kept = neardup.deduplicated(docs)
     assert kept.columns == docs.columns
-    want = {c for (_, _, c) in brute_clusters(TEXTS, k)}
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(want)
+    assert Counter(-(1 << 63) if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == Counter({c for _, c in got})
+    assert neardup.similar_clusters(empty).collect() == [] and neardup.deduplicated(empty).collect() == []
+    r = random.Random(7)
+    rows = [(i, prose(1000 + i, r.randrange(60, 400))) for i in range(150)]
+    for i in range(150):
+        for _ in range(2):
+            w = rows[i][1].split()
+            for _ in range(max(1, len(w) // 80)):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    got = {x["doc_id"]: x["component_id"] for x in neardup.similar_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(brute_similar(rows).keys())
+    assert sum(got[d] == c for d, c in want.items()) >= 0.99 * len(rows) and sum(c != d for d, c in want.items()) > 150
+    assert all(c == d for d, c in got.items() if want[d] == d)
+
+
+def test_majority_counts_bits():
+    r = np.random.default_rng(1)
+    h, row = r.integers(0, 1 << 63, 1500, dtype=np.uint64), np.sort(r.choice([0, 1, 2, 4, 5], 1500))
+    m = neardup.majority(h, row, 7, 2)
+    for k in range(2):
+        x = neardup.mixed(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+        for q in range(7):
+            y = x[row == q]
+            assert int(m[q, k]) == sum(1 << b for b in range(64) if 2 * int((y >> np.uint64(b) & np.uint64(1)).sum()) > len(y))
 
 
 def test_anchors_lose_no_link(spark):
