@@ -11,7 +11,7 @@ EARTH_KM = 6371.0
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Kilometres; null if any part is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.when(a.isNotNull(), 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
 def located(df: DataFrame, candidates: list[str], places: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Patterns of identifiers in text, in the order in which they are tried.
 IDENTIFIERS = (
     ("GSTIN", r"\b([0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z])\b"), ("PAN", r"\b([A-Z]{5}[0-9]{4}[A-Z])\b"), ("IFSC", r"\b([A-Z]{4}0[A-Z0-9]{6})\b"), ("AADHAAR", r"\b([2-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4})\b"),
-    ("VOTER", r"\b([A-Z]{3}[0-9]{7})\b"), ("PASSPORT", r"\b([A-PR-WY][1-9][0-9]{5}[1-9])\b"), ("UPI", r"\b([A-Za-z0-9._-]{2,}@[a-z]{2,12})\b"), ("EMAIL", r"\b([A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]+)\b"), ("IP", r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\b"), ("PHONE", r"\b([6-9][0-9]{9})\b"),
+    ("VOTER", r"\b([A-Z]{3}[0-9]{7})\b"), ("PASSPORT", r"\b([A-PR-WY][1-9][0-9]{5}[1-9])\b"), ("UPI", r"\b([A-Za-z0-9._-]{2,}@[a-z]{2,12})\b(?![.-][a-z])"), ("EMAIL", r"\b([A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]+)\b"), ("IP", r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\b"), ("PHONE", r"\b([6-9][0-9]{9})\b"),
 )
 DATE_PATTERNS = (r"\b([0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4})\b", r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b")
 SECTIONS = r"(?i)\b(?:sections?|u/s|sec\.?)\s+([0-9]+[A-Z]?(?:\([0-9a-z]+\))?(?:\s*(?:,|/|and|&|r/w)\s*[0-9]+[A-Z]?(?:\([0-9a-z]+\))?)*)"

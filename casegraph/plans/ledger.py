@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,8 +190,6 @@ def verify(public: bytes, message: bytes, signature: bytes) -> bool:
 
 def bad_signatures(ledger: DataFrame, public: bytes) -> DataFrame:
     """(index) of entries whose signature (hex, over the entry hash's text) does not verify, checked in parallel."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def ok(hashes: pd.Series, signatures: pd.Series) -> pd.Series:
         return pd.Series([s is not None and verify(public, h.encode(), bytes.fromhex(s)) for h, s in zip(hashes, signatures)])
