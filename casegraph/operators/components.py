@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import spread_join
 from .store import written
 
 
@@ -12,21 +13,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of `links`; component is the smallest node reachable.
 
     Links may repeat, point either way or loop; rows with a null end are no links. An empty table gives an empty one.
-    Each round maps a neighbourhood to its minimum by a partially aggregated group-by and a join that AQE may split,
-    so no hub is ever gathered in one task. Rounds grow with the logarithm of the longest path.
+    Each round maps a neighbourhood to its minimum by a partially aggregated group-by and a join that spreads a hub's
+    links, so no hub is ever gathered in one task. Rounds grow with the logarithm of the longest path.
     """
     e = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("v < u").distinct()
-    edges, mark = written(e, "links"), None
+    edges = written(e, "links")
+    n, mark = edges.count(), None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))  # large star: over all neighbours
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("v < u").distinct()
-        large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # small star: over smaller neighbours
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("v < u").distinct()
+        large = written(_to_least(both.where("v > u"), both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), 2 * n).distinct(), "large")
+        n = large.count()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))  # small star: over smaller neighbours
+        small = _to_least(large, least, n)
+        small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == mark:
             break
-        mark = now
+        n, mark = now[0], now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def _to_least(arcs: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """The arcs' far ends, each with its hub's minimum m instead of the hub; a hub's arcs are dealt to several tasks."""
+    least = written(least, "least")
+    j = spread_join(arcs, least.select("u", "m"), "u", least.select("u", "n"), total, F.xxhash64("v"))
+    return j.select(F.col("v").alias("u"), F.col("m").alias("v")).where("v < u")
