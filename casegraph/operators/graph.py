@@ -355,15 +355,16 @@ def clustering_agreement(pairs: DataFrame) -> DataFrame:
     )
 
 
-def isolation_scores(points: np.ndarray, trees: int = 300, sample: int = 256, seed: int = 42) -> np.ndarray:
-    """Isolation forest: mean path length over random trees, as the usual score in (0, 1]."""
+def isolation_scores(points: np.ndarray, trees: int = 300, sample: int = 256, seed: int = 42, others: np.ndarray | None = None) -> np.ndarray:
+    """Isolation forest grown on `points`: mean path length over random trees, as the usual score in (0, 1], of `others` or the points
+    themselves. A tree depends on the points and the seed only."""
     rng = np.random.default_rng(seed)
-    n = len(points)
-    m = min(sample, n)
+    x = points if others is None else others
+    n, m = len(points), min(sample, len(points))
     c = lambda k: 2 * (np.log(k - 1) + 0.5772156649015329) - 2 * (k - 1) / k if k > 2 else float(k == 2)
-    limit, total = int(np.ceil(np.log2(max(m, 2)))), np.zeros(n)
+    limit, total = int(np.ceil(np.log2(max(m, 2)))), np.zeros(len(x))
     for _ in range(trees):
-        todo = [(rng.choice(n, m, replace=False), np.arange(n), 0)]
+        todo = [(rng.choice(n, m, replace=False), np.arange(len(x)), 0)]
         while todo:
             inside, at, depth = todo.pop()
             spread = points[inside].max(0) - points[inside].min(0) if len(inside) > 1 else np.zeros(points.shape[1])
@@ -372,7 +373,6 @@ def isolation_scores(points: np.ndarray, trees: int = 300, sample: int = 256, se
                 total[at] += depth + c(len(inside))
                 continue
             f = rng.choice(able)
-            low = points[inside, f].min()
-            cut = low + rng.random() * spread[f]
-            todo += [(inside[points[inside, f] < cut], at[points[at, f] < cut], depth + 1), (inside[points[inside, f] >= cut], at[points[at, f] >= cut], depth + 1)]
+            cut = points[inside, f].min() + rng.random() * spread[f]
+            todo += [(inside[points[inside, f] < cut], at[x[at, f] < cut], depth + 1), (inside[points[inside, f] >= cut], at[x[at, f] >= cut], depth + 1)]
     return 2.0 ** (-total / trees / max(c(m), 1e-9))

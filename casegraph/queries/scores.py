@@ -117,3 +117,19 @@ def alert_roundtrip(t: Tables) -> DataFrame:
     found, failed = detectors.run_all(jobs)
     stored = found.limit(0).withColumns({"status": F.lit("open"), "review_status": F.lit("pending")})
     return detectors.persisted(stored, found).withColumn("entity_ids", F.array_join("entity_ids", ",")).withColumn("failures", F.lit(len(failed)))
+
+
+@query()
+def behavioural_outliers(t: Tables) -> DataFrame:
+    from ..plans.outliers import outliers
+
+    f = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("degree"), F.sum(F.col("o_totalprice").cast("decimal(38,4)")).cast("double").alias("tx_out"), F.count_distinct("o_orderpriority").alias("tx_counterparties"), F.max("o_totalprice").alias("tx_in"))
+    o = outliers(f, "id", ("degree", "tx_out", "tx_counterparties", "tx_in"))
+    return o.select("id", F.round("ecod", 6).alias("ecod"), F.round("forest", 6).alias("forest"), "both", F.round("score", 6).alias("score"), "drivers")
+
+
+@query("""with k as (select lang || source component, count(*) size from documents group by 1), o as (select component, size, coalesce(sum(size) over (order by size desc, component rows between unbounded preceding and 1 preceding), 0) b from k) select component, size from o where b < 120""")
+def display_components(t: Tables) -> DataFrame:
+    from ..plans.outliers import shown_components
+
+    return shown_components(t.documents.select(F.concat("lang", "source").alias("component")))

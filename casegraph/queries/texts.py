@@ -186,3 +186,21 @@ def case_linkage(t: Tables) -> DataFrame:
     f = f.where(F.size("signature") > 0)
     none = t.spark.createDataFrame([], "a long, b long, cos double")
     return search.case_links(f, none).select("a", "b", F.round("score", 6).alias("score"), "strong")
+
+
+@query("""with p as (select doc_id, cast(n as int) n, length(passage) % 97 score from (select doc_id, n, trim(substr(text, n * 1200 + 1, 1200), ' ') passage from (select doc_id, text, unnest(range(greatest(1, least(3, cast(ceil(length(text) / 1200.0) as int))))) n from documents)) where length(passage) >= 40),
+ r as (select *, row_number() over (partition by doc_id order by score desc, n) k from p) select doc_id, n, cast(score as int) score from r where k = 1 order by score desc, doc_id limit 20""")
+def best_passage(t: Tables) -> DataFrame:
+    from ..plans.outliers import best_passage as best
+
+    return best(T.passages(t.documents).select("doc_id", "n", (F.length("passage") % 97).alias("score")))
+
+
+@query()
+def mention_function(t: Tables) -> DataFrame:
+    """The SQL table function over rows."""
+    from ..plans.tools import register_functions
+
+    register_functions(t.spark)
+    t.conversations.where("turn = 0").createOrReplaceTempView("first_turns")
+    return t.spark.sql("select conv_id, m.* from first_turns, lateral mentions_of(text) m")
