@@ -90,7 +90,7 @@ def payload_hashes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2("text", 256).alias("payload_hash"))
 
 
-@query("with recursive l as (select row_number() over (order by doc_id) - 1 i, sha256(text) h from documents), r(lv, i, h) as (select 0, i, h from l union all select lv + 1, i // 2, case when count(*) = 2 then sha256(min(case when i % 2 = 0 then h end) || max(case when i % 2 = 1 then h end)) else sha256(max(h) || max(h)) end from r where lv < 14 group by lv, i // 2) select h root from r where lv = 10 and i = 0")
+@query("with recursive l as (select row_number() over (order by doc_id) - 1 i, sha256(text) h from documents), r(lv, i, h) as (select 0, i, h from l union all select lv + 1, i // 2, case when count(*) = 2 then sha256(min(case when i % 2 = 0 then h end) || max(case when i % 2 = 1 then h end)) else sha256(max(h) || max(h)) end from r where lv < 14 group by lv, i // 2) select h root from r where lv = (select cast(ceil(log2(count(*))) as int) from documents) and i = 0")
 def merkle_root(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
