@@ -24,6 +24,8 @@ BITS = 16
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_ASCII = _LETTER.copy()
+_ASCII[128:] = False
 _WORD = ~SPACE
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
@@ -194,13 +196,17 @@ def predicted(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         model = given.value
         labels = len(model.languages)
         for b in batches:
-            mass = np.zeros((b.num_rows, max(labels, 1)))
+            mass, plain = np.zeros((b.num_rows, max(labels, 1))), np.zeros(b.num_rows, bool)
             for base, last, w in sliced(b.column(b.num_columns - 1), _WORD):
                 if labels:
+                    letters = np.concatenate([[0], np.cumsum(_ASCII[w.raw])])
+                    plain[base:last] = letters[w.bounds[1:]] > letters[w.bounds[:-1]]
                     _, _, row, p = _labelled(w, model)
                     mass[base:last] = np.stack([np.bincount(row, weights=p[:, k], minlength=last - base) for k in range(labels)], axis=1)
             total, best = mass.sum(1), mass.argmax(1)
             found = total > 0
+            for r in np.flatnonzero(found & ~plain):  # nothing but signs beyond ASCII, or letters of another script?
+                found[r] = any(map(str.isalpha, b.column(b.num_columns - 1)[int(r)].as_py()))
             names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), found.tolist(), strict=True)]
             score = np.where(found, mass.max(1) / np.where(found, total, 1), 0.0)
             columns = [*b.columns[:-1], pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.rint(total).astype(np.int64))]

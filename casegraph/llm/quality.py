@@ -150,7 +150,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_count: int, doc_id: str = "do
     of = rows["_grade"].to_numpy().astype(np.int64)
     # a grade that was thinned out counts for all its documents
     weight_of = [counts.get(j, 0) / max((of == j).sum(), 1) for j in range(grade_count)]
-    return fit_rows(rows["_text"], of, grade_count, weight_of, **options)
+    model = fit_rows(rows["_text"], of, grade_count, weight_of, **options)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scores(column: pa.Array, model: Model, useful: np.ndarray) -> np.ndarray:

@@ -299,10 +299,10 @@ def test_language_model(spark, docs, empty):
     langs = ("aa", "bb", "cc")
     model = langid.fit_rows([corpus(i, langs[i % 3]) for i in range(60)], [langs[i % 3] for i in range(60)])
     held = [(i, corpus(1000 + i, langs[i % 3]), langs[i % 3]) for i in range(60)]
-    df = spark.createDataFrame([*held, (90, None, None), (91, "12 34 !!", None), (92, "", None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([*held, (90, None, None), (91, "12 34 !!", None), (92, "", None), (93, "– 12 …", None), (94, "läh", None)], "doc_id long, text string, lang string")
     rows = {r["doc_id"]: r for r in langid.predicted(df, model).collect()}
     assert sum(rows[i]["lang_pred"] == lang for i, _, lang in held) >= 59
-    assert all(rows[i]["lang_pred"] == "und" and rows[i]["score"] == 0 for i in (90, 91, 92))
+    assert all(rows[i]["lang_pred"] == "und" and rows[i]["score"] == 0 for i in (90, 91, 92, 93)) and rows[94]["lang_pred"] == "cc"
     mixed = corpus(5, "aa", 20).replace(".", "") + " " + corpus(6, "cc", 20).replace(".", "")
     got = [x[1] for x in langid.word_languages(mixed, model)]
     assert got[:18] == ["aa"] * 18 and got[-18:] == ["cc"] * 18
