@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..functions import text as T
 
 MOST_WATCHES = 20_000
+AROUND = 90
 
 
 def normalised(kind: str, value: str) -> str:
@@ -38,16 +42,36 @@ def normalised(kind: str, value: str) -> str:
 
 
 def text_hits(docs: DataFrame, watches: DataFrame) -> DataFrame:
-    """Case-folded substring hits of TEXT watches on title and content, with the first hit's surroundings. Watches are what analysts type:
-    the count is checked, and beyond it they are taken in blocks."""
-    w = watches.where("kind = 'TEXT' and active").select(F.col("id").alias("watch_id"), "norm")
-    d = docs.withColumn("hay", F.concat_ws("\n", "title", "content"))
+    """Case-folded substring hits of TEXT watches on title and content, with the first hit's surroundings. A document is read once by an
+    automaton of all selectors. Watches are what analysts type: their count is checked, and beyond it they are taken in blocks."""
+    w = watches.where("kind = 'TEXT' and active").select("id", "norm").where("norm is not null and norm <> ''")
+    d = docs.select("id", F.concat_ws("\n", "title", "content").alias("hay"), "occurred_at")
     blocks = max(1, -(-w.count() // MOST_WATCHES))
     out = None
     for b in range(blocks):
-        part = w.where(F.pmod(F.xxhash64("watch_id"), F.lit(blocks)) == b)
-        j = d.join(F.broadcast(part), F.lower("hay").contains(F.col("norm")))
-        hit = j.select("watch_id", F.col("id").alias("document_id"), F.lit("").alias("entity_id"), F.lit("text").alias("matched_on"), T.snippet(F.col("hay"), F.col("norm")).alias("snippet"), "occurred_at")
+        given = d.sparkSession.sparkContext.broadcast([(r["id"], r["norm"]) for r in w.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()])
+
+        def run(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
+            automaton, by = ahocorasick.Automaton(), {}
+            for watch, norm in given.value:
+                by.setdefault(norm, []).append(watch)
+            for norm in by:
+                automaton.add_word(norm, norm)
+            automaton.make_automaton()
+            for batch in batches:
+                rows = []
+                for doc, hay, at in zip(batch["id"], batch["hay"], batch["occurred_at"]):
+                    first: dict[str, int] = {}
+                    if by and hay:
+                        for end, norm in automaton.iter(hay.lower()):
+                            first.setdefault(norm, end - len(norm) + 1)
+                    for norm, begin in sorted(first.items()):
+                        around = " ".join(hay[max(0, begin - AROUND) : begin + len(norm) + AROUND].split())
+                        rows += [(watch, doc, "", "text", around, at) for watch in by[norm]]
+                yield pd.DataFrame(rows, columns=["watch_id", "document_id", "entity_id", "matched_on", "snippet", "occurred_at"]).astype({"occurred_at": batch["occurred_at"].dtype})
+
+        kind = docs.schema["id"].dataType.simpleString()
+        hit = d.mapInPandas(run, f"watch_id string, document_id {kind}, entity_id string, matched_on string, snippet string, occurred_at timestamp_ntz")
         out = hit if out is None else out.unionAll(hit)
     return out
 
