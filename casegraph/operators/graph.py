@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .edges import both_ways
+from .prefix import numbered
 from .store import iterate, written
 
 
@@ -308,7 +309,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels:
         x, y = to.select(F.col("id").alias("u"), F.col("c").alias("cu")), to.select(F.col("id").alias("v"), F.col("c").alias("cv"))
         arcs = written(arcs.join(x, "u").join(y, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("weight").alias("weight")), "arcs")
     sizes = of.groupBy("community").agg(F.count("*").alias("n"))
-    rank = sizes.select("community", (F.row_number().over(Window.orderBy(F.desc("n"), "community")) - 1).cast("long").alias("number"))  # one row a community
+    rank = numbered(sizes.withColumn("n", -F.col("n")), ["n", "community"], "number").select("community", "number")
     return of.join(rank, "community").select("id", F.col("number").alias("community"))
 
 

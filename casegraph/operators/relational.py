@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 MONEY = "decimal(38,4)"
 
 
@@ -83,13 +85,11 @@ def first_known(df: DataFrame, key: Column, variants: list[Column], lookup: Data
 
 def ecod(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, score): per column the larger of the two tails' -ln share at the value, over the empirical distribution, summed. The
-    distribution is first counted by value, so windows run over distinct values only."""
+    distribution is first counted by value and cumulated over ranges, so no task sees all values."""
     out = df.select(key, *columns)
     total = df.agg(F.count("*").alias("_n"))
     for c in columns:
-        n = df.groupBy(c).agg(F.count("*").alias("_k")).crossJoin(F.broadcast(total))
-        up, down = Window.orderBy(c), Window.orderBy(F.desc(c))
-        share = lambda w: F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.col("_n")
-        tails = n.select(c, F.greatest(-F.log(share(up)), -F.log(share(down))).alias(f"_o_{c}"))
-        out = out.join(tails, c)
+        n = running(df.groupBy(c).agg(F.count("*").alias("_k")), [c], {"_upto": "_k"}).crossJoin(F.broadcast(total))  # one row
+        low, high = F.col("_upto") / F.col("_n"), (F.col("_n") - F.col("_upto") + F.col("_k")) / F.col("_n")
+        out = out.join(n.select(c, F.greatest(-F.log(low), -F.log(high)).alias(f"_o_{c}")), c)
     return out.select(key, sum((F.col(f"_o_{c}") for c in columns), F.lit(0.0)).alias("score"))

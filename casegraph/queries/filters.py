@@ -109,9 +109,9 @@ def governance_redaction(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") >= 200000), "Pending analyst review").otherwise(F.col("o_orderpriority")).alias("label"))
 
 
-@query("select c_custkey id from customer where c_custkey % 3 = 0 union select s_suppkey from supplier")
+@query("select c_custkey id from customer where c_mktsegment = 'MACHINERY' union select s_suppkey from supplier")
 def union_distinct(t: Tables) -> DataFrame:
-    return t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id")).union(t.supplier.select("s_suppkey")).distinct()
+    return t.customer.where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("id")).union(t.supplier.select("s_suppkey")).distinct()
 
 
 @query("select c_custkey id, c_name as name, c_mktsegment segment, null::double balance from customer union all select s_suppkey, s_name, null, s_acctbal from supplier")

@@ -73,20 +73,20 @@ def k_hop_ego(t: Tables) -> DataFrame:
     return G.ego(parts(t, 2), t.spark.createDataFrame([(7,)], "id long"), 2)
 
 
-@query("""with recursive g as (select 'C'||c_custkey a, 'N'||c_nationkey b from customer where c_custkey < 400 union all select 'S'||s_suppkey, 'N'||s_nationkey from supplier union all select 'N'||n_nationkey, 'R'||n_regionkey from nation), bw as (select a u, b v from g union all select b, a from g),
+@query("""with recursive g as (select 'C'||c_custkey a, 'N'||c_nationkey b from customer union all select 'S'||s_suppkey, 'N'||s_nationkey from supplier union all select 'N'||n_nationkey, 'R'||n_regionkey from nation), bw as (select a u, b v from g union all select b, a from g),
  p(at_, path, n) as (select 'C3', ['C3'], 0 union all select v, path || [v], n + 1 from p join bw on u = at_ where n < 6 and not list_contains(path, v) and at_ <> 'S38') select n length, array_to_string(path, '>') as path from p where at_ = 'S38' order by length, path limit 3""")
 def bounded_paths(t: Tables) -> DataFrame:
     n = lambda df, a, pa, b, pb: df.select(F.concat(F.lit(pa), a).alias("a"), F.concat(F.lit(pb), b).alias("b"))
-    g = n(t.customer.where("c_custkey < 400"), "c_custkey", "C", "c_nationkey", "N").unionAll(n(t.supplier, "s_suppkey", "S", "s_nationkey", "N")).unionAll(n(t.nation, "n_nationkey", "N", "n_regionkey", "R"))
+    g = n(t.customer, "c_custkey", "C", "c_nationkey", "N").unionAll(n(t.supplier, "s_suppkey", "S", "s_nationkey", "N")).unionAll(n(t.nation, "n_nationkey", "N", "n_regionkey", "R"))
     return G.paths(g, "C3", "S38", k=3, cutoff=6)
 
 
-@query(f"""with {P3}, {BOTH}, src as (select distinct u id, cast(0.5 + 0.001 * (u % 100) as double) score from bw where u % 3 = 0), h0 as (select id source, id, score, 0 as hop from src), h1 as (select source, v id, score, 1 as hop from h0 join bw on u = id where v <> source),
+@query(f"""with {P3}, {BOTH}, src as (select distinct u id, p_size / 100.0::double score from bw join part on p_partkey = u where p_size >= 20), h0 as (select id source, id, score, 0 as hop from src), h1 as (select source, v id, score, 1 as hop from h0 join bw on u = id where v <> source),
  h2 as (select distinct source, v id, score, 2 as hop from h1 join bw on u = id where (source, v) not in (select (source, id) from h0 union all select (source, id) from h1)), h3 as (select distinct source, v id, score, 3 as hop from h2 join bw on u = id where (source, v) not in (select (source, id) from h0 union all select (source, id) from h1 union all select (source, id) from h2)),
  a as (select * from h1 union all select * from h2 union all select * from h3) select id, round(max(score * case as_hop when 1 then 1.0::double when 2 then 0.3::double else 0.09::double end), 6) risk, cast(min(as_hop) as int) as hop, cast(count(*) as bigint) sources from (select source, id, score, hop as as_hop from a) group by 1""")
 def proximity_3hop(t: Tables) -> DataFrame:
     e = parts(t, 3)
-    src = both_ways(e, "a", "b").where("u % 3 = 0").select(F.col("u").alias("id")).distinct().withColumn("score", 0.5 + 0.001 * (F.col("id") % 100))
+    src = both_ways(e, "a", "b").join(t.part.where("p_size >= 20"), F.col("u") == F.col("p_partkey")).select(F.col("u").alias("id"), (F.col("p_size") / 100).alias("score")).distinct()
     return G.proximity(e, src).withColumn("risk", F.round("risk", 6))
 
 
@@ -113,7 +113,7 @@ def removal_impact(t: Tables) -> DataFrame:
     return G.removal_impact(e, top)
 
 
-@query(f"with {P2}, {BOTH}, d as (select u, count(*) k from bw group by 1), s as (select distinct u id from bw where u % 97 = 0), hubs as (select u from d where k > 12 and u not in (select id from s)), n1 as (select distinct v id from bw where u in (select id from s) and v not in (select u from hubs) union select id from s), n2 as (select distinct v id from bw where u in (select id from n1) and v not in (select u from hubs) union select id from n1) select id from n2")
+@query(f"with {P2}, {BOTH}, d as (select u, count(*) k from bw group by 1), s as (select distinct u id from bw join part on p_partkey = u where p_size = 7), hubs as (select u from d where k > 12 and u not in (select id from s)), n1 as (select distinct v id from bw where u in (select id from s) and v not in (select u from hubs) union select id from s), n2 as (select distinct v id from bw where u in (select id from n1) and v not in (select u from hubs) union select id from n1) select id from n2")
 def hub_pruned_neighbours(t: Tables) -> DataFrame:
     e = parts(t, 2)
-    return G.pruned_neighbours(e, both_ways(e, "a", "b").where("u % 97 = 0").select(F.col("u").alias("id")).distinct(), hops=1, most_degree=12)
+    return G.pruned_neighbours(e, both_ways(e, "a", "b").join(t.part.where("p_size = 7"), F.col("u") == F.col("p_partkey")).select(F.col("u").alias("id")).distinct(), hops=1, most_degree=12)

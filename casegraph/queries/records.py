@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefix import numbered
 from ..operators.store import written
 from ..plans import dossier, ledger, resolve
 from ..streaming import watches as W
@@ -78,10 +79,10 @@ def watch_rescan_idempotent(t: Tables) -> DataFrame:
     return again.agg(F.count("*").alias("again")).crossJoin(hits.agg(F.count("*").alias("n")))
 
 
-@query("select 'k'||(c_custkey % 3) watch_id, o_orderkey document_id, c_custkey entity_id from customer join orders on o_custkey = c_custkey where c_custkey < 60 and o_orderkey % 10 = 0")
+@query("select 'k'||(c_custkey % 3) watch_id, o_orderkey document_id, c_custkey entity_id from customer join orders on o_custkey = c_custkey where c_mktsegment = 'MACHINERY' and c_acctbal > 9000")
 def watch_key_scan(t: Tables) -> DataFrame:
-    w = t.customer.where("c_custkey < 60").select(F.concat(F.lit("k"), F.col("c_custkey") % 3).alias("id"), F.lit("PERSON").alias("kind"), F.lower("c_name").alias("norm"), F.lit(True).alias("active"))
-    m = t.orders.where("o_orderkey % 10 = 0").join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("document_id"), F.col("c_custkey").alias("entity_id"), F.lit("PERSON").alias("type"), F.lower("c_name").alias("key"), F.lit("seen").alias("snippet"), F.col("o_orderdate").alias("occurred_at"), F.lit(1).alias("rank"))
+    w = t.customer.where("c_mktsegment = 'MACHINERY' and c_acctbal > 9000").select(F.concat(F.lit("k"), F.col("c_custkey") % 3).alias("id"), F.lit("PERSON").alias("kind"), F.lower("c_name").alias("norm"), F.lit(True).alias("active"))
+    m = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("document_id"), F.col("c_custkey").alias("entity_id"), F.lit("PERSON").alias("type"), F.lower("c_name").alias("key"), F.lit("seen").alias("snippet"), F.col("o_orderdate").alias("occurred_at"), F.lit(1).alias("rank"))
     return W.key_hits(m, w).select("watch_id", "document_id", "entity_id")
 
 
@@ -92,10 +93,7 @@ def payload_hashes(t: Tables) -> DataFrame:
 
 @query("with recursive l as (select row_number() over (order by doc_id) - 1 i, sha256(text) h from documents), r(lv, i, h) as (select 0, i, h from l union all select lv + 1, i // 2, case when count(*) = 2 then sha256(min(case when i % 2 = 0 then h end) || max(case when i % 2 = 1 then h end)) else sha256(max(h) || max(h)) end from r where lv < 14 group by lv, i // 2) select h root from r where lv = (select cast(ceil(log2(count(*))) as int) from documents) and i = 0")
 def merkle_root(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    # document ids are dense here; leaves are numbered by id
-    leaves = t.documents.select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("i"), F.sha2("text", 256).alias("hash"))
+    leaves = numbered(t.documents.select("doc_id", F.sha2("text", 256).alias("hash")), ["doc_id"]).select("i", "hash")
     return t.spark.createDataFrame([(ledger.merkle_root(written(leaves, "leaves")),)], "root string")
 
 

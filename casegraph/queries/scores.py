@@ -31,11 +31,11 @@ def minmax(t: Tables) -> DataFrame:
 
 
 SIGNALS = """s as (select o_custkey id, count(*) filter (o_orderstatus = 'F') accused, count(*) filter (o_orderpriority = '1-URGENT') surveillance, count(*) filter (o_totalprice > 350000) intel, o_custkey % 5 = 0 unverified, o_custkey % 9 = 0 international, case when o_custkey % 13 = 0 then 0.7::double else 0.0::double end anomaly,
- case o_custkey % 17 when 0 then 'wanted' when 1 then 'screened' when 2 then 'weak' end watchlist, o_custkey % 17 = 0 wanted, o_custkey % 29 = 0 protected from orders where o_custkey % 3 = 0 and o_orderkey % 8 = 0 group by 1)"""
+ case o_custkey % 17 when 0 then 'wanted' when 1 then 'screened' when 2 then 'weak' end watchlist, o_custkey % 17 = 0 wanted, o_custkey % 29 = 0 protected from orders group by 1)"""
 
 
 def signals(t: Tables) -> DataFrame:
-    o = t.orders.where("o_custkey % 3 = 0 and o_orderkey % 8 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("accused"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("surveillance"), F.count_if(F.col("o_totalprice") > 350000).alias("intel"))
+    o = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("accused"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("surveillance"), F.count_if(F.col("o_totalprice") > 350000).alias("intel"))
     k = F.col("id")
     return o.withColumns({"unverified": k % 5 == 0, "international": k % 9 == 0, "anomaly": F.when(k % 13 == 0, 0.7).otherwise(0.0), "watchlist": F.when(k % 17 == 0, "wanted").when(k % 17 == 1, "screened").when(k % 17 == 2, "weak"), "wanted": k % 17 == 0, "convicted": F.lit(0), "offshore": F.lit(False), "non_subject": F.lit(False), "protected": k % 29 == 0})
 
@@ -61,10 +61,10 @@ def key_players(t: Tables) -> DataFrame:
     return scoring.key_players(s).select("id", "suspicion", K.severity(F.col("suspicion")).alias("severity"))
 
 
-@query("""with d as (select distinct event_type source, user_id entity from events where event_id % 40 = 0), n as (select source, count(*) n from d group by 1 having count(*) >= 3), m as (select x.source s1, y.source s2, count(*) m from d x join d y on x.entity = y.entity and x.source < y.source group by 1, 2)
+@query("""with d as (select distinct event_type source, user_id entity from events where value > 90), n as (select source, count(*) n from d group by 1 having count(*) >= 3), m as (select x.source s1, y.source s2, count(*) m from d x join d y on x.entity = y.entity and x.source < y.source group by 1, 2)
  select s1, s2, a.n n1, b.n n2, m, round((a.n + 1) * (b.n + 1) / (m + 1) - 1, 6) estimate, round(greatest((a.n + 1) * (b.n + 1) / (m + 1) - 1 - 1.96 * sqrt((a.n + 1)::double * (b.n + 1) * (a.n - m) * (b.n - m) / ((m + 1) * (m + 1) * (m + 2))), a.n + b.n - m), 6) low from m join n a on a.source = s1 join n b on b.source = s2""")
 def iceberg_chapman(t: Tables) -> DataFrame:
-    e = scoring.iceberg(t.events.where("event_id % 40 = 0").select(F.col("event_type").alias("source"), F.col("user_id").alias("entity")))
+    e = scoring.iceberg(t.events.where("value > 90").select(F.col("event_type").alias("source"), F.col("user_id").alias("entity")))
     return e.select("s1", "s2", "n1", "n2", "m", F.round("estimate", 6).alias("estimate"), F.round("low", 6).alias("low"))
 
 
@@ -78,9 +78,9 @@ def discrepancy_attribute(t: Tables) -> DataFrame:
     return detectors.attribute_conflicts(t.documents.select(F.col("source").alias("entity"), F.lit("lang").alias("attribute"), F.col("lang").alias("value")))
 
 
-@query("select person, n, cast(least(0.7, 0.35 + 0.02 * n) as double) score from (select l_suppkey person, count(distinct l_partkey) n from lineitem where l_shipdate < timestamp '1995-08-01' group by 1) where n >= 8")
+@query("select person, n, cast(least(0.7, 0.35 + 0.02 * n) as double) score from (select l_suppkey person, count(distinct l_partkey) n from lineitem group by 1) where n >= 8")
 def mass_directorship(t: Tables) -> DataFrame:
-    return detectors.mass_directorship(t.lineitem.where("l_shipdate < '1995-08-01'").select(F.col("l_suppkey").alias("person"), F.col("l_partkey").alias("org")))
+    return detectors.mass_directorship(t.lineitem.select(F.col("l_suppkey").alias("person"), F.col("l_partkey").alias("org")))
 
 
 @query("""select n_nationkey, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(n_regionkey * 10 - n_nationkey) / 2), 2) + cos(radians(n_nationkey)) * cos(radians(n_regionkey * 10)) * pow(sin(radians(n_regionkey * 7 - n_nationkey * 3) / 2), 2)))), 6) km from nation""")
@@ -96,9 +96,9 @@ def tiers_and_styles(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", K.tier(x).alias("tier"), K.line_style(F.when(F.col("c_mktsegment") == "BUILDING", "structured").otherwise("other"), x).alias("style"))
 
 
-@query("""with e as (select o_custkey id, o_totalprice / 600000 score from orders where o_orderkey % 50 = 0), a as (select id, max(score) s from e group by 1), t as (select distinct c_custkey src, c_nationkey dst from customer), i as (select src id, 0.8::double * max(s) s from t join a on a.id = t.dst group by 1) select id, round(max(s), 9) anomaly from (select * from a union all select * from i) group by 1""")
+@query("""with e as (select o_custkey id, o_totalprice / 600000 score from orders), a as (select id, max(score) s from e group by 1), t as (select distinct c_custkey src, c_nationkey dst from customer), i as (select src id, 0.8::double * max(s) s from t join a on a.id = t.dst group by 1) select id, round(max(s), 9) anomaly from (select * from a union all select * from i) group by 1""")
 def anomaly_inheritance(t: Tables) -> DataFrame:
-    a = t.orders.where("o_orderkey % 50 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max(F.col("o_totalprice") / 600000).alias("anomaly"))
+    a = t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max(F.col("o_totalprice") / 600000).alias("anomaly"))
     ties = t.customer.select(F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("long").alias("dst"), F.lit("OWNS").alias("rel_type"))
     return scoring.inherited(a, ties).withColumn("anomaly", F.round("anomaly", 9))
 

@@ -78,11 +78,11 @@ def night_activity(t: Tables) -> DataFrame:
     return night(t.events.select(F.col("user_id").alias("phone"), "ts"), least_ratio=0.3).select(F.col("phone").alias("user_id"), "n", F.round("ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))
 
 
-@query("select user_id, n, cast(least(1.0, 0.5 + 0.05 * n + case when nights > 0.5 * n then 0.15 else 0 end) as double) score from (select user_id, count(*) n, count(*) filter (hour(ts) >= 23 or hour(ts) < 5) nights from events where user_id % 9 = 0 group by 1)")
+@query("select user_id, n, cast(least(1.0, 0.5 + 0.05 * n + case when nights > 0.5 * n then 0.15 else 0 end) as double) score from (select user_id, count(*) n, count(*) filter (hour(ts) >= 23 or hour(ts) < 5) nights from events where value > 80 group by 1)")
 def international_contact(t: Tables) -> DataFrame:
     from ..plans.detectors import international
 
-    return international(t.events.where("user_id % 9 = 0").select(F.col("user_id").alias("phone"), "ts")).select(F.col("phone").alias("user_id"), "n", "score")
+    return international(t.events.where("value > 80").select(F.col("user_id").alias("phone"), "ts")).select(F.col("phone").alias("user_id"), "n", "score")
 
 
 @query("select user_id, cast(floor(date_diff('second', min(ts), max(ts)) / 86400) + 1 as bigint) span, min(ts) first_seen, max(ts) last_seen from events group by 1")
@@ -105,12 +105,12 @@ def night_flag(t: Tables) -> DataFrame:
     return t.events.select("event_id", K.is_night(F.col("ts")).alias("night"))
 
 
-@query("""with b as (select user_id, count(*) n, min(ts) a, max(ts) z from events where user_id % 5 = 0 and event_type = 'click' group by 1), s as (select *, floor(date_diff('second', a, z) / 86400) + 1 span from b)
+@query("""with b as (select user_id, count(*) n, min(ts) a, max(ts) z from events where event_type = 'click' group by 1), s as (select *, floor(date_diff('second', a, z) / 86400) + 1 span from b)
  select user_id, n, cast(span as bigint) span, round(least(1.0, 0.5 + 0.03 * n / span + 0.1), 6) score from s where n >= 8 and span <= 30""")
 def burner_phones(t: Tables) -> DataFrame:
     from ..plans.detectors import burners
 
-    e = t.events.where("user_id % 5 = 0 and event_type = 'click'").select(F.col("user_id").alias("phone"), "ts")
+    e = t.events.where("event_type = 'click'").select(F.col("user_id").alias("phone"), "ts")
     return burners(e, most_days=30).select(F.col("phone").alias("user_id"), "n", "span", F.round("score", 6).alias("score"))
 
 

@@ -78,9 +78,9 @@ def html_readable(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.html_text(F.col("html")).alias("text"), T.readable(F.col("html")).alias("article"))
 
 
-@query("""with n as (select doc_id, text, unnest(range(greatest(1, least(3, cast(ceil(length(text) / 1200.0) as int))))) n from documents), p as (select doc_id, cast(n as int) n, trim(substr(text, n * 1200 + 1, 1200), ' ') passage from n) select * from p where length(passage) >= 40""")
+@query("""with n as (select doc_id, text, unnest(range(greatest(1, cast(ceil(length(text) / 1200.0) as int)))) n from documents), p as (select doc_id, cast(n as int) n, trim(substr(text, n * 1200 + 1, 1200), ' ') passage from n) select * from p where length(passage) >= 40""")
 def passages(t: Tables) -> DataFrame:
-    return T.passages(t.documents)
+    return T.passages(t.documents, most=None)
 
 
 @query("""select doc_id, case when p > 0 then trim(regexp_replace(substr(text, greatest(p - 90, 1), p + 12 + 90 - greatest(p - 90, 1)), '\\s+', ' ', 'g'), ' ') end snippet from (select doc_id, text, instr(lower(text), 'licensed und') p from documents)""")
@@ -90,8 +90,7 @@ def haystack_snippet(t: Tables) -> DataFrame:
 
 @query("""with q as (select vec_id query, embedding e from embeddings where vec_id % 100 = 0), s as (select query, vec_id, round(list_cosine_similarity(e::double[], embedding::double[]), 5) score, row_number() over (partition by query order by list_cosine_similarity(e::double[], embedding::double[]) desc, vec_id) rank from q, embeddings) select query, vec_id, score, rank from s where rank <= 10""")
 def cosine_topk(t: Tables) -> DataFrame:
-    q = [(r["vec_id"], r["embedding"]) for r in t.embeddings.where("vec_id % 100 = 0 and vec_id < 10000").collect()]
-    return search.nearest(t.embeddings, q).select("query", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return search.nearest(t.embeddings, t.embeddings.where("vec_id % 100 = 0")).select("query", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""with e as (select label as k, unnest(embedding) x, generate_subscripts(embedding, 1) i from embeddings), m as (select k, i, avg(x::double) x from e group by k, i), v as (select k, list(x order by i) c from m group by k) select a.k a, b.k b, round(list_cosine_similarity(a.c, b.c), 5) cos from v a join v b on a.k < b.k""")
@@ -113,9 +112,9 @@ def jaccard_sets(t: Tables) -> DataFrame:
     return k.withColumnRenamed("user_id", "a").join(y, F.col("b") == F.col("a") + 1).select("a", "b", F.round(S.jaccard(F.col("d"), F.col("e")), 6).alias("jaccard"))
 
 
-@query("""with p as (select p_partkey, p_name, substr(lower(p_name), 1, 6) block, p_brand from part where p_partkey < 800) select x.p_partkey a, y.p_partkey b, cast(levenshtein(x.p_name, y.p_name) as int) d from p x join p y on x.block = y.block and x.p_brand = y.p_brand and x.p_partkey < y.p_partkey where levenshtein(x.p_name, y.p_name) <= 2""")
+@query("""with p as (select p_partkey, p_name, substr(lower(p_name), 1, 6) block, p_brand from part) select x.p_partkey a, y.p_partkey b, cast(levenshtein(x.p_name, y.p_name) as int) d from p x join p y on x.block = y.block and x.p_brand = y.p_brand and x.p_partkey < y.p_partkey where levenshtein(x.p_name, y.p_name) <= 2""")
 def fuzzy_block_match(t: Tables) -> DataFrame:
-    p = t.part.where("p_partkey < 800").select("p_partkey", "p_name", F.substring(F.lower("p_name"), 1, 6).alias("block"), "p_brand")
+    p = t.part.select("p_partkey", "p_name", F.substring(F.lower("p_name"), 1, 6).alias("block"), "p_brand")
     x, y = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), "block", "p_brand"), p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"), "block", "p_brand")
     return x.join(y, ["block", "p_brand"]).where("a < b").select("a", "b", F.levenshtein("na", "nb").alias("d")).where("d <= 2")
 
@@ -188,12 +187,12 @@ def case_linkage(t: Tables) -> DataFrame:
     return search.case_links(f, none).select("a", "b", F.round("score", 6).alias("score"), "strong")
 
 
-@query("""with p as (select doc_id, cast(n as int) n, length(passage) % 97 score from (select doc_id, n, trim(substr(text, n * 1200 + 1, 1200), ' ') passage from (select doc_id, text, unnest(range(greatest(1, least(3, cast(ceil(length(text) / 1200.0) as int))))) n from documents)) where length(passage) >= 40),
+@query("""with p as (select doc_id, cast(n as int) n, length(passage) % 97 score from (select doc_id, n, trim(substr(text, n * 1200 + 1, 1200), ' ') passage from (select doc_id, text, unnest(range(greatest(1, cast(ceil(length(text) / 1200.0) as int)))) n from documents)) where length(passage) >= 40),
  r as (select *, row_number() over (partition by doc_id order by score desc, n) k from p) select doc_id, n, cast(score as int) score from r where k = 1 order by score desc, doc_id limit 20""")
 def best_passage(t: Tables) -> DataFrame:
     from ..plans.outliers import best_passage as best
 
-    return best(T.passages(t.documents).select("doc_id", "n", (F.length("passage") % 97).alias("score")))
+    return best(T.passages(t.documents, most=None).select("doc_id", "n", (F.length("passage") % 97).alias("score")))
 
 
 @query()
@@ -202,5 +201,5 @@ def mention_function(t: Tables) -> DataFrame:
     from ..plans.tools import register_functions
 
     register_functions(t.spark)
-    t.conversations.where("turn = 0").createOrReplaceTempView("first_turns")
-    return t.spark.sql("select conv_id, m.* from first_turns, lateral mentions_of(text) m")
+    t.conversations.createOrReplaceTempView("turns")
+    return t.spark.sql("select conv_id, turn, m.* from turns, lateral mentions_of(text) m")

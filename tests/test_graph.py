@@ -174,3 +174,18 @@ def test_isolation_forest_isolates():
     x = np.concatenate([r.normal(size=(200, 3)), [[9, 9, 9]]])
     s = G.isolation_scores(x, trees=100)
     assert s.argmax() == 200 and s[200] > 0.6
+
+
+def test_running_sums_over_ranges(spark):
+    from casegraph.operators.prefix import numbered, running
+
+    rows = [(i * 37 % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = running(df, ["k"], {"s": "v"}).collect()
+    total, want = 0, {}
+    for k, v in sorted(rows):
+        total += v
+        want[k] = total
+    assert {r["k"]: r["s"] for r in got} == want
+    assert sorted((r["k"], r["i"]) for r in numbered(df, ["k"]).collect()) == [(i, i) for i in range(1000)]
+    assert numbered(df.limit(0), ["k"]).collect() == []
