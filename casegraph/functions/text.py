@@ -112,3 +112,22 @@ def charges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def gravest(charged: DataFrame, doc_id: str) -> DataFrame:
     return charged.groupBy(doc_id).agg(F.max_by("key", F.struct("gravity", "key")).alias("gravest"), F.max("gravity").alias("gravity"), F.count("*").alias("n_charges"))
+
+
+# --- the words of alerts ---
+
+
+def money_text(x: Column) -> Column:
+    return F.concat(F.lit("Rs "), F.format_number(x, 0))
+
+
+def percent_text(x: Column) -> Column:
+    return F.concat(F.round((x * 100).cast("decimal(18,4)"), 0).cast("int").cast("string"), F.lit("%"))
+
+
+def span_text(start: Column, end: Column) -> Column:
+    return F.concat_ws(" to ", F.date_format(start, "d MMM yyyy HH:mm"), F.date_format(end, "d MMM yyyy HH:mm"))
+
+
+def burst_text(total: Column, share: Column, senders: Column) -> Column:
+    return F.concat(money_text(total), F.lit(" from "), senders.cast("string"), F.lit(" senders, "), percent_text(share), F.lit(" of all that came in"))

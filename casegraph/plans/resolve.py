@@ -109,3 +109,33 @@ def dropped_sources(documents: DataFrame, evidence: DataFrame, entities: DataFra
     here = evidence.join(out, "document_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
     other = evidence.join(out, "document_id", "left_anti").select(F.col("entity_id").alias("id"))
     return documents.where(~F.col("source_type").isin(*kinds)), entities.join(here.join(other, "id", "left_anti"), "id", "left_anti")
+
+
+def deduplicated_documents(documents: DataFrame) -> DataFrame:
+    """Of documents with one title and source type, the one ingested first."""
+    from ..operators.relational import keep_first
+
+    return keep_first(documents, ["source_type", "title"], [F.col("ingested_at"), F.col("id")])
+
+
+def thin_documents(documents: DataFrame, extracted: DataFrame, fetched: DataFrame, least: int = 400) -> DataFrame:
+    """Documents worth another extraction: content under `least` characters, not extracted before, and a fetched text (id, text) that is
+    longer. The content becomes the fetched text."""
+    short = documents.where(F.coalesce(F.length("content"), F.lit(0)) < least).join(extracted.select("id"), "id", "left_anti")
+    j = short.join(fetched.select("id", F.col("text").alias("_t")), "id").where(F.length("_t") > F.coalesce(F.length("content"), F.lit(0)))
+    return j.withColumn("content", F.col("_t")).drop("_t")
+
+
+def without_text_extraction(edges: DataFrame, evidence: DataFrame, kinds: tuple[str, ...] = ("rules", "gliner", "llm")) -> tuple[DataFrame, DataFrame]:
+    """Edges and evidence that do not come from text alone: the state before an extraction is run anew. An edge stays if any of its
+    evidence (relationship_id) is structured."""
+    kept = evidence.where(~F.coalesce(F.col("extractor").isin(*kinds), F.lit(False)))
+    only = evidence.select(F.col("relationship_id").alias("id")).dropna().distinct().join(kept.select(F.col("relationship_id").alias("id")), "id", "left_anti")
+    return edges.join(only, "id", "left_anti"), kept
+
+
+def merged_attributes(rows: DataFrame, key: str = "id", order: str = "order") -> DataFrame:
+    """(key, attributes): of each attribute the first non-empty value by `order`; "Unverified" gives way to anything later."""
+    each = rows.select(key, order, F.explode("attributes").alias("k", "v")).where("v is not null and trim(v) <> ''")
+    best = each.groupBy(key, "k").agg(F.min_by("v", F.struct(F.lower("v") == "unverified", order)).alias("v"))
+    return best.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))
