@@ -173,12 +173,11 @@ def judged(urls: DataFrame, rules: list[Rule], model: Model | None, url: str = "
     """`urls` with host, path, rule, score (the trees' probability of a bad URL) and verdict: the rule's, else block where
     the score is at least `least`. Null urls and urls without :// have empty host and path, and are judged by the trees
     like any other. Without a model the score is 0. New columns replace columns of the same name."""
-    own = urls.drop("host", "path", "rule", "score", "verdict")
-    if model:
-        scored = model.featured(own.withColumn("_url", F.col(url)), "_url").withColumn("score", 1 / (1 + F.exp(-model.margin())))
+    own = urls.select(F.struct(*(c for c in urls.columns if c.lower() not in ("host", "path", "rule", "score", "verdict"))).alias("row"), F.col(url).alias("url"))
+    if model:  # the row is kept whole aside, so that no feature's name clashes with its columns
+        scored = model.featured(own).withColumn("score", 1 / (1 + F.exp(-model.margin())))
     else:
         scored = own.withColumn("score", F.lit(0.0))
-    h, p = host(F.col(url)), path(F.col(url))
+    scored = scored.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     name, verdict = rule(rules, F.col("host"), F.col("path"))
-    scored = scored.withColumns({"host": h, "path": p})
-    return scored.select(*own.columns, "host", "path", name.alias("rule"), "score", F.coalesce(verdict, F.when(F.col("score") >= least, "block").otherwise("allow")).alias("verdict"))
+    return scored.select("row.*", "host", "path", name.alias("rule"), "score", F.coalesce(verdict, F.when(F.col("score") >= least, "block").otherwise("allow")).alias("verdict"))

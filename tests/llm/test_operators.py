@@ -255,6 +255,9 @@ def test_url_trees_learn(spark):
     df = spark.createDataFrame(rows, "url string, label int")
     model = urls.fit(df.limit(500))
     held = urls.judged(df.subtract(df.limit(500)), [], model)
+    clash = df.limit(5).withColumns({"suffix": F.lit("s"), "f_length": F.lit("f"), "row": F.lit("r"), "_url": F.lit("u"), "f_site_rate": F.lit("x"), "Verdict": F.lit("v")})
+    kept = urls.judged(clash, [], model)
+    assert kept.columns == [*clash.columns[:-1], "host", "path", "rule", "score", "verdict"] and {tuple(r)[2:7] for r in kept.collect()} == {("s", "f", "r", "u", "x")}
     n = held.agg(F.count("*"), F.count_if((F.col("verdict") == "block") == (F.col("label") == 1))).head()
     assert n[1] >= 0.97 * n[0]
     features = urls.lexical(spark.createDataFrame([("http://ab.example.com/x/1?p=1&q=2",)], "url string")).head()
