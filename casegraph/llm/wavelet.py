@@ -25,7 +25,7 @@ from ._words import mixed, sliced
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 18
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 2_000_000
 SLICE = 2 << 20
 LEVEL = 1
 
