@@ -66,14 +66,17 @@ def raked(cells: DataFrame, flatten: dict[str, float] | None = None, targets: di
                 state = state.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"t_{d}") * F.col("all") / now).otherwise(0.0))
             done += 1
         state = written(state, "raked")
-        if tolerance > 0:
-            off = [F.max(F.abs(F.col("now") - F.col(f"t_{d}"))) for d in DIMENSIONS[:1]]
-            worst = state.groupBy("source").agg((F.sum("weight") / F.first("all")).alias("now"), F.first("t_source").alias("t_source")).agg(*off).head()[0]
-            if worst is None or worst <= tolerance:
-                break
+        if tolerance > 0 and max(_off(state, d) for d in DIMENSIONS) <= tolerance:
+            break
     return state.select(*DIMENSIONS, "tokens", "weight")
 
 
+def _off(state: DataFrame, d: str) -> float:
+    """By how much of all tokens the marginal of `d` misses its target at most."""
+    now = state.groupBy(d).agg((F.sum("weight") / F.first("all")).alias("now"), F.first(f"t_{d}").alias("want"))
+    return now.agg(F.max(F.abs(F.col("now") - F.col("want")))).head()[0] or 0.0
+
+
 def probabilities(cells: DataFrame, keep: float = 0.5) -> DataFrame:
     """`cells` with probability: least(1, c * weight / tokens), c such that the expected tokens are `keep` of all
     (less only if cells without weight hold the rest). Cells without tokens get probability 1: they cost nothing."""

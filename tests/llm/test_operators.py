@@ -205,6 +205,8 @@ def test_raking_meets_its_marginals(spark):
     for j in range(3):
         assert abs(sum(x["weight"] - x["tokens"] for x in rows if x["lang"] == f"l{j}")) / total < 1e-6
     assert abs(sum(x["weight"] for x in rows if x["topic"] == "t0") / total - 0.5) < 1e-6
+    early = mixing.raked(cells, {"lang": 1.0, "topic": 0.0}, {"source": want}, 400, tolerance=1e-6).collect()
+    assert max(abs(sum(x["weight"] for x in early if x["source"] == f"s{s}") / total - 0.25) for s in range(4)) <= 1e-6
     p = mixing.probabilities(spark.createDataFrame(rows), 0.4).collect()
     assert abs(sum(x["tokens"] * x["probability"] for x in p) / total - 0.4) < 1e-9 and max(x["probability"] for x in p) <= 1
     free = [x for x in p if x["probability"] < 1]
