@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, media, mixing, neardup, quality, sharding, urls, wavelet
+from . import decontam, langid, licenses, media, mixing, neardup, oracle, quality, sharding, urls, wavelet
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -70,4 +70,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_wavelet, op2_licenses, op3_media, op4_mixing, op5_urls, op6_langid, op7_quality, op8_decontam, op9_neardup, op10_sharding)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_mixing": oracle.mixing_sql(), "op10_sharding": oracle.SHARDING}
