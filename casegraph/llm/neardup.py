@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,14 +131,20 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 # --- similarity above a threshold ---
 #
-# A radius of three bits holds copies that differ in few words of many. For all texts of a shingle similarity of 0.8 or
-# more, the fingerprint is a long SimHash over the set of a text's words, cut into bands of 32 bits. Similar texts agree in
-# some band up to one bit, so in that band they meet at an anchor. Per anchor each text is compared with the anchor's first
-# text only, which keeps a group of n copies at n comparisons instead of n * n; as every text meets some 14 anchors in
-# each of the bands, a pair has many chances to meet, directly or over a common neighbour. Candidates are then verified by
-# the exact Jaccard similarity of their shingle sets.
-
-BANDS = 12
+# A radius of three bits holds copies that differ in few words of many. All texts of a shingle similarity of `least` or more are
+# found by a prefix-filtered set join, which loses none: with all shingles in one order, two such texts share one of their first
+# n - ceil(least * n) + 1 shingles, where n is the size of the set. Any order is right; shingles that a sample shows to be common
+# come last, so that they are seldom among the first. Lengths and positions bound the overlap further. A group of n copies is not
+# compared n * n times: texts are first compared with a few pivots of each shingle, and then all pairs that share a shingle and are
+# not in one component yet. There, a sketch of the set bounds the difference: its bits are the parities of the shingles of each of
+# 512 classes, so two sketches differ in no more bits than the sets in shingles. Candidates are verified by the exact Jaccard similarity
+# of their shingle sets.
+
+SAMPLE_TEXTS = 50_000
+COMMON = 50_000
+SKETCH = 8
+PIVOTS = 4
+TASK_PAIRS = 2_000_000
 BROADCAST_TEXTS = 500_000
 _LANES = np.uint64(0x0101010101010101)
 _BLACK = ~SPACE
@@ -168,16 +174,6 @@ def majority(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> np.ndarra
     return out
 
 
-def banded(column: pa.Array, bands: int = BANDS) -> np.ndarray:
-    """(texts, bands) uint32: the SimHash over each text's set of words."""
-    out = np.zeros((len(column), bands), np.uint32)
-    for base, last, w in sliced(column, _BLACK):
-        pair = np.unique(w.row.astype(np.uint64) << np.uint64(44) | w.word_hash() >> np.uint64(20))
-        full = majority(mixed(pair & np.uint64((1 << 44) - 1)), (pair >> np.uint64(44)).astype(np.int64), last - base, -(-bands // 2))
-        out[base:last] = full.view("<u4")[:, :bands]
-    return out
-
-
 def shingle_sets(column: pa.Array, k: int) -> list[bytes]:
     """The sorted set of each text's k-word shingle hashes as bytes; fewer words make one shingle, none makes none."""
     out = [b""] * len(column)
@@ -192,30 +188,100 @@ def shingle_sets(column: pa.Array, k: int) -> list[bytes]:
     return out
 
 
-def candidates(prints: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(a, b), a < b: each text of `prints` (id long, no repeats; fp, the bands as bytes) with the first text of each anchor that it
-    meets in a band, if they differ there in at most one bit."""
+def prefixes(sets: list[bytes], least: float, common: np.ndarray) -> list[bytes]:
+    """The first shingles of each set as bytes: those not in `common` by hash, then those in it by their place. common: hashes, the rarest
+    first."""
+    by = np.argsort(common, kind="stable")
+    known = common[by]
+    out = []
+    for x in sets:
+        s = np.frombuffer(x, "<u8")
+        n = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1 if len(s) else 0
+        if len(known) and n:
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            place = np.where(known[at] == s, by[at], -1)
+            s = s[np.argsort(place, kind="stable")]
+        out.append(s[:n].tobytes())
+    return out
+
 
-    def placed(schema: str, near: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                fps = np.frombuffer(b"".join(x.as_py() for x in b.column(1)), "<u4").reshape(-1, bands).astype(np.int64)
-                for band in range(bands):
-                    for i in range(0, len(ids), 20_000):
-                        fp = fps[i : i + 20_000, band]
-                        if near:
-                            at, key, _ = anchors(fp, halves=1)
-                        else:
-                            at, key = np.arange(len(fp)), home(fp)
-                        yield pa.RecordBatch.from_arrays([pa.array(key | band << 40), pa.array(ids[i : i + 20_000][at]), pa.array(fp[at])], names=["anchor", "id", "fp"])
+def parities(s: bytes) -> np.ndarray:
+    """The sketch of a set, SKETCH longs."""
+    n = np.bincount(np.frombuffer(s, "<u8").astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH)
+    return np.packbits((n & 1).astype(np.uint8)).view("<i8")
 
-        return prints.mapInArrow(run, schema)
 
-    schema = "anchor long, id long, fp long"
-    first = placed(schema, False).groupBy("anchor").agg(F.min("id").alias("first"), F.min_by("fp", "id").alias("first_fp"))
-    met = placed(schema, True).join(first, "anchor").where((F.col("id") != F.col("first")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= 1))
-    return met.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
+    """Hashes of shingles that three or more of `texts` (column text) hold, the rarest first; at most COMMON of the commonest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in shingle_sets(b.column(0), k):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<i8"))], names=["h"])
+
+    counts = written(texts.select("text").mapInArrow(run, "h long").groupBy("h").count().where("count >= 3"), "common")
+    total, lowest = 0, None
+    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():  # a row per count
+        if (total := total + r["n"]) > COMMON:
+            break
+        lowest = r["count"]
+    if lowest is None:
+        return np.zeros(0, np.uint64)
+    rows = counts.where(F.col("count") >= lowest).toArrow()
+    h, n = rows.column("h").to_numpy(), rows.column("count").to_numpy()
+    return h[np.lexsort((h, n))].view(np.uint64)
+
+
+def shared(prints: DataFrame) -> DataFrame:
+    """(key, id, size, pos) of `prints` (id, no repeats; size; prefix): the first shingles that more than one text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for i in range(0, len(ids), 1000):
+                parts = [np.frombuffer(x.as_py(), "<i8") for x in b.column(2)[i : i + 1000]]
+                n = [len(x) for x in parts]
+                pos = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(ids[i : i + 1000], n)), pa.array(np.repeat(sizes[i : i + 1000], n)), pa.array(pos)], names=["key", "id", "size", "pos"])
+
+    placed = prints.select("id", "size", "prefix").mapInArrow(run, "key long, id long, size int, pos int")
+    return placed.join(placed.groupBy("key").count().where("count > 1").select("key"), "key")
+
+
+def possible(least: float) -> Column:
+    """Whether sizes and positions of a shared shingle in x and y let the similarity reach `least`; the first shingle that two similar texts
+    share always passes."""
+    nx, ny = F.col("x.size"), F.col("y.size")
+    most = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
+    return (F.least(nx, ny) >= least * F.greatest(nx, ny) - 1e-6) & (most * (1 + least) >= least * (nx + ny) - 1e-6)
+
+
+def pivot_pairs(placed: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: each text of `placed`, as of shared(), with one text of each of its shingles. Shingles choose by one of PIVOTS orders,
+    so that those of one group choose few texts."""
+    by = F.xxhash64("id", F.pmod("key", F.lit(PIVOTS)))
+    pivot = placed.groupBy("key").agg(F.min_by(F.struct("id", "size", "pos"), F.struct(by, "id")).alias("p")).select("key", "p.*")
+    met = placed.alias("x").join(pivot.alias("y"), "key").where((F.col("x.id") != F.col("y.id")) & possible(least))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def other_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of `placed` that share a shingle and are not in one component of `nodes` (node, component) yet. For each
+    shingle, the texts outside its largest component are compared with all others; where these are many, in several tasks. sketches: (id, q0, q1, ...)."""
+    of = placed.join(nodes.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component")
+    mixed_keys = of.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("key")
+    left = written(of.join(mixed_keys, "key"), "mixed")
+    count = left.groupBy("key", "of").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "of")).alias("main"))
+    work = (F.col("n") - F.col("main.n")).cast("double") * F.col("n") / TASK_PAIRS
+    count = count.select("key", F.col("main.of").alias("main"), F.least(F.ceil(work), F.col("n")).cast("int").alias("parts"))
+    both = left.join(count, "key").join(sketches, "id")
+    x = both.where("of <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    y = both.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    once = (F.col("y.of") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    apart = sum((F.bit_count(F.col(f"x.q{i}").bitwiseXOR(F.col(f"y.q{i}"))) for i in range(SKETCH)), F.lit(0))
+    near = apart * (1 + least) <= (1 - least) * (F.col("x.size") + F.col("y.size")) + 1e-6
+    met = x.alias("x").join(y.alias("y"), ["key", "part"]).where((F.col("x.of") != F.col("y.of")) & once & possible(least) & near)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -244,24 +310,39 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = banded(b.column(2)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in fp], pa.binary())], names=["doc_id", "digest", "fp"])
+            s = shingle_sets(b.column(2), k)
+            size, q = np.array([len(x) // 8 for x in s], np.int32), np.array([parities(x) for x in s], np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(prefixes(s, least, common), pa.binary()), *(pa.array(q[:, i].copy()) for i in range(SKETCH))], names=["doc_id", "digest", "size", "prefix", *longs])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shingle_sets(b.column(1), k), pa.binary())], names=["id", "s"])
 
-    rows = written(own.mapInArrow(printed, "doc_id long, digest binary, fp binary"), "prints")
-    first = written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("fp").alias("fp")), "distinct")
-    pairs = written(candidates(first.select(F.xxhash64("digest").alias("id"), "fp")), "met")
+    def similar(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(named, "node").select("node", F.col("id").alias("doc_id"), "digest")
+        used = written(used, "used")
+        if used.count() <= BROADCAST_TEXTS:
+            used = F.broadcast(used)
+        s = own.join(used, ["doc_id", "digest"]).select(F.col("node").alias("id"), "text").mapInArrow(sets, "id long, s binary")
+        s = written(s.groupBy("id").agg(F.first("s").alias("s")), "sets")  # rows that repeat
+        return written(verified(pairs, s, least), "similar")
+
+    longs = [f"q{i}" for i in range(SKETCH)]
+    # the sample only orders the shingles
+    part = max(1, docs.count() // SAMPLE_TEXTS)
+    common = common_shingles(own.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).dropDuplicates(["digest"]), k)
+    rows = written(own.mapInArrow(printed, "doc_id long, digest binary, size int, prefix binary, " + ", ".join(f"{q} long" for q in longs)), "prints")
+    first = written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(q).alias(q) for q in longs)), "distinct")
+    rows = rows.select("doc_id", "digest")
     named = first.select("digest", "id", "n", F.xxhash64("digest").alias("node"))
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(named, "node").select("node", F.col("id").alias("doc_id"), "digest")
-    used = written(used, "used")
-    if used.count() <= BROADCAST_TEXTS:
-        used = F.broadcast(used)
-    s = own.join(used, ["doc_id", "digest"]).select(F.col("node").alias("id"), "text").mapInArrow(sets, "id long, s binary")
-    s = written(s.groupBy("id").agg(F.first("s").alias("s")), "sets")  # rows that repeat
-    nodes = components(verified(pairs, s, least))
+    placed = written(shared(first.select(F.xxhash64("digest").alias("id"), "size", "prefix")), "shared")
+    sketches = first.select(F.xxhash64("digest").alias("id"), *longs)
+    first = first.select("digest", "id", "n")
+    pairs = written(pivot_pairs(placed, least), "pivots")
+    links = similar(pairs)
+    nodes = written(components(links), "nodes")
+    rest = written(other_pairs(placed, nodes, sketches, least).join(pairs, ["a", "b"], "left_anti"), "met")
+    nodes = components(links.union(similar(rest)))
     linked = nodes.join(named, "node").select("digest", "component", "id")
     smallest = linked.groupBy("component").agg(F.min("id").alias("component_id"))
     of = first.join(linked.join(smallest, "component").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))

@@ -488,6 +488,22 @@ def test_similar_texts(spark, docs, empty):
     assert all(c == d for d, c in got.items() if want[d] == d)
 
 
+def test_similar_texts_loses_no_pair(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(120):  # five of 49 words differ at the end: 40 of 50 shingles in common
+        w = [f"w{r.randrange(10**6)}" for _ in range(49)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w[:44] + [f"n{i}x{j}" for j in range(5)])), (3 * i + 2, " ".join(w[:43] + [f"m{i}x{j}" for j in range(6)]))]
+    line = " ".join(f"common{j}" for j in range(30))  # one line in many texts, and a chain of texts each like the next
+    rows += [(1000 + i, f"{line} " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randrange(1, 60)))) for i in range(120)]
+    chain = [f"c{j}" for j in range(200)]
+    rows += [(2000 + i, " ".join(chain[3 * i : 3 * i + 40])) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((x["doc_id"], x["component_id"]) for x in neardup.similar_clusters(df).collect())
+    assert got == brute_similar(rows)
+    assert sum(c != d for d, c in got) > 150
+
+
 def test_majority_counts_bits():
     r = np.random.default_rng(1)
     h, row = r.integers(0, 1 << 63, 1500, dtype=np.uint64), np.sort(r.choice([0, 1, 2, 4, 5], 1500))
