@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators.store import written
 from ..plans import search
 from . import Tables, query
 
@@ -178,13 +179,21 @@ def grounding_check(t: Tables) -> DataFrame:
     return literal(t, [("He went  to Delhi.", "went to delhi"), ("He went to Delhi.", "to Agra"), ("x", None)], "body string, quote string").withColumn("ok", grounded(F.col("body"), F.col("quote")))
 
 
-@query()
-def case_linkage(t: Tables) -> DataFrame:
+def _case_links(t: Tables) -> DataFrame:
     vocabulary = {"approach": ("the", "and "), "control": ("that", "for "), "scene": ("with", "from"), "signature": ("idiot", "license")}
     f = search.case_features(t.documents.withColumnRenamed("doc_id", "case_id"), vocabulary=vocabulary)
-    f = f.where(F.size("signature") > 0)
-    none = t.spark.createDataFrame([], "a long, b long, cos double")
-    return search.case_links(f, none).select("a", "b", F.round("score", 6).alias("score"), "strong")
+    weights = written(search.tfidf(t.documents, "doc_id", "text"), "weights")
+    return search.case_links(f, written(search.cosines(weights, "doc_id"), "cosines"))
+
+
+@query()
+def case_linkage(t: Tables) -> DataFrame:
+    return _case_links(t).select("a", "b", F.round("score", 6).alias("score"), "strong")
+
+
+@query()
+def case_series(t: Tables) -> DataFrame:
+    return search.series(written(_case_links(t), "case_links")).withColumn("cohesion", F.round("cohesion", 6))
 
 
 @query("""with p as (select doc_id, cast(n as int) n, length(passage) % 97 score from (select doc_id, n, trim(substr(text, n * 1200 + 1, 1200), ' ') passage from (select doc_id, text, unnest(range(greatest(1, cast(ceil(length(text) / 1200.0) as int)))) n from documents)) where length(passage) >= 40),
