@@ -57,13 +57,10 @@ def contained_places(places: DataFrame, least: int = 5) -> DataFrame:
 
 
 def screened(actors: DataFrame, listed: DataFrame, least_person: float = 88.0, least_org: float = 92.0) -> DataFrame:
-    """(id, list_id, score, strong): the best watchlist name of each actor (id, type, label); names under seven characters and persons of one
-    token are skipped. Candidates share a token of four letters or more."""
+    """(id, list_id, score, strong): the best watchlist name of each actor (id, type, label) among all names of any type; names under seven
+    characters and persons of one token are skipped. The list is the smaller side: actors are scored against the whole of it."""
     a = actors.where((F.length("label") >= 7) & ((F.col("type") != "PERSON") | (F.size(F.split(F.trim("label"), r"\s+")) >= 2)))
-    token = lambda c: F.explode(F.filter(F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")), lambda t: F.length(t) >= 4))
-    x = a.select("id", "type", "label", token("label").alias("t"))
-    y = listed.select(F.col("id").alias("list_id"), F.col("type").alias("list_type"), F.col("name"), token("name").alias("t"))
-    pairs = x.join(y, (x.t == y.t) & (x.type == y.list_type)).select("id", "type", "label", "list_id", "name").distinct()
+    pairs = a.select("id", "type", "label").crossJoin(listed.select(F.col("id").alias("list_id"), "name").distinct())
     s = scored(pairs, "label", "name").where(F.col("score") >= F.when(F.col("type") == "PERSON", least_person).otherwise(least_org))
     best = s.groupBy("id", "type", "label").agg(F.max_by(F.struct("list_id", "score"), F.struct("score", F.col("list_id"))).alias("x"))
     strong = ((F.size(F.split("label", r"\s+")) >= 3) & (F.col("x.score") >= 95)) | ((F.col("type") == "ORGANIZATION") & (F.col("x.score") >= 97))

@@ -18,3 +18,11 @@ def test_case_linkage_reads_all_documents_and_narratives(spark, tmp_path):
 def test_cosines_are_all_pairs(spark):
     w = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.8), (2, "b", 1.0), (3, "a", 0.8), (3, "b", 0.6), (4, "c", 1.0)], "d long, term string, w double")
     assert {(r["a"], r["b"]): r["cos"] for r in search.cosines(w, "d").collect()} == pytest.approx({(1, 2): 0.8, (1, 3): 0.96, (2, 3): 0.6})
+
+
+def test_screening_scores_all_names(spark):
+    from casegraph.plans import resolve
+
+    a = spark.createDataFrame([(1, "PERSON", "Lee Kim Sun"), (2, "PERSON", "Mohamed Salahudin"), (3, "ORGANIZATION", "Blue Star Traders")], "id long, type string, label string")
+    w = spark.createDataFrame([("L1", "PERSON", "Lee Kim Sun"), ("L2", "PERSON", "Mohammad Salahuddin"), ("L3", "PERSON", "Blue Star Traders")], "id string, type string, name string")
+    assert {(r["id"], r["list_id"]) for r in resolve.screened(a, w).collect()} == {(1, "L1"), (2, "L2"), (3, "L3")}
