@@ -103,7 +103,7 @@ def centroid_similar(t: Tables) -> DataFrame:
 
 @query()
 def tfidf_terms(t: Tables) -> DataFrame:
-    return search.tfidf(t.documents, "doc_id", "text", 2000).withColumn("w", F.round("w", 6))
+    return search.tfidf(t.documents, "doc_id", "text").withColumn("w", F.round("w", 6))
 
 
 @query("""with k as (select user_id, list_sort(list_distinct(list(event_type))) x, list_sort(list_distinct(list(strftime(ts, '%a')))) d from events group by 1) select a.user_id a, b.user_id b, round(len(list_intersect(a.d, b.d)) / len(list_distinct(a.d || b.d)), 6) jaccard from k a join k b on b.user_id = a.user_id + 1""")

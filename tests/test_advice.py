@@ -26,3 +26,11 @@ def test_screening_scores_all_names(spark):
     a = spark.createDataFrame([(1, "PERSON", "Lee Kim Sun"), (2, "PERSON", "Mohamed Salahudin"), (3, "ORGANIZATION", "Blue Star Traders")], "id long, type string, label string")
     w = spark.createDataFrame([("L1", "PERSON", "Lee Kim Sun"), ("L2", "PERSON", "Mohammad Salahuddin"), ("L3", "PERSON", "Blue Star Traders")], "id string, type string, name string")
     assert {(r["id"], r["list_id"]) for r in resolve.screened(a, w).collect()} == {(1, "L1"), (2, "L2"), (3, "L3")}
+
+
+def test_tfidf_terms_keeps_6000_terms(spark, tmp_path):
+    from casegraph.queries import QUERIES
+
+    rows = [(d, " ".join(f"t{d}x{i}" for i in range(40))) for d in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["tfidf_terms"](spark, str(tmp_path)).select("term").distinct().count() == 6000
