@@ -5,8 +5,10 @@ For each benchmark item, windows of as many words as the item has get a 64-bit S
 values within 5 bits hold every item in the radius. Candidates are then verified by the exact weighted share of the
 item's shingles (a shingle weighs as often as it occurs) that the window holds.
 
-Windows are only formed where they can pass: a (document, item) pair of which the document holds too few of the item's
-shingles anywhere cannot reach the threshold in any window, and a window is placed where shared shingles align it.
+Every window that can pass is formed: one in which fewer of the item's shingles begin than the threshold needs cannot
+reach it, all others are fingerprinted, wherever and in whatever order the shingles stand. A window that holds just the
+threshold's share lies outside the radius about once in a thousand times, so the windows of a (document, item) pair that
+no window in the radius has verified are verified too: the radius loses nothing.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.store import fresh_name
+from ..operators.prefix import numbered
+from ..operators.store import fresh_name, written
 from ._words import rolled, sliced
 
 SHINGLE = 5
 RADIUS = 23
-SHIFT = 4
 BLOCKS = 4
 _TABLE_BITS = 20
 
@@ -56,6 +58,13 @@ class Index:
     keys: dict[int, tuple]  # by shingle length: sorted hashes, first occurrence, item and offset of the occurrences, bitmap
     lists: list[tuple[np.ndarray, np.ndarray]]  # by block: where a value's list begins, items
 
+    def finds(self, fp: np.ndarray, item: int) -> np.ndarray:
+        """For which fingerprints `item` is within the radius."""
+        at, found = self.near(fp)
+        out = np.zeros(len(fp), bool)
+        out[at[found == item]] = True
+        return out
+
     def near(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs whose fingerprints are within the radius."""
         pairs = []
@@ -77,9 +86,11 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def index(items: list[tuple[int, str | None]]) -> Index | None:
-    """Items without a word are left out; None if none is left."""
+    """Items without a word are left out; None if none is left. Items stand in the order of id (null last) and text; ids may be of any
+    type that has an order."""
     ids, size, short, slots, counts, prints, occurrences = [], [], [], [], [], [], {}
-    for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+    known = sorted((x for x in items if x[0] is not None), key=lambda x: (x[0], x[1] or ""))
+    for item, text in known + sorted((x for x in items if x[0] is None), key=lambda x: x[1] or ""):
         w = next(iter(sliced(pa.array([text], pa.large_string()), most=1 << 62)))[2]
         if not len(w.start):
             continue
@@ -126,60 +137,98 @@ def matches(column: pa.Array, ix: Index, least: float) -> list[tuple[int, int, f
                 continue
             key = np.searchsorted(unique, s[hit])
             hit, key = hit[(ok := unique[np.minimum(key, len(unique) - 1)] == s[hit])], key[ok]
+            if not len(hit):
+                continue
             which, spread = _spread(first[key], first[key + 1])
             pos, item, offset = at[hit[which]], items[spread], offsets[spread]
             row = w.row[pos]
-            # a pair can only pass if enough of the item's shingles occur anywhere in the row
-            pair = row * len(ix.ids) + item
-            slot = np.unique(pair * (int(ix.slots.max()) + 1) + offset) // (int(ix.slots.max()) + 1)
-            seen, n = np.unique(slot, return_counts=True)
-            able = seen[n >= least * ix.slots[seen % len(ix.ids)] - 1e-9]
-            ok = np.isin(pair, able)
-            row, item, start = row[ok], item[ok], (pos - offset)[ok]
-            if not len(row):
-                continue
-            size = ix.words[item]
-            place = np.unique(np.stack([row, size, start], axis=1), axis=0)
-            place = np.repeat(place, 2 * SHIFT + 1, axis=0)
-            place[:, 2] += np.tile(np.arange(-SHIFT, SHIFT + 1), len(place) // (2 * SHIFT + 1))
-            place[:, 2] = np.maximum(ends[place[:, 0]], np.minimum(place[:, 2], ends[place[:, 0] + 1] - place[:, 1]))
-            place[:, 1] = np.minimum(place[:, 1], ends[place[:, 0] + 1] - place[:, 2])  # a shorter row is one window
-            place = np.unique(place, axis=0)
-            where = np.searchsorted(at, place[:, 2])  # at: the words that begin a shingle, ascending
+            n_items = len(ix.ids)
+            pair = np.unique((row * n_items + item) * (len(w.row) + 1) + pos)  # a place of a shingle counts once for an item
+            pair, pos = pair // (len(w.row) + 1), pair % (len(w.row) + 1)
+            first_of, last_of = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]), np.flatnonzero(np.r_[pair[1:] != pair[:-1], True]) + 1
+            need = _needed(ix.slots[pair[first_of] % n_items], least)
+            enough = last_of - first_of >= need
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            pairs = set(able.tolist())
-            for m in np.unique(place[:, 1]):
-                if m < k:
+            for i, j, m in zip(first_of[enough].tolist(), last_of[enough].tolist(), need[enough].tolist(), strict=True):
+                r, y = divmod(int(pair[i]), n_items)
+                size = min(int(ix.words[y]), int(ends[r + 1] - ends[r]))  # a shorter row is one window
+                starts = _window_starts(pos[i:j], m, size - k + 1, int(ends[r]), int(ends[r + 1]) - size)
+                if not len(starts):
                     continue
-                chosen = np.flatnonzero(place[:, 1] == m)
-                windows = s[where[chosen][:, None] + np.arange(m - k + 1)[None, :]]
-                for x, y in zip(*ix.near(simhash(windows)), strict=True):
-                    if ix.shingle[y] != k:
+                where = np.searchsorted(at, starts)  # at: the words that begin a shingle, ascending
+                prints = simhash_at(s, where, size - k + 1)
+                inside = ix.finds(prints, y)
+                for chosen in (inside, ~inside):  # those beyond the radius only where none within it passes
+                    if (r, y) in best or not chosen.any():
                         continue
-                    r, begin = int(place[chosen[x], 0]), int(place[chosen[x], 2])
-                    if r * len(ix.ids) + y not in pairs:
-                        continue
-                    have = Counter(windows[x].tolist())
-                    share = sum(min(c, have[g]) for g, c in ix.counts[y].items()) / int(ix.slots[y])
-                    if share >= least - 1e-9 and (share, -begin) > best.get((r, y), (0.0, 0)):
+                    share, begin = _best_window(s, where[chosen], starts[chosen], size - k + 1, ix.counts[y], int(ix.slots[y]))
+                    if share >= least - 1e-9:
                         best[r, y] = (share, -begin)
             out += [(r + base, int(y), share, -begin - int(ends[r])) for (r, y), (share, begin) in best.items()]
     return out
 
 
+def _needed(slots: np.ndarray, least: float) -> np.ndarray:
+    """How many of its shingles a window must hold of an item with so many."""
+    return np.maximum(1, np.ceil(least * slots - 1e-9)).astype(np.int64)
+
+
+def _window_starts(pos: np.ndarray, need: int, length: int, lowest: int, highest: int) -> np.ndarray:
+    """All starts from lowest to highest of runs of `length` places that hold at least `need` of the ascending places `pos`."""
+    if len(pos) < need:
+        return np.zeros(0, np.int64)
+    lo, hi = np.maximum(pos[need - 1 :] - length + 1, lowest), np.minimum(pos[: len(pos) - need + 1], highest)
+    lo = np.maximum(lo, np.r_[lowest, hi[:-1] + 1])  # intervals ascend; each start once
+    at, starts = _spread(lo, np.maximum(lo, hi + 1))
+    return starts
+
+
+def simhash_at(s: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
+    """SimHash of the runs of `length` shingles from each of `where`, some at a time."""
+    step = max(1, (1 << 20) // max(1, length))
+    parts = [simhash(s[where[i : i + step, None] + np.arange(length)[None, :]]) for i in range(0, len(where), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _best_window(s: np.ndarray, where: np.ndarray, starts: np.ndarray, length: int, counts: Counter, slots: int) -> tuple[float, int]:
+    """(share, start) of the window with the largest share of the item's shingles, the first of equals. Counts run from window to
+    window where these follow each other."""
+    best, begin, held, have, before = -1, 0, 0, Counter(), None
+    for x, start in zip(where.tolist(), starts.tolist(), strict=True):
+        if before is not None and x == before + 1:
+            out, new = int(s[before]), int(s[before + length])
+            if out in counts:
+                held -= have[out] <= counts[out]
+                have[out] -= 1
+            if new in counts:
+                have[new] += 1
+                held += have[new] <= counts[new]
+        else:
+            have = Counter(g for g in s[x : x + length].tolist() if g in counts)
+            held = sum(min(n, counts[g]) for g, n in have.items())
+        before = x
+        if held > best:
+            best, begin = held, start
+    return best / slots, begin
+
+
 def _blocks(items: DataFrame, item_id: str, text: str, most_items: int) -> Iterator[Index]:
-    """Indexes of blocks of about most_items items: each a bounded broadcast, however large the benchmark is."""
+    """Indexes of blocks of at most most_items items, by their number in order: each a bounded broadcast, however large the benchmark
+    is and however often an item repeats."""
     own = items.select(F.col(item_id).alias("item"), F.col(text).cast("string").alias("text"))
-    n = -(-own.count() // most_items)
-    for b in range(n):
-        rows = own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()
-        if ix := index([(r["item"], r["text"]) for r in rows]):
+    if own.count() <= most_items:
+        blocks = [own]
+    else:
+        rows = written(numbered(own, ["item", "text"]).withColumn("block", F.floor(F.col("i") / most_items)), "items")
+        blocks = [rows.where(F.col("block") == b) for b in range(rows.agg(F.max("block")).head()[0] + 1)]
+    for rows in blocks:
+        if ix := index([(r["item"], r["text"]) for r in rows.select("item", "text").collect()]):  # most_items rows at most
             yield ix
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8, most_items: int = 400) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, n_words): for each row and each item it holds, the most similar window
-    (the first of equals). Similarity: share of the item's 5-word shingles, by multiplicity, that the window has. Words are
+    """(doc_id, item_id, similarity, start_word, n_words): for each row and each item it holds, the most similar of its windows
+    within the radius (if none passes there, of all its windows), the first of equals. Similarity: share of the item's 5-word shingles, by multiplicity, that the window has. Words are
     runs of letters and digits, A-Z lower-cased; an item of fewer than five words is one shingle. Null, empty and wordless
     texts and items match nothing; repeated rows and items each give rows; empty tables give an empty one."""
     spark = docs.sparkSession
@@ -212,7 +261,8 @@ def _arrow(field: T.StructField) -> pa.DataType:
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.8, most_items: int = 400) -> DataFrame:
     """The rows of `docs` that hold no item, with all their columns: the same test as contaminated(), in one pass per
-    block of items and without a shuffle."""
+    block of items and without a shuffle. Rows with a null, empty or wordless text stay, as do all rows where there are no items;
+    repeated rows fare alike; an empty table gives an empty one; columns of any name pass through."""
     spark = docs.sparkSession
     for ix in _blocks(items, item_id, item_text, most_items):
         key = fresh_name("_text", docs.columns)
