@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.store import fresh_name, written
+from ..operators.store import written
 
 
-def _sizes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    utf8 = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
-    return docs.select(
-        F.col(doc_id).alias("doc_id"), (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32"), F.xxhash64(text).alias("tie")
-    )
-
-
-def balanced(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) per row. The rows stand in the order of doc_id (nulls first, rows of one id
-    by a hash of the text); a row's size is its UTF-8 bytes plus one (null text: one). Row r goes to the shard in whose
-    equal share of all bytes the middle of r falls, so shards are contiguous and each differs from its target by at
-    most the largest row. slot counts the rows of a shard from 0. An empty table gives an empty one; a shard may stay
-    empty where one row is larger than a target.
-
-    Plan: rows reduced to 40 bytes are dealt by ranges and written with their partition's number; the partitions' totals
-    (as many rows as partitions) are summed up in one window and broadcast; running sums are taken per partition.
-    """
+def _placed(rows: DataFrame, shards: int) -> DataFrame:
+    """`rows` (doc_id, size, text_crc32, tie and any others) with shard and slot. The only shuffle deals whole rows by ranges."""
     order = ["doc_id", "tie", "size", "text_crc32"]
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _sizes(docs, doc_id, text).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
-    rows = written(rows, "sizes")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "sizes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     totals = totals.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("bytes", "rows")))
@@ -39,18 +22,41 @@ def balanced(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str
     placed = placed.join(F.broadcast(totals), "part").crossJoin(F.broadcast(everything))  # one row: the total
     middle = 2 * (F.col("bytes_before") + F.col("upto")) - F.col("size")
     shard = F.least(F.lit(shards - 1), F.floor(middle * (shards / 2) / F.col("all_bytes")))  # as doubles: one law for rows on a cut too
-    placed = placed.select("doc_id", "size", "text_crc32", "part", shard.cast("int").alias("shard"), (F.col("rows_before") + F.col("nth") - 1).alias("nth"))
-    first = placed.groupBy("shard").agg(F.min("nth").alias("first"))
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("nth") - F.col("first")).alias("slot"))
+    return placed.withColumns({"shard": shard.cast("int"), "nth": F.col("rows_before") + F.col("nth") - 1})
+
+
+def _slots(placed: DataFrame, of: DataFrame) -> DataFrame:
+    """`placed` with slot; of: rows of the same shards and numbers, without the texts."""
+    first = of.groupBy("shard").agg(F.min("nth").alias("first"))
+    return placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("nth") - F.col("first"))  # a row a shard
+
+
+def _sized(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [F.col(doc_id).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("tie")]
+
+
+def balanced(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) per row. The rows stand in the order of doc_id (nulls first, rows of one id
+    by a hash of the text); a row's size is its UTF-8 bytes plus one (null text: one). Row r goes to the shard in whose
+    equal share of all bytes the middle of r falls, so shards are contiguous and each differs from its target by at
+    most the largest row. slot counts the rows of a shard from 0. An empty table gives an empty one; a shard may stay
+    empty where one row is larger than a target. Rows that repeat a doc_id each have a slot; ids may be of any type that has an
+    order; other columns are not read.
+
+    Plan: rows reduced to 40 bytes are dealt by ranges and written with their partition's number; the partitions' totals
+    (as many rows as partitions) are summed up in one window and broadcast; running sums are taken per partition. A range holds
+    whole keys (id, hash, size, checksum), so copies of one text under one id share a task, other rows of an id do not.
+    """
+    placed = _placed(docs.select(*_sized(docs, doc_id, text)), shards)
+    return _slots(placed, placed).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def sharded(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with shard and slot instead of any columns so named: the layout of the final output. Rows that repeat a doc_id, null
-    included, are matched by their rank within it, so each row has one slot."""
-    key, nth = fresh_name("_id", docs.columns), fresh_name("_nth", docs.columns)
-    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rank = lambda *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    at = balanced(docs, shards, doc_id, text).withColumn(key, whole("doc_id")).withColumn(nth, rank("shard", "slot")).select(key, nth, "shard", "slot")
-    utf8 = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rest = docs.drop("shard", "slot").withColumn(key, whole(doc_id)).withColumn(nth, rank(F.xxhash64(text), F.octet_length(utf8)))
-    return rest.join(at, [key, nth]).drop(key, nth)
+    """`docs` with shard and slot, as balanced() gives them, instead of any columns so named: the layout of the final output. The
+    row itself is carried through the one order, so each row has the slot that balanced() counts for it, whether ids are null, empty
+    or repeated."""
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    placed = _placed(docs.select(*_sized(docs, doc_id, text), row), shards)
+    return _slots(placed, placed.drop("row")).select("row.*", "shard", "slot")

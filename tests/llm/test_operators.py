@@ -561,6 +561,19 @@ def test_sharding(docs, empty, spark):
     assert out.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
 
 
+def test_sharded_rows_keep_their_own_slots(spark, empty):
+    r = random.Random(12)
+    ids = [None, "", "", "a", "b", None, "b"] + [f"k{i}" for i in range(40)]
+    rows = [(d, prose(i, r.randrange(1, 40)), f"row{i}") for i, d in enumerate(ids)] + [(None, None, "n"), ("", None, "m"), ("", "", "o")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, Slot string").repartition(4)
+    for shards in (1, 3, 8):
+        at = Counter((x["doc_id"], x["text_crc32"], x["size"], x["shard"], x["slot"]) for x in sharding.balanced(df, shards).collect())
+        out = sharding.sharded(df, shards)
+        assert out.columns == ["doc_id", "text", "shard", "slot"] and Counter((x["doc_id"], x["text"]) for x in out.collect()) == Counter((d, t) for d, t, _ in rows)
+        assert Counter((x["doc_id"], zlib.crc32((x["text"] or "").encode()), len((x["text"] or "").encode()) + 1, x["shard"], x["slot"]) for x in out.collect()) == at
+    assert sharding.sharded(empty).collect() == []
+
+
 # --- the registered queries and the pipeline ---
 
 
