@@ -35,7 +35,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    return urls.judged(pages, RULES, urls.fit(urls.seeded(pages))).select("page_id", "host", "path", "rule", "verdict", "score")
+    return urls.judged(pages, RULES, urls.fit(urls.weakly_labelled(pages))).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -1,7 +1,13 @@
 """URL filter: domain rules first, else gradient-boosted trees on lexical features. DataFrame operations only.
 
-Training sums the labelled URLs into rows of equal binned features, so every round aggregates that table by (node,
-feature, bin) and brings at most nodes x features x bins sums to the driver, whatever the number of URLs.
+Training sums the labelled URLs into rows of equal binned features, so every level of a tree aggregates that table by (node,
+feature, bin) and brings at most nodes x features x bins sums to the driver, whatever the number of URLs. The suffix statistic of
+a training URL comes from the URLs of other folds of hosts, so no URL sees its own label in it; one fold of hosts is held out
+and says how many trees are kept.
+
+Where no labelled URLs are given, three weak labellers label them: a host word of a junk category says bad, a host of plain
+words without any says good, and where neither speaks (joined or numbered host names without a listed word) the URL is left out of
+the fit and is for the trees to judge.
 """
 
 from __future__ import annotations
@@ -16,10 +22,18 @@ from ..operators.store import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BINS = 16
-FEATURES = ("length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "host_length", "suffix_rate", "site_rate")
-#: Words in a host that label a URL as bad where no labelled URLs are given.
-SEED_WORDS = ("pills", "spam", "casino", "viagra", "warez", "xxx", "payday", "replica")
-SUFFIX_ROWS = 100_000
+FEATURES = ("length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "host_length", "suffix_rate")
+FOLDS = 4
+#: A suffix has a statistic of its own if it holds one of so many labelled URLs, so there are at most so many statistics.
+SUFFIXES = 10_000
+#: Words of a host, by junk category, for the first weak labeller.
+JUNK_WORDS = {
+    "gambling": ("casino", "bet", "bets", "betting", "poker", "slots", "jackpot", "lottery"),
+    "pharmacy": ("pill", "pills", "pharma", "pharmacy", "viagra", "cialis"),
+    "adult": ("adult", "porn", "sex", "xxx", "escort"),
+    "advertising": ("ad", "ads", "adserver", "track", "tracker", "clicks", "banner"),
+    "spam": ("spam", "linkfarm", "warez", "torrent", "payday", "replica"),
+}
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -50,7 +64,7 @@ def _count(x: Column, characters: str) -> Column:
 
 
 def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
-    """`urls` with the lexical features in columns f_*, host suffix and site in columns of that name."""
+    """`urls` with the lexical features in columns f_*, host suffix and fold (by host) in columns of that name."""
     u = F.coalesce(F.col(url), F.lit(""))
     h, p = host(F.col(url)), path(F.col(url))
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
@@ -61,7 +75,7 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
         {
             "f_length": F.length(u).cast("double"), "f_depth": _count(p, "/").cast("double"), "f_digits": _count(u, "0123456789") / n, "f_entropy": entropy, "f_parameters": F.when(u.contains("?"), 1 + _count(u, "&")).otherwise(0).cast("double"),
             "f_hyphens": _count(h, "-").cast("double"), "f_labels": _count(h, ".").cast("double"), "f_host_length": F.length(h).cast("double"),
-            "suffix": F.substring_index(h, ".", -1), "site": F.substring_index(h, ".", -2),
+            "suffix": F.substring_index(h, ".", -1), "fold": F.pmod(F.xxhash64(h), F.lit(FOLDS)).cast("int"),
         }
     )
 
@@ -71,16 +85,13 @@ class Model:
     base: float
     prior: float
     edges: dict[str, list[float]]
+    suffixes: DataFrame  # suffix, f_suffix_rate: smoothed rate of bad URLs; at most SUFFIXES rows
     trees: list[dict] = field(default_factory=list)
-    statistics: dict[str, DataFrame] = field(default_factory=dict)  # suffix and site: smoothed rate of bad URLs
+    held: dict[str, float] = field(default_factory=dict)  # on the held-out hosts: n, bad, recall, precision, loss
 
     def featured(self, urls: DataFrame, url: str = "url") -> DataFrame:
-        out = lexical(urls, url)
-        for k in ("suffix", "site"):
-            table = self.statistics[k]
-            table = F.broadcast(table) if table.count() <= SUFFIX_ROWS else table
-            out = out.join(table, k, "left").withColumn(f"f_{k}_rate", F.coalesce(f"f_{k}_rate", F.lit(self.prior)))
-        return out
+        out = lexical(urls, url).join(F.broadcast(self.suffixes), "suffix", "left")
+        return out.withColumn("f_suffix_rate", F.coalesce("f_suffix_rate", F.lit(self.prior)))
 
     def margin(self) -> Column:
         """From the columns f_*."""
@@ -96,83 +107,123 @@ def _leaf(node: dict, above) -> Column:
     return F.when(above(node["feature"], node["bin"]), _leaf(node["right"], above)).otherwise(_leaf(node["left"], above))
 
 
-def fit(labelled: DataFrame, url: str = "url", label: str = "label", trees: int = 10, depth: int = 2, rate: float = 0.4, l2: float = 1.0, smooth: float = 20.0) -> Model | None:
-    """From (url, label 0/1); rows with a null label or url are left out; None if no row is left. All labelled rows count.
+def _suffix_rates(rows: DataFrame, prior: float, total: int, smooth: float) -> tuple[DataFrame, DataFrame]:
+    """(suffix, f_suffix_rate) of all rows, and (suffix, fold, f_suffix_rate) with each fold's rate from the other folds; a suffix's rate is
+    smoothed by `smooth` URLs of the prior."""
+    each = rows.groupBy("suffix", "fold").agg(F.sum("label").alias("bad"), F.count("*").cast("double").alias("n"))
+    every = each.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where(F.col("n") * SUFFIXES >= total)
+    every = written(every, "suffix")
+    rate = lambda bad, n: ((bad + smooth * prior) / (n + smooth)).alias("f_suffix_rate")
+    other = every.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).alias("x").join(each.alias("y"), ["suffix", "fold"], "left")
+    other = other.select("suffix", "fold", rate(F.col("x.bad") - F.coalesce("y.bad", F.lit(0)), F.col("x.n") - F.coalesce("y.n", F.lit(0))))
+    return every.select("suffix", rate(F.col("bad"), F.col("n"))), written(other, "suffix_folds")
 
-    The rate of a suffix or site leaves no single URL out of its own statistic, so it is smoothed by `smooth` URLs of
-    the prior."""
+
+def fit(labelled: DataFrame, url: str = "url", label: str = "label", trees: int = 10, depth: int = 2, rate: float = 0.4, l2: float = 1.0, smooth: float = 20.0) -> Model | None:
+    """From (url, label 0/1); rows with a null label or url are left out; None if no row is left. Repeated rows count as often as
+    they stand there; URLs may be of any length; an empty table gives None. All labelled rows count: those of the last fold of
+    hosts are held out and choose how many of the `trees` stay, the others are learnt from (all, if this leaves none)."""
     rows = lexical(labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).dropna())
-    rows = written(rows.select("label", "suffix", "site", *(f"f_{f}" for f in FEATURES[:-2])), "urls")
-    n, bad = rows.agg(F.count("*"), F.sum("label")).head()
+    rows = written(rows.select("label", "suffix", "fold", *(f"f_{f}" for f in FEATURES[:-1])), "urls")
+    n, bad, learnt = rows.agg(F.count("*"), F.sum("label"), F.count_if(F.col("fold") < FOLDS - 1)).head()
     if not n:
         return None
     prior = (bad + 0.5) / (n + 1)
-    stats = {}
-    for k in ("suffix", "site"):
-        stats[k] = written(rows.groupBy(k).agg(((F.sum("label") + smooth * prior) / (F.count("*") + smooth)).alias(f"f_{k}_rate")), k)
-        table = F.broadcast(stats[k]) if stats[k].count() <= SUFFIX_ROWS else stats[k]
-        rows = rows.join(table, k)
+    suffixes, of_fold = _suffix_rates(rows, prior, n, smooth)
+    rows = rows.join(F.broadcast(of_fold), ["suffix", "fold"], "left").withColumn("f_suffix_rate", F.coalesce("f_suffix_rate", F.lit(prior)))
     cuts = [i / BINS for i in range(1, BINS)]
     edges = rows.agg(*(F.percentile_approx(f"f_{f}", cuts, 1000).alias(f) for f in FEATURES)).head()
     edges = {f: sorted(set(edges[f])) for f in FEATURES}
     binned = [sum(((F.col(f"f_{f}") > e).cast("int") for e in edges[f]), F.lit(0)).alias(f) for f in FEATURES]
-    table = written(rows.select("label", *binned).groupBy(*FEATURES).agg(F.sum("label").alias("bad"), F.count("*").cast("double").alias("n")), "binned")
-    model = Model(math.log(prior / (1 - prior)), prior, edges, [], stats)
-    in_bin = lambda f, b: F.col(f) > b
+    held = ((F.col("fold") == FOLDS - 1) & F.lit(0 < learnt)).alias("held")
+    table = written(rows.select("label", held, *binned).groupBy("held", *FEATURES).agg(F.sum("label").alias("bad"), F.count("*").cast("double").alias("n")), "binned")
+    model = Model(math.log(prior / (1 - prior)), prior, edges, suffixes)
     for _ in range(trees):
-        margin = F.lit(model.base)
-        for t in model.trees:
-            margin = margin + _leaf(t, in_bin)
-        p = 1 / (1 + F.exp(-margin))
-        tree: dict = {"value": 0.0}
-        open_nodes = [(tree, F.lit(True))]
-        for level in range(depth + 1):
-            node = F.lit(-1)
-            for i, (_, where) in enumerate(open_nodes):
-                node = F.when(where, i).otherwise(node)
-            each = table.select(node.alias("node"), (F.col("bad") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in FEATURES))).alias("at"))
-            sums = each.where("node >= 0").groupBy("node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # bounded: nodes x features x bins
-            following = []
-            for i, (at, where) in enumerate(open_nodes):
-                here = [r for r in sums if r["node"] == i]
-                one = [r for r in here if r["feature"] == FEATURES[0]]
-                g, h = sum(r["g"] for r in one), sum(r["h"] for r in one)
-                at["value"] = rate * g / (h + l2)
-                best = _split(here, g, h, l2) if level < depth else None
-                if best:
-                    f, b = best
-                    at.pop("value")
-                    at |= {"feature": f, "bin": b, "left": {"value": 0.0}, "right": {"value": 0.0}}
-                    following += [(at["left"], where & (F.col(f) <= b)), (at["right"], where & (F.col(f) > b))]
-            open_nodes = following
-            if not open_nodes:
-                break
-        model.trees.append(tree)
+        model.trees.append(_tree(table.where(~F.col("held")), _margin(model), depth, rate, l2))
+    _prune(model, table.where("held"))
     return model
 
 
-def _split(sums: list, g: float, h: float, l2: float) -> tuple[str, int] | None:
+def _margin(model: Model, first: int | None = None) -> Column:
+    """From binned features, by the first trees."""
+    out = F.lit(model.base)
+    for t in model.trees[:first]:
+        out = out + _leaf(t, lambda f, b: F.col(f) > b)
+    return out
+
+
+def _tree(table: DataFrame, margin: Column, depth: int, rate: float, l2: float) -> dict:
+    """One tree by Newton steps, a job a level: sums by (node, feature, bin) give the split and the values of both its sides."""
+    p = 1 / (1 + F.exp(-margin))
+    tree: dict = {"value": 0.0}
+    open_nodes = [(tree, F.lit(True))]
+    for _ in range(depth):
+        node = F.lit(-1)
+        for i, (_, where) in enumerate(open_nodes):
+            node = F.when(where, i).otherwise(node)
+        each = table.select(node.alias("node"), (F.col("bad") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in FEATURES))).alias("at"))
+        sums = each.where("node >= 0").groupBy("node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # bounded: nodes x features x bins
+        following = []
+        for i, (at, where) in enumerate(open_nodes):
+            best = _split([r for r in sums if r["node"] == i], l2)
+            if best is None:
+                continue
+            f, b, left, right = best
+            at.pop("value")
+            at |= {"feature": f, "bin": b, "left": {"value": rate * left}, "right": {"value": rate * right}}
+            following += [(at["left"], where & (F.col(f) <= b)), (at["right"], where & (F.col(f) > b))]
+        open_nodes = following
+        if not open_nodes:
+            break
+    return tree
+
+
+def _split(sums: list, l2: float) -> tuple[str, int, float, float] | None:
+    """(feature, bin, value at or below the bin, value above) of the largest gain, of equals the first; None if nothing gains."""
     best, least = None, 1e-6
     for f in FEATURES:
         own = sorted(((r["bin"], r["g"], r["h"]) for r in sums if r["feature"] == f))
+        g, h = sum(x[1] for x in own), sum(x[2] for x in own)
         gl = hl = 0.0
         for b, gb, hb in own[:-1]:
             gl, hl = gl + gb, hl + hb
             gain = gl**2 / (hl + l2) + (g - gl) ** 2 / (h - hl + l2) - g**2 / (h + l2)
             if gain > least:
-                best, least = (f, b), gain
+                best, least = (f, b, gl / (hl + l2), (g - gl) / (h - hl + l2)), gain
     return best
 
 
-def seeded(urls: DataFrame, url: str = "url", seeds: tuple[str, ...] = SEED_WORDS) -> DataFrame:
-    """Labelled URLs by seed words in the host, for want of better labels."""
-    return urls.select(F.col(url).alias("url"), host(F.col(url)).rlike("|".join(seeds)).cast("int").alias("label"))
+def _prune(model: Model, held: DataFrame) -> None:
+    """Keeps the trees up to the least loss on the held-out rows (all if there are none) and notes how they do there."""
+    of = []
+    for k in range(len(model.trees) + 1):
+        m = _margin(model, k)
+        loss = F.col("n") * F.log1p(F.exp(m)) - F.col("bad") * m
+        of.append(F.struct(F.sum(loss).alias("loss"), F.sum(F.when(m >= 0, F.col("bad"))).alias("hit"), F.sum(F.when(m >= 0, F.col("n"))).alias("blocked")).alias(f"k{k}"))
+    r = held.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *of).head()
+    if not r["n"]:
+        return
+    k = min(range(len(model.trees) + 1), key=lambda i: (r[f"k{i}"]["loss"], i))
+    model.trees = model.trees[:k]
+    hit, blocked = r[f"k{k}"]["hit"] or 0.0, r[f"k{k}"]["blocked"] or 0.0
+    model.held = {"n": r["n"], "bad": r["bad"], "recall": hit / r["bad"] if r["bad"] else 1.0, "precision": hit / blocked if blocked else 1.0, "loss": r[f"k{k}"]["loss"] / r["n"]}
+
+
+def weakly_labelled(urls: DataFrame, url: str = "url", words: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(url, label) for want of labelled URLs: 1 where the host has one of `words` (default JUNK_WORDS) between dots, hyphens and digits;
+    0 where the host is plain, i.e. of letters and dots only, and has none; null elsewhere (joined or numbered names without a listed
+    word, no host)."""
+    h = host(F.col(url))
+    listed = sorted({w for ws in (JUNK_WORDS if words is None else words).values() for w in ws})
+    junk = F.arrays_overlap(F.split(h, "[^a-z]+"), F.array(*(F.lit(w) for w in listed)).cast("array<string>"))
+    return urls.select(F.col(url).alias("url"), F.when(junk, 1).when(h.rlike("^[a-z.]+$"), 0).alias("label"))
 
 
 def judged(urls: DataFrame, rules: list[Rule], model: Model | None, url: str = "url", least: float = 0.5) -> DataFrame:
     """`urls` with host, path, rule, score (the trees' probability of a bad URL) and verdict: the rule's, else block where
     the score is at least `least`. Null urls and urls without :// have empty host and path, and are judged by the trees
-    like any other. Without a model the score is 0. New columns replace columns of the same name."""
+    like any other. Without a model the score is 0. Repeated rows fare alike; an empty table gives an empty one; URLs may be of any
+    length. New columns replace columns of the same name."""
     own = urls.select(F.struct(*(c for c in urls.columns if c.lower() not in ("host", "path", "rule", "score", "verdict"))).alias("row"), F.col(url).alias("url"))
     if model:  # the row is kept whole aside, so that no feature's name clashes with its columns
         scored = model.featured(own).withColumn("score", 1 / (1 + F.exp(-model.margin())))
