@@ -243,7 +243,8 @@ def _is(t: Template, words: np.ndarray, pairs: list[tuple[int, int]]) -> bool:
 
 
 def _places(pos: np.ndarray, hashes: list[int], words: np.ndarray, t: Template, least: float) -> Iterator[Place]:
-    """Slides a window of the template's span over the template's words in the text; aligns it where the words suffice."""
+    """Slides a window of the template's span over the template's words in the text; aligns it where the words suffice. A place that
+    reaches the threshold grows for a quarter of the span, then the next may begin after it."""
     need, have, covered, left, done = least * len(t.words) - 1e-9, Counter(), 0, 0, -1
     best: tuple | None = None
     pos = pos.tolist()
@@ -257,7 +258,7 @@ def _places(pos: np.ndarray, hashes: list[int], words: np.ndarray, t: Template,
             left += 1
             if left > right:
                 break
-        if best and p > best[0] + t.span:
+        if best and p > best[0] + max(3, t.span // 4):  # what is left of the template would have come
             yield best[1]
             done, best = best[1][3] - 1, None
         if covered >= need and left <= right:
