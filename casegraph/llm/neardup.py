@@ -135,8 +135,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 # found by a prefix-filtered set join, which loses none: with all shingles in one order, two such texts share one of their first
 # n - ceil(least * n) + 1 shingles, where n is the size of the set. Any order is right; shingles that a sample shows to be common
 # come last, so that they are seldom among the first. Lengths and positions bound the overlap further. A group of n copies is not
-# compared n * n times: texts are first compared with a few pivots of each shingle, and then all pairs that share a shingle and are
-# not in one component yet. There, a sketch of the set bounds the difference: its bits are the parities of the shingles of each of
+# compared n * n times: texts are first compared with a few pivots of each shingle, then those outside the largest component of a
+# shingle with one member of it, in turns, and at last all pairs that share a shingle and are not in one component yet. There, a sketch of the set bounds the difference: its bits are the parities of the shingles of each of
 # 512 classes, so two sketches differ in no more bits than the sets in shingles. Candidates are verified by the exact Jaccard similarity
 # of their shingle sets.
 
@@ -144,6 +144,7 @@ SAMPLE_TEXTS = 50_000
 COMMON = 50_000
 SKETCH = 8
 PIVOTS = 4
+TURNS = 1
 TASK_PAIRS = 2_000_000
 BROADCAST_TEXTS = 500_000
 _LANES = np.uint64(0x0101010101010101)
@@ -265,22 +266,43 @@ def pivot_pairs(placed: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def other_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: all pairs of `placed` that share a shingle and are not in one component of `nodes` (node, component) yet. For each
-    shingle, the texts outside its largest component are compared with all others; where these are many, in several tasks. sketches: (id, q0, q1, ...)."""
+def unlike(placed: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): the rows of `placed` with their component `of`, of the shingles whose texts are not in one component of `nodes`
+    (node, component) yet; counts: (key, n, main) with the number of texts and the largest component of each such shingle."""
     of = placed.join(nodes.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component")
     mixed_keys = of.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("key")
     left = written(of.join(mixed_keys, "key"), "mixed")
     count = left.groupBy("key", "of").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "of")).alias("main"))
+    return left, count
+
+
+def near(least: float) -> Column:
+    """Whether the sketches of x and y let the similarity reach `least`."""
+    apart = sum((F.bit_count(F.col(f"x.q{i}").bitwiseXOR(F.col(f"y.q{i}"))) for i in range(SKETCH)), F.lit(0))
+    return apart * (1 + least) <= (1 - least) * (F.col("x.size") + F.col("y.size")) + 1e-6
+
+
+def outsider_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float, turn: int) -> DataFrame:
+    """(a, b), a < b: of each shingle, the texts outside its largest component, each with one text of that component, which shingle and
+    turn choose: no more pairs than rows, and a text with many shingles meets many members of a group."""
+    left, count = unlike(placed, nodes)
+    both = left.join(count.select("key", F.col("main.of").alias("main")), "key")
+    member = both.where("of = main").groupBy("key").agg(F.min_by(F.struct("id", "size", "pos"), F.struct(F.xxhash64("id", "key", F.lit(turn)), "id")).alias("p")).select("key", "p.*").join(sketches, "id")
+    met = both.where("of <> main").join(sketches, "id").alias("x").join(member.alias("y"), "key").where(possible(least) & near(least))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def other_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of `placed` that share a shingle and are not in one component of `nodes` (node, component) yet. For each
+    shingle, the texts outside its largest component are compared with all others; where these are many, in several tasks. sketches: (id, q0, q1, ...)."""
+    left, count = unlike(placed, nodes)
     work = (F.col("n") - F.col("main.n")).cast("double") * F.col("n") / TASK_PAIRS
     count = count.select("key", F.col("main.of").alias("main"), F.least(F.ceil(work), F.col("n")).cast("int").alias("parts"))
     both = left.join(count, "key").join(sketches, "id")
     x = both.where("of <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     y = both.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     once = (F.col("y.of") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    apart = sum((F.bit_count(F.col(f"x.q{i}").bitwiseXOR(F.col(f"y.q{i}"))) for i in range(SKETCH)), F.lit(0))
-    near = apart * (1 + least) <= (1 - least) * (F.col("x.size") + F.col("y.size")) + 1e-6
-    met = x.alias("x").join(y.alias("y"), ["key", "part"]).where((F.col("x.of") != F.col("y.of")) & once & possible(least) & near)
+    met = x.alias("x").join(y.alias("y"), ["key", "part"]).where((F.col("x.of") != F.col("y.of")) & once & possible(least) & near(least))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -306,7 +328,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) per row: groups of texts joined by similarity of at least `least`; component_id as in clusters().
     Equal texts are one; null and wordless texts are equal to each other. A null doc_id counts as the smallest id."""
-    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("digest"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("doc_id"), F.unhex(F.md5(F.when(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.col(text).cast("string")).otherwise(""))).alias("digest"), F.col(text).cast("string").alias("text"))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -341,6 +363,11 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     pairs = written(pivot_pairs(placed, least), "pivots")
     links = similar(pairs)
     nodes = written(components(links), "nodes")
+    for turn in range(TURNS):  # linear rounds first: what they join is not compared again
+        more = written(outsider_pairs(placed, nodes, sketches, least, turn).join(pairs, ["a", "b"], "left_anti"), "outsiders")
+        links = links.union(similar(more))
+        pairs = pairs.union(more)
+        nodes = written(components(links), "nodes")
     rest = written(other_pairs(placed, nodes, sketches, least).join(pairs, ["a", "b"], "left_anti"), "met")
     nodes = components(links.union(similar(rest)))
     linked = nodes.join(named, "node").select("digest", "component", "id")

@@ -510,7 +510,7 @@ def brute_similar(rows, k=5, least=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            same = (rows[i][1] or "") == (rows[j][1] or "")
+            same = rows[i][1] == rows[j][1] or not sets[i] and not sets[j]
             if same or sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
                 parent[find(i)] = find(j)
     least_of: dict = {}
@@ -543,7 +543,13 @@ def test_similar_texts(spark, docs, empty):
 
 def test_similar_texts_loses_no_pair(spark):
     r = random.Random(11)
-    rows = []
+    rows = [(900, " "), (901, "\n\t"), (902, None), (903, "")]  # without a word: one group
+    base = [f"g{j}" for j in range(150)]  # copies of one text that differ from each other more than from it
+    for i in range(80):
+        w = list(base)
+        for _ in range(r.randrange(2, 5)):
+            w[r.randrange(150)] = f"e{r.randrange(10**6)}"
+        rows.append((3000 + i, " ".join(w)))
     for i in range(120):  # five of 49 words differ at the end: 40 of 50 shingles in common
         w = [f"w{r.randrange(10**6)}" for _ in range(49)]
         rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w[:44] + [f"n{i}x{j}" for j in range(5)])), (3 * i + 2, " ".join(w[:43] + [f"m{i}x{j}" for j in range(6)]))]
