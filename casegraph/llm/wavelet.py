@@ -1,11 +1,13 @@
 """Token ids in wavelet-matrix shards.
 
-A shard is one blob: a header, the first token of each document, and for every bit of the ids a bit-plane, compressed on its
-own, with its count of zeros. Access, rank, select, counting and occurrence lookup work on the planes with a directory of
-ones before each 64-bit word; only the planes are stored. Shards hold whole documents in ascending doc_id order.
-
-Layout, little-endian: magic WVM1, uint32 header length, JSON header (tokens, docs, bits, zeros and byte length by plane),
-zstd of int64 doc_ids (first as it is, then differences) and a null flag for each, zstd of uint32 token counts, planes.
+A shard is one blob: a header, the first token of each document, and for every bit of the ids a bit-plane with its count of zeros.
+A plane is stored in blocks of BLOCK bytes, each compressed on its own, with a rank directory: the ones before each block. Access,
+rank, counting and occurrence lookup work on the stored bytes: each level reads the directory and one block, select one block more
+found by binary search in the directory, so no plane is inflated as a whole. Shards hold whole documents in ascending doc_id order.
+
+Layout, little-endian: magic WVM2, uint32 header length, JSON header (tokens, docs, bits, zeros by plane, byte lengths),
+zstd of int64 doc_ids (first as it is, then differences) and a null flag for each, zstd of uint32 token counts, then for each plane
+uint32 ones before each block, uint32 end of each block within the plane, zstd of each block.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.store import written
-from ._words import mixed, sliced
+from ._words import Words, mixed, sliced
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
+BLOCK = 4096
 SHARD_TOKENS = 1 << 18
 CACHE_PIECES = 2_000_000
 SLICE = 2 << 20
@@ -42,7 +46,11 @@ def encode(ids: np.ndarray, docs: list[int | None], counts: np.ndarray) -> bytes
     planes, zeros = [], []
     for bit in range(bits - 1, -1, -1):
         one = (a & a.dtype.type(1 << bit)) != 0
-        planes.append(pack(np.packbits(one, bitorder="little").tobytes()))
+        raw = np.packbits(one, bitorder="little")
+        blocks = [pack(raw[i : i + BLOCK].tobytes()) for i in range(0, len(raw), BLOCK)]
+        ones = np.add.reduceat(np.bitwise_count(raw), np.arange(0, len(raw), BLOCK), dtype=np.int64) if len(raw) else np.zeros(0, np.int64)
+        before = np.cumsum(ones) - ones
+        planes.append(b"".join([before.astype("<u4").tobytes(), np.cumsum([len(x) for x in blocks]).astype("<u4").tobytes(), *blocks]))
         low = np.compress(~one, a)
         zeros.append(len(low))
         a = np.concatenate([low, np.compress(one, a)])
@@ -54,7 +62,7 @@ def encode(ids: np.ndarray, docs: list[int | None], counts: np.ndarray) -> bytes
 
 
 class Shard:
-    """Reads a blob; planes are decompressed when first needed."""
+    """Reads a blob. Blocks are decompressed when needed; the last few stay."""
 
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
@@ -62,15 +70,29 @@ class Shard:
         n = int.from_bytes(blob[4:8], "little")
         self.head = json.loads(blob[8 : 8 + n])
         self.tokens, self.bits, self.zeros = self.head["tokens"], self.head["bits"], self.head["zeros"]
+        self.blocks = -(-self.tokens // (8 * BLOCK))
         self._blob, self._at = blob, 8 + n
         self._unpack = zstandard.ZstdDecompressor().decompress
-        self._planes: dict[int, np.ndarray] = {}
-        self._before: dict[int, np.ndarray] = {}
+        sizes = np.cumsum([0, self.head["keys"], self.head["sizes"], *self.head["planes"]])
+        self._first = (self._at + sizes).tolist()
+        self._kept: dict[tuple[int, int], np.ndarray] = {}
 
     def _part(self, k: int) -> bytes:
-        sizes = [self.head["keys"], self.head["sizes"], *self.head["planes"]]
-        first = self._at + sum(sizes[:k])
-        return self._unpack(self._blob[first : first + sizes[k]])
+        return self._unpack(self._blob[self._first[k] : self._first[k + 1]])
+
+    def _directory(self, level: int, k: int) -> np.ndarray:
+        """Of a level: ones before each block (k = 0), ends of the blocks (k = 1); a view of the stored bytes."""
+        return np.frombuffer(self._blob, "<u4", self.blocks, self._first[2 + level] + 4 * self.blocks * k)
+
+    def block(self, level: int, b: int) -> np.ndarray:
+        """The bytes of block b of a level."""
+        if (level, b) not in self._kept:
+            ends, first = self._directory(level, 1), self._first[2 + level] + 8 * self.blocks
+            raw = np.frombuffer(self._unpack(self._blob[first + (int(ends[b - 1]) if b else 0) : first + int(ends[b])]), np.uint8)
+            if len(self._kept) >= 4 * self.bits:
+                self._kept.pop(next(iter(self._kept)))
+            self._kept[level, b] = raw
+        return self._kept[level, b]
 
     def docs(self) -> list[int | None]:
         raw, n = self._part(0), self.head["docs"]
@@ -81,19 +103,21 @@ class Shard:
         return np.frombuffer(self._part(1), "<u4")
 
     def plane(self, level: int) -> np.ndarray:
-        """Ones and zeros of a level as booleans; level 0 is the highest bit."""
-        if level not in self._planes:
-            self._planes[level] = np.unpackbits(np.frombuffer(self._part(2 + level), np.uint8), count=self.tokens, bitorder="little").view(bool)
-        return self._planes[level]
+        """Ones and zeros of a whole level as booleans, for reading everything; level 0 is the highest bit."""
+        ends, first = self._directory(level, 1).tolist(), self._first[2 + level] + 8 * self.blocks
+        raw = b"".join(self._unpack(self._blob[first + a : first + b]) for a, b in zip([0, *ends], ends))
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=self.tokens, bitorder="little").view(bool)
+
+    def _bit(self, level: int, i: int) -> int:
+        return int(self.block(level, i // (8 * BLOCK))[i % (8 * BLOCK) // 8]) >> (i % 8) & 1
 
     def _ones(self, level: int, i: int) -> int:
-        """Ones before position i: from the directory, then within a word."""
-        p = self.plane(level)
-        if level not in self._before:
-            whole = np.zeros(-(-self.tokens // 64) * 64, bool)
-            whole[: self.tokens] = p
-            self._before[level] = np.concatenate([[0], np.cumsum(whole.reshape(-1, 64).sum(1))])
-        return int(self._before[level][i // 64] + p[i // 64 * 64 : i].sum())
+        """Ones before position i: from the directory, then within one block."""
+        if i >= self.tokens:
+            return self.tokens - self.zeros[level]
+        b, i = divmod(i, 8 * BLOCK)
+        raw = self.block(level, b)
+        return int(self._directory(level, 0)[b]) + int(np.bitwise_count(raw[: i // 8]).sum()) + (int(raw[i // 8]) & (1 << i % 8) - 1).bit_count()
 
     def all(self) -> np.ndarray:
         """Every id, by undoing the levels from the last."""
@@ -112,7 +136,7 @@ class Shard:
         out = 0
         for level in range(self.bits):
             ones = self._ones(level, i)
-            if self.plane(level)[i]:
+            if self._bit(level, i):
                 out, i = out << 1 | 1, self.zeros[level] + ones
             else:
                 out, i = out << 1, i - ones
@@ -133,8 +157,8 @@ class Shard:
             raise IndexError("no such occurrence")
         i = first + k
         for level in range(self.bits - 1, -1, -1):
-            p, one = self.plane(level), token >> (self.bits - 1 - level) & 1
-            i = self._select(level, p, bool(one), i - self.zeros[level] if one else i)
+            one = token >> (self.bits - 1 - level) & 1
+            i = self._select(level, bool(one), i - self.zeros[level] if one else i)
         return i
 
     def occurrences(self, token: int) -> list[int]:
@@ -152,13 +176,16 @@ class Shard:
                 first, last = first - a, last - b
         return first, last
 
-    def _select(self, level: int, p: np.ndarray, one: bool, k: int) -> int:
-        self._ones(level, 0)
-        before = self._before[level]
-        have = before if one else np.arange(len(before)) * 64 - before
-        word = int(np.searchsorted(have, k, "right")) - 1
-        within = np.flatnonzero(p[word * 64 : word * 64 + 64] == one)
-        return word * 64 + int(within[k - int(have[word])])
+    def _select(self, level: int, one: bool, k: int) -> int:
+        """Position of the k-th one or zero of a level."""
+        before = self._directory(level, 0).astype(np.int64)
+        have = before if one else np.arange(self.blocks) * 8 * BLOCK - before
+        b = int(np.searchsorted(have, k, "right")) - 1
+        raw, k = self.block(level, b), k - int(have[b])
+        counts = np.cumsum(np.bitwise_count(raw if one else ~raw), dtype=np.int64)
+        byte = int(np.searchsorted(counts, k, "right"))
+        within = np.flatnonzero(np.unpackbits(raw[byte : byte + 1], bitorder="little") == one)
+        return (b * BLOCK + byte) * 8 + int(within[k - (int(counts[byte - 1]) if byte else 0)])
 
 
 # --- tokens ---
@@ -210,8 +237,8 @@ _FIRST = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 class Encoder:
     """Ids by the tokenizers library. Where a single space stands between two other characters that are no white space, a
-    byte-level BPE always begins a piece, so the pieces there are encoded apart, each different piece once: it is known by
-    64 bits of hash and its length. New pieces are encoded side by side in one text and cut where their bytes end."""
+    byte-level BPE always begins a piece, so the pieces there are encoded apart, each different piece once: it is found by
+    64 bits of hash, and its bytes are compared. New pieces are encoded side by side in one text and cut where their bytes end."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -233,6 +260,7 @@ class Encoder:
     def _empty(self) -> None:
         self.table, self.known, self.used = Table(), 0, 0
         self.flat, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.raw, self.raw_first = np.zeros(1 << 16, np.uint8), np.zeros(1 << 14, np.int64)
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes], spaced: np.ndarray) -> None:
         """keys: of different new pieces; spaced: a space stands before the piece. Pieces whose white space may join that around
@@ -255,7 +283,14 @@ class Encoder:
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(new), len(self.flat)), np.uint32)])
         if self.known + len(order) + 1 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros(max(len(order) + 1, len(self.first)), np.int64)])
+            more = np.zeros(max(len(order) + 1, len(self.first)), np.int64)
+            self.first, self.raw_first = np.concatenate([self.first, more]), np.concatenate([self.raw_first, more])
+        data = np.frombuffer(b"".join([pieces[k] for k in order]), np.uint8)
+        have = int(self.raw_first[self.known])
+        if have + len(data) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(max(len(data), len(self.raw)), np.uint8)])
+        self.raw[have : have + len(data)] = data
+        self.raw_first[self.known + 1 : self.known + 1 + len(order)] = have + np.cumsum([len(pieces[k]) for k in order])
         self.flat[self.used : self.used + len(new)] = new
         self.first[self.known + 1 : self.known + 1 + len(order)] = self.used + np.cumsum(size)
         self.table.put(keys[order], np.arange(self.known, self.known + len(order), dtype=np.int32))
@@ -264,6 +299,16 @@ class Encoder:
     def whole(self, text: str | None) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if text else np.zeros(0, np.uint32)
 
+    def _other(self, w: Words, at: np.ndarray) -> np.ndarray:
+        """Words whose bytes are not those of the known piece of number `at`."""
+        n, have = w.end - w.start, self.raw_first[at + 1] - self.raw_first[at]
+        other = np.flatnonzero(n != have)
+        same = np.flatnonzero(n == have)
+        n = n[same]
+        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wrong = w.raw[np.repeat(w.start[same], n) + steps] != self.raw[np.repeat(self.raw_first[at[same]], n) + steps]
+        return np.concatenate([other, same[np.repeat(np.arange(len(same)), n)[wrong]]]) if wrong.any() else other
+
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; a null text has none."""
         if not self.pieces:
@@ -285,11 +330,12 @@ class Encoder:
                 raw = w.raw.tobytes()
                 self._learn(new, [raw[a:b] for a, b in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)], ~lead[where])
                 at[miss] = self.table.get(keys[miss])
-            # rows with spaces at an end or side by side, or with bad pieces, are encoded as wholes
+            # rows with spaces at an end or side by side, with bad pieces or with a piece whose hash another has, are encoded as wholes
             odd = np.bincount(w.row[at == _BAD], minlength=rows) > 0
             space = np.bincount(np.searchsorted(w.bounds, np.flatnonzero(w.raw == 32), "right") - 1, minlength=rows)
             odd |= space != np.maximum(np.bincount(w.row, minlength=rows) - 1, 0)
             at = np.maximum(at, 0)
+            odd |= np.bincount(w.row[self._other(w, at)], minlength=rows) > 0
             first = self.first[at]
             size = self.first[at + 1] - first
             ids = self.flat[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)] if n else np.zeros(0, np.uint32)
@@ -311,7 +357,11 @@ def encoder(path: str) -> Encoder:
 def tokenised(docs: DataFrame, path: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Shards (part, seq, part_start, tokens, docs, blob) of all documents, written to the shared folder. Parts are ranges of
     doc_id (nulls first), seq orders the shards of a part, part_start counts the tokens of the part before a shard. Null and empty
-    texts have the end id only. A shard is closed once it has `shard_tokens` tokens; a document is never split."""
+    texts have the end id only. A shard is closed once it has `shard_tokens` tokens; a document is never split. Rows that repeat a
+    doc_id stand together, the shorter text first; an empty table gives an empty one; other columns are not read. doc_id has to be a
+    number (the format stores 64-bit integers): TypeError otherwise."""
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} has to be an integer column")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -350,7 +400,8 @@ def starts(shards: DataFrame) -> DataFrame:
 
 
 def read_back(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' bytes."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards' bytes: a row for each document of tokenised(), null
+    and repeated ids included; no rows for no shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -90,6 +90,25 @@ def test_wavelet_shard_answers_like_a_list():
     with pytest.raises(ValueError):
         wavelet.Shard(b"nope")
     assert len(wavelet.Shard(wavelet.encode(np.zeros(0, np.uint32), [1], np.array([0]))).all()) == 0
+    big = r.integers(0, 50_000, 150_000).astype(np.uint32)  # several blocks a plane
+    s = wavelet.Shard(wavelet.encode(big, [1], np.array([len(big)])))
+    s.plane = None  # no whole plane is needed
+    for i in (0, 32_767, 32_768, 65_536, 149_999, *r.integers(0, 150_000, 30).tolist()):
+        t = int(big[i])
+        where = np.flatnonzero(big == t)
+        assert s.access(i) == t and s.rank(t, i) == (where < i).sum() and s.occurrences(t) == where.tolist() and s.rank(t, 150_000) == len(where)
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(wavelet, "mixed", lambda h: h & np.uint64(0xFF00000000000000))  # nearly all collide
+    e = wavelet.Encoder(BPE)
+    for t, got in zip(texts := [prose(i, 60) for i in range(20)], e.encode(pa.array(texts)), strict=True):
+        assert got.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_tokenised_wants_numbers(spark):
+    with pytest.raises(TypeError):
+        wavelet.tokenised(spark.createDataFrame([("a", "b")], "doc_id string, text string"), BPE)
 
 
 def test_encoder_is_the_library(docs):
