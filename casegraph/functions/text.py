@@ -87,33 +87,6 @@ def sentences(text: Column) -> Column:
     return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "\u0001", " ")))
 
 
-# --- statutes ---
-
-# Acts by the pattern that names them, the more specific first, with their gravity (0 to 1).
-ACTS = (("BNSS", r"\bBNSS\b|Nagarik Suraksha"), ("BNS", r"\bBNS\b|Nyaya Sanhita"), ("BSA", r"\bBSA\b|Sakshya Adhiniyam"), ("NDPS", r"\bNDPS\b|Narcotic"), ("UAPA", r"\bUAPA?\b|Unlawful Activities"), ("PMLA", r"\bPMLA\b|Money[- ]Laundering"), ("IT", r"\bI\.?T\.? Act\b|Information Technology"), ("ARMS", r"\bArms Act\b"), ("POCSO", r"\bPOCSO\b"), ("IPC", r"\bI\.?P\.?C\.?\b|Indian Penal Code"), ("CRPC", r"\bCr\.?P\.?C\.?\b"))
-ACT_GRAVITY = {"UAPA": 0.95, "NDPS": 0.85, "PMLA": 0.8, "POCSO": 0.9, "ARMS": 0.6, "IT": 0.5, "IPC": 0.5, "BNS": 0.5, "BNSS": 0.1, "BSA": 0.1, "CRPC": 0.1}
-
-
-def charges(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, act, section, key, gravity): sections with the act named in the same clause; parts are split at semicolons."""
-    part = docs.select(doc_id, F.explode(F.split(text, r"\s*;\s*")).alias("part"))
-    act = F.lit(None).cast("string")
-    for name, pattern in reversed(ACTS):
-        act = F.when(F.col("part").rlike(f"(?i){pattern}"), name).otherwise(act)
-    bare = F.col("part")
-    for _, pattern in ACTS:
-        bare = F.regexp_replace(bare, f"(?i){pattern}", " ")
-    bare = F.regexp_replace(bare, r"(?i)\b(?:of|the|act|under|sections?|u/s|sec)\b|\b(?:19|20)[0-9]{2}\b", " ")
-    token = F.explode(F.filter(F.transform(F.split(bare, r"(?i),|&|/|\band\b|\br/w\b"), lambda s: F.regexp_extract(s, r"([0-9]+[A-Z]{0,2}(?:\([0-9a-z]+\))*)", 1)), lambda s: s != ""))
-    gravity = F.coalesce(*(F.when(F.col("act") == k, v) for k, v in ACT_GRAVITY.items()), F.lit(0.3))
-    out = part.withColumn("act", act).select(doc_id, F.coalesce("act", F.lit("UNKNOWN")).alias("act"), token.alias("section")).distinct()
-    return out.withColumns({"key": F.concat_ws(":", "act", "section"), "gravity": gravity})
-
-
-def gravest(charged: DataFrame, doc_id: str) -> DataFrame:
-    return charged.groupBy(doc_id).agg(F.max_by("key", F.struct("gravity", "key")).alias("gravest"), F.max("gravity").alias("gravity"), F.count("*").alias("n_charges"))
-
-
 # --- the words of alerts ---
 
 

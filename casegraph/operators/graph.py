@@ -275,10 +275,20 @@ def eigenvector(edges: DataFrame, rounds: int = 30, tolerance: float = 1e-6) ->
     return comp.select("id").join(state.select("id", (F.abs("x") * F.col("size") / n).alias("e")), "id", "left").select("id", F.coalesce("e", F.lit(0.0)).alias("eigenvector"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 5) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 5, protected: DataFrame | None = None) -> DataFrame:
     """(id, community): modularity by synchronous local moves over joins, then aggregation, until nothing moves. In a round only
     nodes of one parity of a hash move, so neighbours do not swap for ever. Ties go to the smallest community; communities are
-    numbered by size, the largest first."""
+    numbered by size, the largest first. `protected` (id): parties that belong to no community; their edges tie nobody together and
+    their community is -1."""
+    if protected is not None:
+        out = protected.select("id").distinct()
+        rest = edges.join(out.withColumnRenamed("id", "a"), "a", "left_anti").join(out.withColumnRenamed("id", "b"), "b", "left_anti")
+        every = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+        found = louvain(rest, resolution, rounds, levels)
+        alone = every.join(found, "id", "left_anti").join(out, "id", "left_anti")  # tied to protected parties only
+        last = found.agg(F.coalesce(F.max("community") + 1, F.lit(0))).head()[0]
+        alone = numbered(alone, ["id"], "community").select("id", (F.col("community") + last).alias("community"))
+        return found.union(alone).union(every.join(out, "id", "left_semi").select("id", F.lit(-1).cast("long")))
     arcs = written(both_ways(edges, "a", "b", "weight"), "arcs")
     total = arcs.agg(F.sum("weight")).head()[0]
     of = written(arcs.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "of")

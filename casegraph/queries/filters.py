@@ -52,10 +52,17 @@ def array_membership(t: Tables) -> DataFrame:
     return e.where(F.array_contains("kinds", "signup") & F.array_contains("kinds", "purchase")).select("user_id")
 
 
-@query("""select c_custkey, c_mktsegment, case when regexp_matches(lower(c_mktsegment), '\\b(household)\\b') then true else false end protected, regexp_matches(lower(c_name), '\\b(court|ministry)\\b') non_subject from customer""")
+NAMED = "concat(case p_partkey % 6 when 0 then 'State of ' when 1 then 'High Court of ' when 2 then 'Customs House ' else '' end, p_name, case p_partkey % 9 when 0 then ', Sub-Inspector' when 1 then ' (Witness 3)' when 2 then ' Complainant' else '' end)"
+OF_KIND, IN_COURT = "case p_partkey % 4 when 0 then 'PERSON' else 'ORGANIZATION' end", "case p_partkey % 13 when 0 then 'Judge' when 1 then 'Police witness' when 2 then 'accused' end"
+
+
+@query(rf"""with x as (select p_partkey, {NAMED} label, {OF_KIND} kind, {IN_COURT} role from part)
+ select p_partkey, regexp_matches(lower(label), 'victim|complainant|witness|police officer|inspector|constable|investigating officer') or coalesce(regexp_matches(lower(role), 'victim|complainant|witness|police'), false) protected,
+ coalesce(lower(role) = 'judge', false) or kind = 'ORGANIZATION' and (starts_with(label, 'State of ') or regexp_matches(label, '(?i)\b(high court|customs)\b')) non_subject from x""")
 def protected_party_filter(t: Tables) -> DataFrame:
-    role = F.when(F.col("c_mktsegment") == "HOUSEHOLD", "Victim").otherwise("accused")
-    return t.customer.select("c_custkey", "c_mktsegment", K.protected_party({"party_role": role}, F.col("c_name")).alias("protected"), K.non_subject({}, F.col("c_name")).alias("non_subject"))
+    x = t.part.select("p_partkey", F.expr(NAMED).alias("label"), F.expr(OF_KIND).alias("kind"), F.expr(IN_COURT).alias("record_role"))
+    protected = K.protected_party({"record_role": F.col("record_role")}, F.col("label"))
+    return x.select("p_partkey", protected.alias("protected"), K.non_subject({"court_role": F.col("record_role")}, F.col("label"), F.col("kind")).alias("non_subject"))
 
 
 @query("""select m kind_and_text, reason is not null junk, reason from (values ('PERSON:', 'empty'), ('PERSON:unknown', 'stopword'), ('PERSON:---', 'punctuation'), ('LOCATION:12-3', 'bare number'), ('LOCATION:IN', 'country code'), ('ORGANIZATION:ab', 'too short'), ('PERSON:two men', 'descriptor'), ('PERSON:Ravi Kumar', null)) x(m, reason)""")

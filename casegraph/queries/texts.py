@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import similarity as S
+from ..functions import statutes
 from ..functions import text as T
 from ..operators.store import written
 from ..plans import search
@@ -41,10 +42,16 @@ def phone_keys(t: Tables) -> DataFrame:
     return df.select("raw", K.norm_phone(F.col("raw")).alias("norm"), K.is_international(F.col("raw")).alias("foreign_"))
 
 
-@query("""select * from (values ('PERSON', 'Shri. Md. Salim Khan', 'mohd salim khan'), ('ORGANIZATION', 'Blue Star Traders Pvt Ltd', 'blue star traders'), ('VEHICLE', 'dl 01-ab 1234', 'DL01AB1234'), ('BANK_ACCOUNT', 'A/c 0012 3456', '00123456'), ('BANK_ACCOUNT', 'Ravi@YBL', 'ravi@ybl'), ('CRYPTO_WALLET', '0xABC1', 'abc1'), ('SOCIAL_HANDLE', '@The_One', 'the_one'), ('LOCATION', '  Old   Delhi ', 'old delhi'), ('GOV_ID', 'abcde 1234 f', 'ABCDE1234F')) x(kind, raw, canonical)""")
+PERSON_RAW = "concat(case p_partkey % 6 when 0 then 'Shri. Md. ' when 1 then concat('D', chr(39)) when 2 then 'Smt ' when 3 then 'Abdul-' when 4 then '  Mohammed ' else '' end, p_name)"
+ORG_RAW = "concat(p_name, case p_partkey % 5 when 0 then ' & Sons Pvt. Ltd.' when 1 then ' Company' when 2 then ' (India) Private  Limited' when 3 then ', Co' else '' end)"
+
+
+@query(rf"""with x as (select p_partkey, 'PERSON' kind, {PERSON_RAW} raw from part union all select p_partkey, 'ORGANIZATION', {ORG_RAW} from part)
+ select p_partkey, kind, raw, case kind when 'PERSON' then regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(raw), '^(?:shri|smt|sri|mr|mrs|ms|miss|dr|adv|kum)\.?\s+', '', 'i'), '[.''-]', '', 'g'), '\s+', ' ', 'g'))), '^(?:mohd|md|mohammad|mohammed)\b', 'mohd')
+ else lower(trim(regexp_replace(regexp_replace(regexp_replace(raw, '\b(?:pvt\.?\s*ltd\.?|private\s+limited|ltd\.?|limited|llp|co\.?|company)\b\.?', '', 'gi'), '[^\w& ]', '', 'g'), '\s+', ' ', 'g'))) end canonical from x""")
 def canonical_keys(t: Tables) -> DataFrame:
-    rows = [("PERSON", "Shri. Md. Salim Khan"), ("ORGANIZATION", "Blue Star Traders Pvt Ltd"), ("VEHICLE", "dl 01-ab 1234"), ("BANK_ACCOUNT", "A/c 0012 3456"), ("BANK_ACCOUNT", "Ravi@YBL"), ("CRYPTO_WALLET", "0xABC1"), ("SOCIAL_HANDLE", "@The_One"), ("LOCATION", "  Old   Delhi "), ("GOV_ID", "abcde 1234 f")]
-    return literal(t, rows, "kind string, raw string").select("kind", "raw", K.canonical_key(F.col("kind"), F.col("raw")).alias("canonical"))
+    x = t.part.select("p_partkey", F.lit("PERSON").alias("kind"), F.expr(PERSON_RAW).alias("raw")).union(t.part.select("p_partkey", F.lit("ORGANIZATION"), F.expr(ORG_RAW)))
+    return x.select("p_partkey", "kind", "raw", K.canonical_key(F.col("kind"), F.col("raw")).alias("canonical"))
 
 
 @query("select * from (values ('236', 3), ('12345', 1), ('142857', 0)) x(digits, check_digit)")
@@ -128,10 +135,36 @@ def fuzzy_scores(t: Tables) -> DataFrame:
     return c
 
 
-@query("""select * from (values ('302, 34 and 120B IPC', 'IPC', '302'), ('302, 34 and 120B IPC', 'IPC', '34'), ('302, 34 and 120B IPC', 'IPC', '120B'), ('u/s 20(b) NDPS Act; 103 BNS', 'NDPS', '20(b)'), ('u/s 20(b) NDPS Act; 103 BNS', 'BNS', '103')) x(raw, act, section)""")
+def _catalogue_sql() -> str:
+    rows = ", ".join(f"('{k}', '{c}', {g}::double)" for k, _, c, g in statutes.catalogue())
+    same = ", ".join(f"('{a}', '{b}')" for a, b in statutes.equivalents().items())
+    return f"cat(k, category, gravity) as (values {rows}), same(k, other) as (values {same})"
+
+
+CITED = f"""{_catalogue_sql()}, cited as (select o_orderkey, 'IPC' act, cast(o_custkey % 520 as varchar) section, '' sub from orders union select o_orderkey, 'IPC', '34', '' from orders union select o_orderkey, 'IPC', '120B', '' from orders
+ union select o_orderkey, 'NDPS', cast(o_orderkey % 40 as varchar), 'c' from orders union select o_orderkey, 'BNS', cast(o_custkey % 360 as varchar), case when o_custkey % 360 = 3 then '5' else '' end from orders),
+ keyed as (select *, act || ':' || section bare, act || ':' || section || case sub when '' then '' else '(' || sub || ')' end key from cited),
+ charged as (select o_orderkey, x.key, coalesce(e.category, w.category, case act when 'NDPS' then 'narcotics' else 'other' end) category, coalesce(e.gravity, w.gravity, case act when 'NDPS' then 0.7::double else 0.45::double end) gravity,
+ case when e.k is null and w.k is null then 'act' else 'section' end basis, case when act in ('IPC', 'BNS') then coalesce(s.other, b.other) end equivalent from keyed x left join cat e on e.k = x.key left join cat w on w.k = x.bare left join same s on s.k = x.key left join same b on b.k = x.bare)"""
+
+
+def cited(t: Tables) -> DataFrame:
+    n, bns = (F.col("o_custkey") % 520).cast("string"), F.col("o_custkey") % 360
+    last = F.concat(bns.cast("string"), F.when(bns == 3, "(5)").otherwise(""))
+    text = F.concat(F.lit("u/s "), n, F.lit(" & sec. 34 r/w 120B I.P.C.; Section "), (F.col("o_orderkey") % 40).cast("string"), F.lit(" (C) NDPS Act; "), last, F.lit(" Bharatiya Nyaya Sanhita; 99; nothing of note"))
+    return statutes.charges(t.orders.select("o_orderkey", text.alias("citation")), "o_orderkey", "citation")
+
+
+@query(f"with {CITED} select * from charged")
 def statute_charges(t: Tables) -> DataFrame:
-    df = literal(t, [("302, 34 and 120B IPC",), ("u/s 20(b) NDPS Act; 103 BNS",)], "raw string").withColumn("id", F.col("raw"))
-    return T.charges(df, "id", "raw").select(F.col("id").alias("raw"), "act", "section")
+    return cited(t).select("o_orderkey", "key", "category", "gravity", "basis", "equivalent")
+
+
+@query(f"""with {CITED}, r as (select *, row_number() over (partition by o_orderkey order by case category when 'mode of liability' then 1 else 0 end, -gravity, key) k from charged)
+ select o_orderkey, string_agg(key, ',' order by -gravity, key) keys, coalesce(string_agg(distinct category, ',' order by category) filter (category <> 'mode of liability'), '') categories, max(case k when 1 then key end) gravest, max(case k when 1 then gravity end) gravity from r group by 1""")
+def charge_summary(t: Tables) -> DataFrame:
+    s = statutes.summary(cited(t), "o_orderkey")
+    return s.select("o_orderkey", F.array_join("keys", ",").alias("keys"), F.array_join("categories", ",").alias("categories"), "gravest", "gravity")
 
 
 @query("""select * from (values ('FIR dated 12/03/2024 and 2024-05-01 under section 302, 34', '12/03/2024,2024-05-01', '302,34')) x(raw, dates, sections)""")

@@ -15,30 +15,37 @@ MOST_WATCHES = 20_000
 AROUND = 90
 
 
-def normalised(kind: str, value: str) -> str:
-    """The selector's canonical form, by the same rules as entity keys; ValueError if it is too short to watch for."""
-    import re
-
-    v = re.sub(r"\s+", " ", value or "").strip()
-    digits = re.sub(r"\D", "", v)
-    if kind == "PHONE":
-        n = digits[1:] if len(digits) == 11 and digits[0] == "0" else digits[2:] if len(digits) == 12 and digits[:2] == "91" else digits
-        if len(n) < 7:
-            raise ValueError("a phone number has seven digits or more")
-        return n
-    if kind == "VEHICLE":
-        n = re.sub(r"[\s-]", "", v).upper()
-        if len(n) < 6:
-            raise ValueError("a plate has six characters or more")
-        return n
-    if kind == "BANK_ACCOUNT":
-        n = v.lower() if "@" in v else digits
-        if len(n) < 6:
-            raise ValueError("an account has six characters or more")
-        return n
-    if len(v) < 3:
-        raise ValueError("a selector has three characters or more")
-    return v.lower()
+# The least length of a selector by kind.
+LEAST = {"PHONE": 10, "VEHICLE": 6, "TEXT": 4, "PERSON": 3, "ORGANIZATION": 3, "BANK_ACCOUNT": 3}
+PAN, AADHAAR, GSTIN, PASSPORT = r"^[A-Z]{5}[0-9]{4}[A-Z]$", r"^[0-9]{12}$", r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z]{3}$", r"^[A-Z][0-9]{7}$"
+
+
+def normalised(watches: DataFrame, salt: str = "") -> DataFrame:
+    """`watches` (kind, value, ...) with norm, display and error, by the rules of entity keys. norm is null where error says why the
+    watch can't be stored: an unknown kind, an empty selector, one too short to tell records apart, or an identifier that does
+    not validate. Aadhaar, PAN and passport numbers are kept as salted fingerprints and shown masked, never in clear."""
+    kind, raw = F.upper(F.trim(F.coalesce("kind", F.lit("")))), F.trim(F.coalesce("value", F.lit("")))
+    bare = F.upper(F.regexp_replace(raw, r"[\s-]", ""))
+    of = F.when(bare.rlike(AADHAAR), "AADHAAR").when(bare.rlike(PAN), "PAN").when(bare.rlike(GSTIN), "GSTIN").when(bare.rlike(PASSPORT), "PASSPORT").when(K.valid_ifsc(bare), "IFSC").when(raw.contains("@"), "UPI")
+    valid = K.validated(of, bare)["valid"]
+    secret = of.isin("AADHAAR", "PAN", "PASSPORT")
+    key = F.when(kind == "TEXT", F.lower(K.squashed(raw))).when(kind == "GOV_ID", F.when(secret, F.concat(F.lit("fp:"), K.identifier_print(salt, of, bare))).otherwise(bare)).otherwise(K.canonical_key(kind, raw))
+    shown = F.when(kind.isin("PHONE", "VEHICLE", "TEXT"), key).when(kind == "GOV_ID", F.when(secret, K.masked(of, bare)).otherwise(bare)).otherwise(K.squashed(raw))
+    least = F.create_map(*(F.lit(x) for kv in LEAST.items() for x in kv))[kind]
+    error = (
+        F.when(~kind.isin(*LEAST, "GOV_ID"), "unknown kind").when(raw == "", "empty").when((kind == "GOV_ID") & of.isNull(), "not a recognised identifier").when((kind == "GOV_ID") & of.isin("IFSC", "UPI"), "watch it as BANK_ACCOUNT")
+        .when((kind == "GOV_ID") & ~valid, "the identifier did not validate").when(F.length(key) < least, F.concat(F.lit("needs "), least.cast("string"), F.lit(" characters or more")))
+    )
+    return watches.withColumns({"norm": F.when(error.isNull(), key), "display": F.when(error.isNull(), shown), "error": error})
+
+
+def added(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The table of watches (id, kind, norm, display, active) after `new` ones, as of normalised(): a selector that is watched already joins its
+    watch and arms it again; of equal new ones the smallest id stays; what has an error is left out."""
+    own = new.where("error is null").groupBy(F.upper(F.trim("kind")).alias("kind"), "norm").agg(F.min_by(F.struct("id", "display"), "id").alias("x"))
+    old = stored.join(own.select("kind", "norm", F.lit(True).alias("again")), ["kind", "norm"], "left").select("id", "kind", "norm", "display", (F.col("active") | F.coalesce("again", F.lit(False))).alias("active"))
+    fresh = own.join(stored.select("kind", "norm"), ["kind", "norm"], "left_anti").select("x.id", "kind", "norm", "x.display", F.lit(True).alias("active"))
+    return old.unionByName(fresh)
 
 
 def text_hits(docs: DataFrame, watches: DataFrame) -> DataFrame:

@@ -90,6 +90,13 @@ def test_eigenvector_by_component(spark):
     assert got[20] == 0 and got[0] == pytest.approx(3**-0.5 * 3 / 8, abs=1e-6) and got[10] == pytest.approx(got[0])
 
 
+def test_protected_parties_are_in_no_community(spark):
+    edges = [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (9, 1), (9, 2), (9, 4), (9, 5), (9, 7)]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "a long, b long, weight double")
+    of = {r["id"]: r["community"] for r in G.louvain(e, protected=spark.createDataFrame([(9,)], "id long")).collect()}
+    assert of[9] == -1 and of[1] == of[2] == of[3] and of[4] == of[5] == of[6] and len({of[1], of[4], of[7]}) == 3 and min(of[1], of[4], of[7]) == 0
+
+
 def test_louvain_finds_planted_groups(spark):
     rows = [(g * 10 + i, g * 10 + j, 1) for g in range(4) for i in range(6) for j in range(i)] + [(g * 10, (g + 1) % 4 * 10, 1) for g in range(4)]
     of = G.louvain(graph(spark, rows))

@@ -84,10 +84,16 @@ def test_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):
 def test_watch_context_precedence_and_selectors(spark):
     m = spark.createDataFrame([("d1", "e1", "PHONE", "9876543210", "edge", None, 3), ("d1", "e1", "PHONE", "9876543210", "evidence", None, 1), ("d2", "e1", "PHONE", "1", "no", None, 1)], "document_id string, entity_id string, type string, key string, snippet string, occurred_at timestamp_ntz, rank int")
     assert [(r["document_id"], r["snippet"]) for r in W.key_hits(m, watch_table(spark)).collect()] == [("d1", "evidence")]
-    assert W.normalised("PHONE", "+91 98765 43210") == "9876543210" and W.normalised("VEHICLE", "dl 01 ab 1234") == "DL01AB1234" and W.normalised("TEXT", " Silver  Van ") == "silver van"
-    for kind, bad in (("PHONE", "123"), ("TEXT", "ab"), ("VEHICLE", "x"), ("BANK_ACCOUNT", "12")):
-        with pytest.raises(ValueError):
-            W.normalised(kind, bad)
+    rows = [("PHONE", "+91 98765 43210"), ("PHONE", "1234567"), ("VEHICLE", "dl 01 ab 1234"), ("VEHICLE", "dl1"), ("TEXT", " Silver  Van "), ("TEXT", "van"), ("PERSON", "Shri D'Souza"), ("PERSON", "x"), ("CAR", "x"), ("TEXT", None), ("GOV_ID", "abcpe1234f"), ("GOV_ID", "1234 1234 1234"), ("GOV_ID", "SBIN0001234"), ("GOV_ID", "hello")]
+    got = {(r["kind"], r["value"]): (r["norm"], r["display"], r["error"]) for r in W.normalised(spark.createDataFrame(rows, "kind string, value string"), "salt").collect()}
+    assert got["PHONE", "+91 98765 43210"][0] == "9876543210" and got["VEHICLE", "dl 01 ab 1234"][0] == "DL01AB1234" and got["TEXT", " Silver  Van "][0] == "silver van" and got["PERSON", "Shri D'Souza"][:2] == ("dsouza", "Shri D'Souza")
+    bad = {k for k, v in got.items() if v[0] is None}
+    assert bad == {("PHONE", "1234567"), ("VEHICLE", "dl1"), ("TEXT", "van"), ("PERSON", "x"), ("CAR", "x"), ("TEXT", None), ("GOV_ID", "1234 1234 1234"), ("GOV_ID", "SBIN0001234"), ("GOV_ID", "hello")} and all(got[k][2] for k in bad)
+    norm, shown, _ = got["GOV_ID", "abcpe1234f"]
+    assert norm.startswith("fp:") and len(norm) == 35 and shown == "ABCXX1234X"
+    stored = spark.createDataFrame([("w1", "TEXT", "silver van", "silver van", False)], "id string, kind string, norm string, display string, active boolean")
+    new = W.normalised(spark.createDataFrame([("w9", "text", "Silver van"), ("w8", "PHONE", "9876543210"), ("w7", "PHONE", "09876543210"), ("w6", "TEXT", "no")], "id string, kind string, value string"))
+    assert sorted(tuple(r) for r in W.added(stored, new).collect()) == [("w1", "TEXT", "silver van", "silver van", True), ("w7", "PHONE", "9876543210", "9876543210", True)]
 
 
 def test_incremental_edges_equal_one_batch(spark, tmp_path):
