@@ -300,14 +300,16 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32) if text else np.zeros(0, np.uint32)
 
     def _other(self, w: Words, at: np.ndarray) -> np.ndarray:
-        """Words whose bytes are not those of the known piece of number `at`."""
-        n, have = w.end - w.start, self.raw_first[at + 1] - self.raw_first[at]
-        other = np.flatnonzero(n != have)
-        same = np.flatnonzero(n == have)
-        n = n[same]
-        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        wrong = w.raw[np.repeat(w.start[same], n) + steps] != self.raw[np.repeat(self.raw_first[at[same]], n) + steps]
-        return np.concatenate([other, same[np.repeat(np.arange(len(same)), n)[wrong]]]) if wrong.any() else other
+        """Words whose bytes are not those of the known piece of number `at`; words without one (negative) are left out."""
+        good = np.flatnonzero(at >= 0)
+        start, first = w.start[good], self.raw_first[at[good]]
+        n, have = w.end[good] - start, self.raw_first[at[good] + 1] - first
+        odd = np.flatnonzero(n != have)
+        n = np.minimum(n, have)
+        steps, ends = np.arange(n.sum(), dtype=np.int32), np.cumsum(n)
+        own = w.raw[steps + np.repeat((start - (ends - n)).astype(np.int32), n)]
+        wrong = np.flatnonzero(own != self.raw[steps + np.repeat((first - (ends - n)).astype(np.int32), n)])
+        return good[np.concatenate([odd, np.searchsorted(ends, wrong, "right")])]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; a null text has none."""
@@ -334,8 +336,8 @@ class Encoder:
             odd = np.bincount(w.row[at == _BAD], minlength=rows) > 0
             space = np.bincount(np.searchsorted(w.bounds, np.flatnonzero(w.raw == 32), "right") - 1, minlength=rows)
             odd |= space != np.maximum(np.bincount(w.row, minlength=rows) - 1, 0)
-            at = np.maximum(at, 0)
             odd |= np.bincount(w.row[self._other(w, at)], minlength=rows) > 0
+            at = np.maximum(at, 0)
             first = self.first[at]
             size = self.first[at + 1] - first
             ids = self.flat[np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)] if n else np.zeros(0, np.uint32)
