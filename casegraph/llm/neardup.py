@@ -349,6 +349,7 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         s = written(s.groupBy("id").agg(F.first("s").alias("s")), "sets")  # rows that repeat
         return written(verified(pairs, s, least), "similar")
 
+    spark = docs.sparkSession
     longs = [f"q{i}" for i in range(SKETCH)]
     # the sample only orders the shingles
     part = max(1, docs.count() // SAMPLE_TEXTS)
@@ -361,15 +362,19 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sketches = first.select(F.xxhash64("digest").alias("id"), *longs)
     first = first.select("digest", "id", "n")
     pairs = written(pivot_pairs(placed, least), "pivots")
-    links = similar(pairs)
-    nodes = written(components(links), "nodes")
+    links = pairs if pairs.isEmpty() else similar(pairs)
+    nodes = spark.createDataFrame([], "node long, component long") if links.isEmpty() else written(components(links), "nodes")
     for turn in range(TURNS):  # linear rounds first: what they join is not compared again
         more = written(outsider_pairs(placed, nodes, sketches, least, turn).join(pairs, ["a", "b"], "left_anti"), "outsiders")
-        links = links.union(similar(more))
-        pairs = pairs.union(more)
-        nodes = written(components(links), "nodes")
+        if more.isEmpty():
+            break
+        pairs, found = pairs.union(more), similar(more)
+        if not found.isEmpty():
+            links = links.union(found)
+            nodes = written(components(links), "nodes")
     rest = written(other_pairs(placed, nodes, sketches, least).join(pairs, ["a", "b"], "left_anti"), "met")
-    nodes = components(links.union(similar(rest)))
+    if not rest.isEmpty() and not (found := similar(rest)).isEmpty():
+        nodes = components(links.union(found))
     linked = nodes.join(named, "node").select("digest", "component", "id")
     smallest = linked.groupBy("component").agg(F.min("id").alias("component_id"))
     of = first.join(linked.join(smallest, "component").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
