@@ -121,3 +121,12 @@ def projection(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return per.groupBy("a", "b").agg(
         F.sum("w").alias("weight"), F.sum("calls").cast("long").alias("calls"), F.sum("night").cast("long").alias("night_calls"), F.sum("amount").alias("amount"), F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("=", "channel", "n")))).alias("channels")
     )  # a pair has few channels, so this list is short
+
+
+def foreign_contacts(uses: DataFrame, calls: DataFrame, foreign: DataFrame) -> DataFrame:
+    """(person, contacts): calls between the phones that a person uses (person, phone) and foreign phones (phone), in either direction; calls
+    (a, b, n). Persons without any are left out. Both joins are by phone; calls are first summed by pair."""
+    both = calls.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    arcs = both.select(F.col("a").alias("phone"), F.col("b").alias("other"), "n").union(both.select(F.col("b").alias("phone"), F.col("a").alias("other"), "n"))
+    hit = arcs.join(foreign.select(F.col("phone").alias("other")).distinct(), "other", "left_semi").groupBy("phone").agg(F.sum("n").alias("n"))
+    return uses.select("person", "phone").distinct().join(hit, "phone").groupBy("person").agg(F.sum("n").alias("contacts"))

@@ -67,6 +67,25 @@ def screened(actors: DataFrame, listed: DataFrame, least_person: float = 88.0, l
     return best.select("id", "x.list_id", "x.score", strong.alias("strong"))
 
 
+def proposed(listed: DataFrame, others: DataFrame, existing: DataFrame, least: float = 92.0, strong: float = 96.0, most: int = 3) -> DataFrame:
+    """(a, b, score, strength): namesakes of watchlist rows among the other actors (id, type, label) of the same type, as proposals that a person
+    has to confirm, never merges. Of each listed row the `most` best names (by score, then id) that reach `least`; pairs that `existing`
+    (a, b) holds in either direction are left out. Names under seven characters and persons of one token are skipped."""
+    fit = (F.length("label") >= 7) & ((F.col("type") != "PERSON") | (F.size(F.split(F.trim("label"), r"\s+")) >= 2))
+    x = listed.where(fit).select(F.col("id").alias("a"), "type", F.col("label").alias("la"))
+    y = others.where(fit).select(F.col("id").alias("b"), "type", F.col("label").alias("lb"))
+    s = scored(x.join(y, "type").where("a <> b"), "la", "lb").where(F.col("score") >= least)
+    best = s.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= most)
+    known = existing.select("a", "b").union(existing.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return best.join(known, ["a", "b"], "left_anti").select("a", "b", "score", F.when(F.col("score") >= strong, "strong").otherwise("probable").alias("strength"))
+
+
+def stamped(entities: DataFrame) -> DataFrame:
+    """`entities` (type, label, court_role, ...) with standing in the record, non_subject and protected."""
+    role = F.col("court_role")
+    return entities.withColumns({"standing": K.standing(F.col("type"), F.col("label"), role), "non_subject": K.non_subject({"court_role": role}, F.col("label"), F.col("type")), "protected": K.protected_party({"court_role": role}, F.col("label"))})
+
+
 def recall(names: DataFrame, least: float = 88.0) -> DataFrame:
     """Over pairs of names (a, b) of one entity: the shares that the exact key and the fuzzy rule unify."""
     s = scored(names, "a", "b", "token_set")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..functions import places
+from ..operators import edges
 from ..operators import relational as R
 from . import Tables, query
 
@@ -176,3 +178,36 @@ def region_match(t: Tables) -> DataFrame:
     """First match of a small closed table (five regions), broadcast."""
     j = t.nation.join(F.broadcast(t.region), F.col("r_name").contains(F.substring("n_name", 1, 1)) | F.col("n_name").contains(F.col("r_name")))
     return j.groupBy("n_name").agg(F.min_by("r_name", "r_regionkey").alias("r_name"))
+
+
+def _places_sql() -> str:
+    points = lambda rows: ", ".join(f"('{k}', {a}::double, {b}::double)" for k, (a, b) in rows.items())
+    nations = ", ".join(f"('{k}', '{n}', {a}::double, {b}::double)" for k, (n, a, b) in places.countries().items())
+    return f"city(k, lat, lon) as (values {points(places.cities())}), state(k, lat, lon) as (values {points(places.states())}), court(k, lat, lon) as (values {points(places.courts())}), country(k, name, lat, lon) as (values {nations})"
+
+
+def _choice(names, by: str) -> str:
+    """The name of number `by`, as an expression that both engines read."""
+    return f"case {by} % {len(names)} " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(names)) + " end"
+
+
+CODE = f"case c_custkey % 4 when 0 then {_choice(list(places.countries()), 'c_nationkey')} when 1 then 'xx' end"
+NOTE = f"""case c_custkey % 3 when 0 then concat('Seen near ', upper({_choice(list(places.cities()), "c_custkey")}), ', ', {_choice(list(places.states()), "c_nationkey")}) when 1 then concat('From ', {_choice(list(places.states()), "c_custkey")}, ' yesterday')
+ else concat('Heard at the ', {_choice(list(places.courts()), "c_custkey")}, ' court') end"""
+
+
+@query(rf"""with {_places_sql()}, x as (select c_custkey, {CODE} code, {NOTE} note from customer), y as (select *, lower(regexp_extract(note, '{places.pattern(places.cities())}', 1)) c, lower(regexp_extract(note, '{places.pattern(places.states())}', 1)) s from x),
+ seat as (select c_custkey, arg_max(court.lat, length(court.k)) lat, arg_max(court.lon, length(court.k)) lon from y join court on contains(lower(note), court.k) group by 1)
+ select y.c_custkey, case when country.k is not null then 'country' when c <> '' then 'city' when s <> '' then 'state' when seat.lat is not null then 'court' end as precision, coalesce(country.lat, city.lat, state.lat, seat.lat) lat, coalesce(country.lon, city.lon, state.lon, seat.lon) lon
+ from y left join country on country.k = y.code left join city on city.k = y.c left join state on state.k = y.s left join seat on seat.c_custkey = y.c_custkey""")
+def located_texts(t: Tables) -> DataFrame:
+    x = t.customer.select("c_custkey", F.expr(CODE).alias("code"), F.expr(NOTE).alias("note")).withColumn("at", places.locate(F.col("code"), F.col("note")))
+    return x.select("c_custkey", "at.precision", "at.lat", "at.lon")
+
+
+@query("""with calls as (select l_suppkey % 300 a, l_partkey % 300 b, count(*) n from lineitem group by 1, 2), arcs as (select a phone, b other, n from calls union all select b, a, n from calls), hit as (select phone, sum(n) n from arcs where other % 7 = 0 group by 1),
+ uses as (select distinct o_custkey person, o_orderkey % 300 phone from orders) select person, cast(sum(n) as bigint) contacts from uses join hit using (phone) group by 1""")
+def foreign_contacts(t: Tables) -> DataFrame:
+    calls = t.lineitem.select((F.col("l_suppkey") % 300).alias("a"), (F.col("l_partkey") % 300).alias("b"), F.lit(1).alias("n"))
+    uses = t.orders.select(F.col("o_custkey").alias("person"), (F.col("o_orderkey") % 300).alias("phone"))
+    return edges.foreign_contacts(uses, calls, t.spark.range(0, 300, 7).withColumnRenamed("id", "phone"))
