@@ -192,6 +192,27 @@ def rule_ner(t: Tables) -> DataFrame:
     return mentions(t.documents)
 
 
+NER_FIRST, NER_LAST = ("Rahul", "Sunita", "Imran", "Deepika", "Joseph"), ("Sharma", "Khan", "Fernandes", "Qureshi", "Patil", "Naik", "Bhosale")
+
+
+def _pick(names, by: str) -> str:
+    return f"case {by} % {len(names)} " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(names)) + " end"
+
+
+NAMED_BY = f"concat({_pick(NER_FIRST, 'o_custkey')}, ' ', {_pick(NER_LAST, 'o_orderkey')})"
+NER_TEXT = f"""concat('On receipt of advance intelligence the ', case o_orderkey % 3 when 0 then 'accused ' when 1 then 'Shri ' else '' end, {NAMED_BY}, ' used mobile +91 9', lpad(cast(o_custkey % 10000 as string), 4, '0'), ' ', lpad(cast(o_orderkey % 100000 as string), 5, '0'),
+ ' and A/c No. 00', lpad(cast(o_orderkey as string), 9, '7'), case when o_orderkey % 4 = 0 then ' of Silver Star Exports' else '' end, ', in Crime Branch Mumbai custody.')"""
+
+
+@query(rf"""with x as (select o_orderkey, {NAMED_BY} who, lpad(cast(o_custkey % 10000 as varchar), 4, '0') p1, lpad(cast(o_orderkey % 100000 as varchar), 5, '0') p2, lpad(cast(o_orderkey as varchar), 9, '7') acc from orders)
+ select o_orderkey doc_id, 'PERSON' as type, who as text, case o_orderkey % 3 when 0 then 'role' when 1 then 'title' else 'capitalised' end rule from x
+ union all select o_orderkey, 'PHONE', '+91 9' || p1 || ' ' || p2, 'PHONE' from x union all select o_orderkey, 'BANK_ACCOUNT', '00' || acc, 'BANK_ACCOUNT' from x union all select o_orderkey, 'ORGANIZATION', 'Silver Star Exports', 'ORGANIZATION' from x where o_orderkey % 4 = 0""")
+def named_mentions(t: Tables) -> DataFrame:
+    from ..plans.extract import mentions
+
+    return mentions(t.orders.select("o_orderkey", F.expr(NER_TEXT).alias("note")), doc_id="o_orderkey", text="note").select("doc_id", "type", "text", "rule")
+
+
 @query()
 def relation_inference(t: Tables) -> DataFrame:
     from ..plans.extract import relations
