@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import running
+from .store import written
 
 MONEY = "decimal(38,4)"
 
@@ -69,10 +70,46 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def robust(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median, MAD, mean, population deviation and 90th percentile, exact."""
-    base = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.9).alias("p90"), F.avg(F.col(value).cast(MONEY)).cast("double").alias("mean"), F.stddev_pop(value).alias("sd"))
-    off = df.join(base, by).groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
-    return base.join(off, by)
+    """Median, MAD, mean, population deviation and 90th percentile, exact. Null keys are a group; a group without values has nulls."""
+    base = df.groupBy(*by).agg(F.avg(F.col(value).cast(MONEY)).cast("double").alias("mean"), F.stddev_pop(value).alias("sd"))
+    middle = written(quantiles(df, by, value, {"median": 0.5, "p90": 0.9}), "quantiles")
+    off = beside(df.select(*by, value), middle, by).withColumn(value, F.abs(F.col(value) - F.col("median")))
+    return beside(beside(base, middle, by), quantiles(off, by, value, {"mad": 0.5}), by)
+
+
+def beside(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """Each row with the columns of its group in `table`, which has a group once (nulls equal, null where it has none); without `by`,
+    `table` is one row."""
+    if not by:
+        return rows.crossJoin(F.broadcast(table))
+    same = [F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by]
+    return rows.join(table.withColumnsRenamed({b: f"_g_{b}" for b in by}), same, "left").drop(*(f"_g_{b}" for b in by))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, names of `shares`): exact percentiles of each group's values that are not null, between two values in proportion.
+    Values are counted and the counts cumulated over ranges, so no task sees all values of a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    upto = written(running(counts, [*by, value], {"_upto": "_k"}), "counts")
+    groups = upto.groupBy(*by).agg(F.min(F.col("_upto") - F.col("_k")).alias("_base"), F.max("_upto").alias("_end"))
+    at = {name: p * (F.col("_end") - F.col("_base") - 1) for name, p in shares.items()}
+    reached = lambda i: F.min(F.when(F.col("_upto") - F.col("_base") > i, F.col(value)))
+    found = beside(upto, groups, by).groupBy(*by).agg(
+        *(reached(F.floor(x)).alias(f"_lo_{name}") for name, x in at.items()),
+        *(reached(F.ceil(x)).alias(f"_hi_{name}") for name, x in at.items()),
+        *(F.max(x).alias(f"_at_{name}") for name, x in at.items()),
+    )
+    low, high, x = (lambda name, k=k: F.col(f"_{k}_{name}") for k in ("lo", "hi", "at"))
+    between = lambda n: (F.ceil(x(n)) - x(n)) * low(n) + (x(n) - F.floor(x(n))) * high(n)
+    return found.select(*by, *(F.when(low(n) == high(n), low(n)).otherwise(between(n)).cast("double").alias(n) for n in shares))
+
+
+def column_quantiles(df: DataFrame, shares: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row: for each name the percentile of a column, shares[name] = (column, share); null without values."""
+    columns, steps = sorted({c for c, _ in shares.values()}), sorted({p for _, p in shares.values()})
+    pairs = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))
+    found = quantiles(df.select(F.explode(pairs).alias("x")).select("x.*"), ["c"], "v", {f"q{i}": p for i, p in enumerate(steps)})
+    return found.agg(*(F.max(F.when(F.col("c") == c, F.col(f"q{steps.index(p)}"))).alias(name) for name, (c, p) in shares.items()))
 
 
 def first_known(df: DataFrame, key: Column, variants: list[Column], lookup: DataFrame, at: str, to: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..operators import windows as W
+from ..operators.store import written
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -191,19 +192,28 @@ def alerts(found: DataFrame, kind: str, entities: list[str], title: Column) -> D
 
 
 def run_all(jobs: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
-    """All alerts and the failures by name: a detector that fails becomes a detector_error alert of score .1 and stops no other."""
+    """All alerts and the failures by name: a detector that fails, in analysis or at run time, becomes a detector_error alert of score
+    .1 without entities and stops no other. Each detector's alerts are written as soon as it runs."""
     out, failed = None, {}
     for name, job in jobs.items():
         try:
-            df = job()
-            df.schema  # noqa: B018  analysis errors surface here
+            df = written(job(), "alerts")
         except Exception as e:  # noqa: BLE001
             failed[name] = str(e)[:300]
-            continue
+            df = _failure(name)
         out = df if out is None else out.unionByName(df)
     return out, failed
 
 
+def _failure(name: str) -> DataFrame:
+    """The detector_error alert of one detector; its id is a hash of the kind and the detector's name."""
+    row = SparkSession.active().range(1).withColumns({"score": F.lit(0.1), "kind": F.lit("detector_error"), "title": F.lit(f"{name} failed")})
+    return row.select(
+        F.sha2(F.concat_ws("|", "kind", F.lit(name)), 256).alias("id"), "kind", K.severity(F.col("score")).alias("severity"), "title", "score",
+        F.array().cast("array<string>").alias("entity_ids"),
+    )
+
+
 def persisted(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by id: an analyst's status stays, stale alerts go only while open."""
     j = new.alias("n").join(stored.select("id", F.col("status").alias("old_status"), F.col("review_status").alias("old_review")), "id", "left")

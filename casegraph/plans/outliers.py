@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import isolation_scores
-from ..operators.relational import ecod
+from ..operators.relational import column_quantiles, ecod
+from ..operators.store import written
 
 FEATURES = ("degree", "betweenness", "calls", "night_ratio", "distinct_contacts", "tx_in", "tx_out", "tx_counterparties", "cases", "sightings", "phones", "accounts")
 FOREST_SAMPLE = 20_000
@@ -50,11 +51,13 @@ def outliers(df: DataFrame, key: str, columns: tuple[str, ...] = FEATURES, share
         return s.select(key, F.lit(0.0).alias("ecod"), F.lit(0.0).alias("forest"), F.lit(False).alias("both"), F.lit(0.0).alias("score"), F.lit("").alias("drivers")).limit(0)
     e, f = ecod(s, key, list(columns)).withColumnRenamed("score", "ecod"), forest(s, key, columns).withColumnRenamed("score", "forest")
     j = e.join(f, key)
-    cut = j.agg(F.percentile("ecod", 1 - share).alias("_e"), F.percentile("forest", 1 - share).alias("_f"), F.max("ecod").alias("_me"), F.max("forest").alias("_mf"))
-    j = j.crossJoin(F.broadcast(cut)).where("ecod > _e or forest > _f")  # one row
+    j = written(j, "outlier_scores")
+    cut = column_quantiles(j, {"_e": ("ecod", 1 - share), "_f": ("forest", 1 - share)})
+    top = j.agg(F.max("ecod").alias("_me"), F.max("forest").alias("_mf"))
+    j = j.crossJoin(F.broadcast(cut)).crossJoin(F.broadcast(top)).where("ecod > _e or forest > _f")  # one row each
     blend = 0.5 * F.col("ecod") / F.col("_me") + 0.5 * F.col("forest") / F.col("_mf")
     both = (F.col("ecod") > F.col("_e")) & (F.col("forest") > F.col("_f"))
-    mid = s.agg(*(F.percentile(c, 0.5).alias(f"_m_{c}") for c in columns))
+    mid = column_quantiles(s, {f"_m_{c}": (c, 0.5) for c in columns})
     far = F.slice(F.array_sort(F.array(*(F.struct((-F.abs(F.col(c) - F.col(f"_m_{c}"))).alias("d"), F.lit(c).alias("c")) for c in columns))), 1, 3)
     drivers = s.crossJoin(F.broadcast(mid)).select(key, F.array_join(F.transform(far, lambda x: x["c"]), ",").alias("drivers"))
     return j.join(drivers, key).select(key, "ecod", "forest", both.alias("both"), F.least(F.lit(1.0), 0.3 + 0.4 * blend + F.when(both, 0.2).otherwise(0.0)).alias("score"), "drivers")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..operators import graph as G
 from ..operators.edges import both_ways
-from ..operators.relational import min_max, top_per_group
+from ..operators.relational import column_quantiles, min_max, top_per_group
 
 # Weights of the models.
 INFLUENCE = {"pagerank": 0.35, "eigenvector": 0.25, "betweenness": 0.25, "weighted_degree": 0.15}
@@ -50,7 +50,8 @@ def priority(influence_: Column, suspicion_: Column, protected: Column) -> Colum
 
 def roles(m: DataFrame) -> DataFrame:
     """`m` (degree, pagerank, betweenness, suspicion, type, amount, unverified) with role: the last rule that fits."""
-    q = m.agg(*(F.percentile(c, p).alias(f"_{c}{int(p * 100)}") for c, p in (("degree", 0.75), ("degree", 0.9), ("pagerank", 0.85), ("betweenness", 0.75), ("betweenness", 0.85))))
+    cuts = (("degree", 0.75), ("degree", 0.9), ("pagerank", 0.85), ("betweenness", 0.85))
+    q = column_quantiles(m, {f"_{c}{round(p * 100)}": (c, p) for c, p in cuts})
     x = m.crossJoin(F.broadcast(q))  # one row
     poi = F.col("suspicion") >= 0.2
     role = (

@@ -103,15 +103,23 @@ def anomaly_inheritance(t: Tables) -> DataFrame:
     return scoring.inherited(a, ties).withColumn("anomaly", F.round("anomaly", 9))
 
 
-@query()
+@query(f"""with {METRICS}, {SIGNALS}, {SUSPICION}, j as (select m.*, suspicion from m join x using (id)),
+ c as (select quantile_cont(degree, 0.75) d75, quantile_cont(degree, 0.9) d90, quantile_cont(pagerank, 0.85) p85, quantile_cont(betweenness, 0.85) b85 from j)
+ select id, case when id % 15 = 0 then 'unverified' when id % 10 = 0 and weighted_degree > 200000 then 'financial'
+ when suspicion >= 0.2 and betweenness > 0 and betweenness >= b85 then 'broker' when suspicion >= 0.2 and pagerank >= p85 and degree >= d75 then 'coordinator'
+ when suspicion >= 0.2 then 'operative' when degree >= d90 then 'connector' else 'peripheral' end role from j, c""")
 def roles(t: Tables) -> DataFrame:
     m = metrics(t).join(scoring.suspicion(signals(t)).select("id", "suspicion"), "id").withColumns({"type": F.when(F.col("id") % 10 == 0, "ORGANIZATION").otherwise("PERSON"), "amount": F.col("weighted_degree"), "unverified": F.col("id") % 15 == 0, "leader": F.lit(False)})
     return scoring.roles(m).select("id", "role")
 
 
-@query()
+@query("""with n as (select cast(l_partkey as varchar) asset, count(distinct l_suppkey) n from lineitem where l_returnflag = 'R' group by 1),
+ a as (select 'ownership_conflict' kind, 'Asset ' || asset title, least(0.95::double, 0.6::double + 0.15::double * (n - 2)) score, asset entity_ids, asset part from n where n >= 2
+ union all select 'detector_error', 'broken failed', 0.1::double, '', 'broken')
+ select sha256(kind || '|' || part) id, kind, case when score >= 0.85 then 'critical' when score >= 0.65 then 'high' when score >= 0.4 then 'medium' else 'low' end severity,
+ title, score, entity_ids, 'open' status, 'pending' review_status, 1 failures from a""")
 def alert_roundtrip(t: Tables) -> DataFrame:
-    """Detectors in isolation, then alerts by content and the upsert."""
+    """Detectors in isolation, one of which fails, then alerts by content and the upsert."""
     own = detectors.ownership_conflicts(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("asset"), F.col("l_suppkey").alias("owner")))
     jobs = {"ownership": lambda: detectors.alerts(own, "ownership_conflict", ["asset"], F.concat(F.lit("Asset "), F.col("asset"))), "broken": lambda: own.select("no_such_column")}
     found, failed = detectors.run_all(jobs)

@@ -151,13 +151,25 @@ def test_clean_mule_near_three_offenders(spark):
 def test_detectors_are_isolated_and_alerts_keep_status(spark):
     own = D.ownership_conflicts(spark.createDataFrame([("car", "a"), ("car", "b"), ("van", "a")], "asset string, owner string"))
     found, failed = D.run_all({"ok": lambda: D.alerts(own, "ownership_conflict", ["asset"], F.col("asset")), "bad": lambda: own.select("nope")})
-    assert list(failed) == ["bad"] and found.count() == 1
+    assert list(failed) == ["bad"] and found.where("kind = 'detector_error'").select("title", "score", "severity").collect() == [("bad failed", 0.1, "low")]
+    found = found.where("kind <> 'detector_error'")
+    assert found.count() == 1
     stored = found.withColumns({"status": F.lit("closed"), "review_status": F.lit("reviewed")})
     assert [(r["status"], r["review_status"]) for r in D.persisted(stored, found).collect()] == [("closed", "reviewed")]
     assert D.persisted(stored.withColumn("status", F.lit("open")), found.limit(0)).count() == 0 and D.persisted(stored, found.limit(0)).count() == 1
     assert D.anomaly_hits(found).head()["anomaly"] == pytest.approx(0.6)
 
 
+def test_a_detector_that_fails_at_run_time_stops_no_other(spark):
+    rows = spark.range(3).select(F.col("id").cast("string"), F.lit(0.5).alias("score"))
+    ok = lambda: D.alerts(rows, "good", ["id"], F.col("id"))
+    late = lambda: D.alerts(rows.withColumn("score", F.raise_error(F.lit("late")).cast("double")), "worse", ["id"], F.col("id"))
+    found, failed = D.run_all({"late": late, "ok": ok})
+    assert list(failed) == ["late"] and sorted(r["kind"] for r in found.collect()) == ["detector_error"] + ["good"] * 3
+    assert found.select("id").distinct().count() == 4
+    assert D.anomaly_hits(found).count() == 3
+
+
 def test_burner_attribution_prefers_shared_handsets(spark):
     b = spark.createDataFrame([("x", "c1", "t1"), ("x", "c2", "t1")], "phone string, contact string, tower string")
     p = spark.createDataFrame([("ann", "c1", "t1"), ("ann", "c2", "t1"), ("bob", "c9", "t1")], "person string, contact string, tower string")
