@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, media, mixing, neardup, oracle, quality, sharding, urls, wavelet
+from . import bpe, decontam, langid, licenses, media, merkle, mixing, neardup, oracle, quality, sharding, trie, urls, wavelet
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -68,6 +68,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet, op2_licenses, op3_media, op4_mixing, op5_urls, op6_langid, op7_quality, op8_decontam, op9_neardup, op10_sharding)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = bpe.decoded(bpe.encoded(_table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
-ORACLE = {"op4_mixing": oracle.mixing_sql(), "op10_sharding": oracle.SHARDING}
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, columns = _table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = merkle.leaf([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    some = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0
+    out = merkle.manifest(docs, columns, keep={"changed": F.when(some, tampered)})
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    shared = F.crc32(F.encode(c.cast("string"), "UTF-8")) % 9
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"), base=c - c % 5, shared=shared, most=8)
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet, op2_licenses, op3_media, op4_mixing, op5_urls, op6_langid, op7_quality, op8_decontam, op9_neardup, op10_sharding, op11_bpe, op12_merkle, op13_trie)}
+
+ORACLE = {"op4_mixing": oracle.mixing_sql(), "op10_sharding": oracle.SHARDING, "op12_merkle": oracle.MERKLE, "op13_trie": oracle.TRIE}
