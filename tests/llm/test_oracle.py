@@ -7,7 +7,8 @@ from casegraph.llm.queries import ORACLE, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql_gives_the_rows(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     cursor = con.execute(ORACLE[name])
     at = [[d[0] for d in cursor.description].index(c) for c in df.columns]
