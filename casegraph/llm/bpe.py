@@ -10,17 +10,19 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a text that are cut into pieces at once, and of the values that one Arrow batch holds before it is passed on.
 SLICE, BATCH = 1 << 20, 1 << 22
-#: Pieces and fragments that a worker remembers, each of at most so many bytes; the memory is emptied when it is full.
-KNOWN, LONGEST = 200_000, 96
+#: Pieces and fragments that a worker remembers, each of at most so many bytes; the memory is turned over when it is full.
+KNOWN, LONGEST = 150_000, 96
 SPACE = re.compile(rb"[ \t-\r]")
 
 
@@ -37,20 +39,29 @@ def inner_pairs(merges: list[tuple[str, str]]) -> set[tuple[str, str]]:
 
 
 class Known(dict):
-    """Values by piece, computed when first asked for; pieces of more than LONGEST bytes are not kept."""
+    """Values by piece, computed when first asked for; pieces of more than LONGEST are not kept. When it is full, what it has stays at hand as the
+    older generation, and what is asked for again moves back."""
 
     def __init__(self, compute):
-        self.compute = compute
+        self.compute, self.older = compute, {}
 
     def __missing__(self, piece):
-        value = self.compute(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[piece] = value
+        value = self.older.get(piece)
+        if value is None:
+            value = self.compute(piece)
+            if len(piece) > LONGEST:
+                return value
+        if len(self) >= KNOWN:
+            self.older = self.copy()
+            self.clear()
+        self[piece] = value
         return value
 
 
+def _ids(tokenizer, fragment: str) -> bytes:
+    return np.array([t.id for t in tokenizer.model.tokenize(fragment)], "<u4").tobytes()
+
+
 class Codec:
     """Encodes and decodes texts as the tokenizers library does with add_special_tokens=False and without truncation or padding."""
 
@@ -71,6 +82,7 @@ class Codec:
         self.whole = Tokenizer.from_file(path)
         self.suffix = model.get("end_of_word_suffix") or ""
         self.inside = inner_pairs(merges)
+        self.inner, self.last = {a + b for a, b in self.inside}, {a + b[0] for a, b in self.inside if b[1:] == self.suffix}  # the last symbol of a word has the suffix
         # a fragment that ends its word carries the suffix, one that is cut off from what follows does not
         self.ending = Tokenizer(BPE(model["vocab"], merges, **({"end_of_word_suffix": self.suffix} if self.suffix else {})))
         self.open = Tokenizer(BPE(model["vocab"], merges))
@@ -81,22 +93,34 @@ class Codec:
         held = {symbol[0] for pair in self.inside for symbol in pair}
         spaces = {s for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(" \t\n") for s in w} if self.whole.pre_tokenizer else {" "}
         self.drops_space = not self.whole.encode(" \t\n\r\x0b\x0c", add_special_tokens=False).ids and not spaces & held
-        self.fragments, self.pieces = Known(self._fragment), Known(self._piece)
-
-    def cut(self, word: str) -> list[tuple[str, bool]]:
-        """The fragments of a word of symbols, and whether they end it."""
-        symbols = [*word[:-1], word[-1] + self.suffix]
-        out, start = [], 0
-        for i in range(1, len(symbols)):
-            if (symbols[i - 1], symbols[i]) not in self.inside:
-                out.append((word[start:i], False))
-                start = i
-        return [*out, (word[start:], True)]
-
-    def _fragment(self, fragment: str) -> bytes:
-        """Keys are the symbols after a mark that says whether the word ends there."""
-        tokenizer = self.ending if fragment[0] == "." else self.open
-        return np.array(tokenizer.encode(fragment[1:], add_special_tokens=False).ids, "<u4").tobytes()
+        self.ends, self.opens, self.pieces = Known(partial(_ids, self.ending)), Known(partial(_ids, self.open)), Known(self._piece)
+        self.plain = self._plain(spec)
+
+    @staticmethod
+    def _plain(spec: dict) -> tuple[regex.Pattern, bool] | None:
+        """The words' pattern and whether to lower the case, where printable ASCII without white space needs no more than these: a tokenizer that
+        composes, lowers, splits by one pattern and maps bytes to characters. None for others, whose every piece goes through the library."""
+        norm, pre = ((spec[k] or {}).get(inner) for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        if not norm or not pre or len(pre) != 2 or not {n["type"] for n in norm} <= {"NFC", "Replace", "Lowercase"}:
+            return None
+        spaces = all(n["type"] != "Replace" or n["pattern"] == {"Regex": r"\s+"} for n in norm)
+        split, level = pre
+        if not spaces or (split["type"], split["behavior"], split["invert"]) != ("Split", "Removed", True) or (level["type"], level["add_prefix_space"], level["use_regex"]) != ("ByteLevel", False, False):
+            return None
+        return regex.compile(split["pattern"]["Regex"]), any(n["type"] == "Lowercase" for n in norm)
+
+    def cut(self, word: str) -> list[int]:
+        """Where a word is cut: before symbols that no token has after the one before."""
+        end = len(word) - 1
+        cuts = [i for i in range(1, end) if word[i - 1 : i + 1] not in self.inner]
+        return cuts if not end or word[end - 1 :] in self.last else [*cuts, end]
+
+    def _words(self, text: str) -> list[str]:
+        if self.plain and text.isascii() and text.isprintable() and " " not in text:
+            pattern, lower = self.plain
+            return pattern.findall(text.lower() if lower else text)
+        text = self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
+        return [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(text)] if self.whole.pre_tokenizer else [text]
 
     def _piece(self, piece: bytes) -> bytes:
         text, out = piece.decode("utf-8", "replace"), []
@@ -104,11 +128,13 @@ class Codec:
             if part in self.added:
                 out.append(np.array([self.added[part]], "<u4").tobytes())
                 continue
-            part = self.whole.normalizer.normalize_str(part) if self.whole.normalizer else part
-            words = self.whole.pre_tokenizer.pre_tokenize_str(part) if self.whole.pre_tokenizer else [(part, None)]
-            for word, _ in words:
+            for word in self._words(part):
                 if word:
-                    out += [self.fragments[("." if ends else "-") + x] for x, ends in self.cut(word)]
+                    start = 0
+                    for i in self.cut(word):
+                        out.append(self.opens[word[start:i]])
+                        start = i
+                    out.append(self.ends[word[start:]])
         return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
