@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict, deque
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .centrality import path_centralities as path_centralities
 from .components import components
 from .edges import both_ways
 from .prefix import numbered
@@ -152,104 +148,6 @@ def proximity(edges: DataFrame, sources: DataFrame, decay: tuple[float, ...] = (
     return at.groupBy("id").agg(F.max("risk").alias("risk"), F.min("hop").alias("hop"), F.count("*").alias("sources"))
 
 
-# --- source-parallel: every task has the graph, sources are dealt out ---
-
-BROADCAST_EDGES = 5_000_000
-
-
-def _adjacency(edges: DataFrame):
-    """The graph as a broadcast; only for graphs whose size is checked."""
-    n = edges.count()
-    if n > BROADCAST_EDGES:
-        raise ValueError(f"{n} edges are too many for exact path centralities; sample sources with a smaller graph or use pagerank()")
-    rows = edges.select("a", "b", "weight").toPandas()
-    near: dict = defaultdict(list)
-    for a, b, w in rows.itertuples(index=False):
-        near[a].append((b, float(w)))
-        near[b].append((a, float(w)))
-    return edges.sparkSession.sparkContext.broadcast(dict(near))
-
-
-def _brandes(near: dict, s, weighted: bool) -> tuple[dict, dict]:
-    """(dependencies, distances) from one source."""
-    dist, sigma, before, order = {}, defaultdict(float), defaultdict(list), []
-    sigma[s] = 1.0
-    if weighted:
-        best, heap, tick = {s: 0.0}, [(0.0, 0, s, s)], 1
-        while heap:
-            d, _, via, v = heapq.heappop(heap)
-            if v in dist:
-                continue
-            sigma[v] += sigma[via] if v != s else 0
-            order.append(v)
-            dist[v] = d
-            for w, weight in near[v]:
-                x = d + 1 / max(weight, 1e-6)
-                if w not in dist and (w not in best or x < best[w]):
-                    best[w] = x
-                    heapq.heappush(heap, (x, tick, v, w))
-                    tick += 1
-                    sigma[w] = 0.0
-                    before[w] = [v]
-                elif x == best.get(w) and w not in dist:
-                    sigma[w] += sigma[v]
-                    before[w].append(v)
-    else:
-        dist[s], queue = 0, deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w, _ in near[v]:
-                if w not in dist:
-                    dist[w] = dist[v] + 1
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    sigma[w] += sigma[v]
-                    before[w].append(v)
-    delta: dict = defaultdict(float)
-    for w in reversed(order):
-        for v in before[w]:
-            delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-    delta.pop(s, None)
-    return delta, dist
-
-
-def path_centralities(edges: DataFrame, weighted: bool | None = None, small: int = 600) -> DataFrame:
-    """(id, betweenness, closeness), exact. Weighted betweenness (distance 1/weight) up to `small` nodes, else unweighted.
-    Closeness is unweighted and scaled by the share of nodes reached."""
-    given = _adjacency(edges)
-    n = len(given.value)
-    weighted = n <= small if weighted is None else weighted
-    nodes = both_ways(edges, "a", "b").select(F.col("u").alias("id")).distinct()
-    kind = edges.schema["a"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, sums, rows = given.value, defaultdict(float), []
-        for b in batches:
-            for s in b["id"]:
-                for v, x in _brandes(near, s, weighted)[0].items():
-                    sums[v] += x
-                far = _brandes(near, s, False)[1] if weighted else _bfs(near, s)
-                total, r = sum(far.values()), len(far)
-                rows.append((s, 0.0, (r - 1) / total * (r - 1) / (n - 1) if total and n > 1 else 0.0))
-        yield pd.DataFrame(rows + [(v, x, 0.0) for v, x in sums.items()], columns=["id", "betweenness", "closeness"])
-
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    parts = nodes.repartition(max(1, min(n // 50, 4096)), "id").mapInPandas(run, f"id {kind}, betweenness double, closeness double")
-    return parts.groupBy("id").agg((F.sum("betweenness") * scale).alias("betweenness"), F.sum("closeness").alias("closeness"))
-
-
-def _bfs(near: dict, s) -> dict:
-    dist, queue = {s: 0}, deque([s])
-    while queue:
-        v = queue.popleft()
-        for w, _ in near[v]:
-            if w not in dist:
-                dist[w] = dist[v] + 1
-                queue.append(w)
-    return dist
-
-
 def eigenvector(edges: DataFrame, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
     """(id, eigenvector): power iteration of the weighted adjacency plus identity within each component, unit length, times the
     component's share of all nodes; components of fewer than three nodes: 0. All components iterate side by side as joins."""
@@ -330,24 +228,6 @@ def modularity(edges: DataFrame, of: DataFrame) -> float:
     return inside["w"] / inside["m"] - k / (4 * inside["m"] ** 2)
 
 
-def removal_impact(edges: DataFrame, targets: list) -> DataFrame:
-    """For each of a few targets: components before and after its removal, and the share of connected pairs lost."""
-    rows = []
-
-    def pairs(e: DataFrame) -> tuple[int, int]:
-        r = component_sizes(e).agg(F.count("*"), F.sum(F.col("size") * (F.col("size") - 1) / 2)).head()
-        return r[0], int(r[1] or 0)
-
-    before = pairs(edges)
-    for t in targets:
-        rest = edges.where((F.col("a") != t) & (F.col("b") != t))
-        alone = both_ways(edges, "a", "b").where(F.col("u") == t).select(F.col("v").alias("id")).join(both_ways(rest, "a", "b").select(F.col("u").alias("id")), "id", "left_anti").count()
-        after = pairs(rest)
-        rows.append((t, before[0], after[0] + alone, before[1], after[1], alone, 1 - after[1] / before[1] if before[1] else 0.0))
-    kind = edges.schema["a"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(rows, f"id {kind}, components_before long, components_after long, pairs_before long, pairs_after long, isolated long, loss double")
-
-
 def clustering_agreement(pairs: DataFrame) -> DataFrame:
     """ARI, NMI and purity of (truth, found), one row an item, from the contingency table."""
     c = pairs.groupBy("truth", "found").agg(F.count("*").cast("double").alias("n"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.blocks import removal_impact as removal
+from ..operators.centrality import hyperball
 from ..operators.components import components
 from ..operators.edges import both_ways, co_members
 from ..operators.store import written
@@ -106,11 +108,46 @@ def louvain(t: Tables) -> DataFrame:
     return G.louvain(parts(t, 3))
 
 
-@query()
+#: Hops between all pairs: distinct (source, node, length of a walk), walks no longer than there are nodes.
+HOPS = """nn as (select count(distinct u) n from bw), w(s, v, d) as (select distinct u, u, 0::bigint from bw union select s, bw.v, d + 1 from w join bw on bw.u = w.v, nn where d < n),
+ dist as (select s, v, min(d) d from w group by s, v)"""
+
+
+@query(f"""with recursive {P3}, {BOTH}, {HOPS}, sg as (select distinct u s, u v, 0::bigint d, 1::double k from bw union all
+  select sg.s, bw.v, sg.d + 1, sum(k) from sg join bw on bw.u = sg.v join dist on dist.s = sg.s and dist.v = bw.v and dist.d = sg.d + 1 group by sg.s, bw.v, sg.d + 1),
+ b as (select x.v id, sum(x.k * y.k / z.k) b from sg x join sg y on y.s = x.v join sg z on z.s = x.s and z.v = y.v and z.d = x.d + y.d where x.v <> x.s and y.v <> x.v group by 1),
+ c as (select s id, case when sum(d) > 0 then (count(*) - 1) / sum(d) * (count(*) - 1) / (max(n) - 1) else 0 end c from dist, nn group by s)
+ select id, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 9) betweenness, round(c, 9) closeness from c left join b using (id), nn""")
+def betweenness_by_hops(t: Tables) -> DataFrame:
+    c = G.path_centralities(parts(t, 3), weighted=False)
+    return c.select("id", F.round("betweenness", 9).alias("betweenness"), F.round("closeness", 9).alias("closeness"))
+
+
+@query(f"""with recursive {P3}, {BOTH}, {HOPS} select s id, round(case when sum(d) > 0 then (count(*) - 1) / sum(d) * (count(*) - 1) / (max(n) - 1) else 0 end, 4) closeness from dist, nn group by s""")
+def closeness_by_sketches(t: Tables) -> DataFrame:
+    """Balls of up to some hundred nodes are counted exactly, so the sketches give the exact closeness of this graph to four digits."""
+    return hyperball(parts(t, 3)).select("id", F.round("closeness", 4).alias("closeness"))
+
+
+@query(f"""with recursive {P3}, {BOTH}, nd as (select distinct u id, u % 5 c from bw), go(s, v) as (select id, id from nd union select s, bw.v from go join bw on u = go.v),
+ off(x, s, v) as (select g.s, g.v, g.v from go g where g.s <> g.v union select x, s, bw.v from off join bw on u = off.v where bw.v <> x),
+ mo as (select x, s, count(*) n, min(v) r from off group by x, s), a as (select x id, count(distinct r) parts, sum(n - 1) / 2 pairs, count(*) filter (n = 1) alone from mo group by x),
+ h as (select s id, count(*) n, min(v) r from go group by s), k as (select count(distinct r) comps from h),
+ cw as (select bw.*, x.c from bw join nd x on x.id = u join nd y on y.id = v where x.c = y.c), gc(s, v) as (select id, id from nd union select s, cw.v from gc join cw on u = gc.v),
+ hc as (select s id, c, count(*) n from gc join nd on nd.id = s group by all), pc as (select c, sum(n - 1) / 2 pairs, sum(1.0 / n) comps from hc group by c),
+ oc(x, s, v) as (select a.id, b.id, b.id from nd a join nd b on a.c = b.c and a.id <> b.id union select x, s, cw.v from oc join cw on u = oc.v where cw.v <> x),
+ mc as (select x, s, count(*) n, min(v) r from oc group by x, s), ac as (select x id, count(distinct r) parts, sum(n - 1) / 2 pairs, list_sort(list(s) filter (n = 1))[:10] gone from mc group by x),
+ fl as (select c, sum(weight) f from cw group by c), tc as (select u id, sum(weight) t from cw group by u)
+ select nd.id, cast(every as bigint) components_before, cast(every - 1 + coalesce(a.parts, 0) as bigint) components_after, cast(h.n * (h.n - 1) // 2 as bigint) pairs_before, cast(coalesce(a.pairs, 0) as bigint) pairs_after, cast(coalesce(alone, 0) as bigint) isolated,
+ round(1 - coalesce(a.pairs, 0) / (h.n * (h.n - 1) / 2), 6) loss, nd.c community, round(case when pc.pairs > 0 then 1 - coalesce(ac.pairs, 0) / pc.pairs else 0 end, 6) community_loss, cast(coalesce(ac.parts, 0) as bigint) community_components_after,
+ coalesce(array_to_string(gone, ','), '') isolated_after, round(case when f > 0 then coalesce(t, 0) / (f / 2) else 0 end, 6) flow_share
+ from nd join h using (id) cross join (select comps as every from k) left join a using (id) left join ac using (id) join pc on pc.c = nd.c left join fl on fl.c = nd.c left join tc on tc.id = nd.id""")
 def removal_impact(t: Tables) -> DataFrame:
+    """Every node, by the block-cut tree; communities by the remainder of the id."""
     e = parts(t, 3)
-    top = [r["id"] for r in G.degrees(e).orderBy(F.desc("degree"), "id").limit(2).collect()]
-    return G.removal_impact(e, top)
+    of = both_ways(e, "a", "b").select(F.col("u").alias("id"), (F.col("u") % 5).alias("community")).distinct()
+    out = removal(e, community=of)
+    return out.withColumns({c: F.round(c, 6) for c in ("loss", "community_loss", "flow_share")} | {"isolated_after": F.array_join("isolated_after", ",")})
 
 
 @query(f"with {P2}, {BOTH}, d as (select u, count(*) k from bw group by 1), s as (select distinct u id from bw join part on p_partkey = u where p_size = 7), hubs as (select u from d where k > 12 and u not in (select id from s)), n1 as (select distinct v id from bw where u in (select id from s) and v not in (select u from hubs) union select id from s), n2 as (select distinct v id from bw where u in (select id from n1) and v not in (select u from hubs) union select id from n1) select id from n2")

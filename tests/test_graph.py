@@ -113,11 +113,6 @@ def test_paths_are_shortest_and_simple(spark):
     assert got == [(3, "1>2>3>5"), (3, "1>4>3>5"), (4, "1>2>4>3>5")]
 
 
-def test_removal_impact(spark):
-    r = G.removal_impact(graph(spark, [(1, 2, 1), (2, 3, 1), (2, 4, 1)]), [2]).head()
-    assert (r["components_before"], r["components_after"], r["isolated"], r["loss"]) == (1, 3, 3, 1.0)
-
-
 def test_merge_is_the_whole_and_symmetric_ends_meet(spark):
     o = spark.createDataFrame([("b", "a", "MET", 1.0, None, 0.5, None, None, None, "x", 2), ("a", "b", "MET", 2.0, None, 0.9, 5.0, 3, True, "y", 1), ("a", "a", "MET", 1.0, None, 0.5, None, None, None, "z", 0)], "src string, dst string, rel_type string, weight double, at timestamp_ntz, confidence double, amount double, duration long, night boolean, attr string, order long")
     whole = E.accumulate(o).collect()
