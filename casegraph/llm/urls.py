@@ -2,8 +2,9 @@
 
 Training sums the labelled URLs into rows of equal binned features, so every level of a tree aggregates that table by (node,
 feature, bin) and brings at most nodes x features x bins sums to the driver, whatever the number of URLs. The suffix statistic of
-a training URL comes from the URLs of other folds of hosts, so no URL sees its own label in it; one fold of hosts is held out
-and says how many trees are kept.
+a training URL comes from the URLs of other folds of hosts, so no URL sees its own label in it. Hosts are dealt to folds evenly by label and
+size. Besides the model of all URLs, one is grown without each fold, all in the same jobs; what these say of the hosts that they have
+not seen tells how many trees of the whole model stay.
 
 Where no labelled URLs are given, three weak labellers label them: a host word of a junk category says bad, a host of plain
 words without any says good, and where neither speaks (joined or numbered host names without a listed word) the URL is left out of
@@ -12,18 +13,23 @@ the fit and is for the trees to judge.
 
 from __future__ import annotations
 
+import logging
 import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefix import numbered
+from ..operators.skew import spread_join
 from ..operators.store import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BINS = 16
 FEATURES = ("length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "host_length", "suffix_rate")
 FOLDS = 4
+#: Trees that are grown before the held-out loss is looked at again, and the share of the first loss that they have to save for more to follow.
+BATCH, WORTH = 5, 0.01
 #: A suffix has a statistic of its own if it holds one of so many labelled URLs, so there are at most so many statistics.
 SUFFIXES = 10_000
 #: Words of a host, by junk category, for the first weak labeller.
@@ -64,7 +70,7 @@ def _count(x: Column, characters: str) -> Column:
 
 
 def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
-    """`urls` with the lexical features in columns f_*, host suffix and fold (by host) in columns of that name."""
+    """`urls` with the lexical features in columns f_*, host and suffix in columns of that name."""
     u = F.coalesce(F.col(url), F.lit(""))
     h, p = host(F.col(url)), path(F.col(url))
     n = F.greatest(F.length(u), F.lit(1)).cast("double")
@@ -75,7 +81,7 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
         {
             "f_length": F.length(u).cast("double"), "f_depth": _count(p, "/").cast("double"), "f_digits": _count(u, "0123456789") / n, "f_entropy": entropy, "f_parameters": F.when(u.contains("?"), 1 + _count(u, "&")).otherwise(0).cast("double"),
             "f_hyphens": _count(h, "-").cast("double"), "f_labels": _count(h, ".").cast("double"), "f_host_length": F.length(h).cast("double"),
-            "suffix": F.substring_index(h, ".", -1), "fold": F.pmod(F.xxhash64(h), F.lit(FOLDS)).cast("int"),
+            "host": h, "suffix": F.substring_index(h, ".", -1),
         }
     )
 
@@ -87,7 +93,7 @@ class Model:
     edges: dict[str, list[float]]
     suffixes: DataFrame  # suffix, f_suffix_rate: smoothed rate of bad URLs; at most SUFFIXES rows
     trees: list[dict] = field(default_factory=list)
-    held: dict[str, float] = field(default_factory=dict)  # on the held-out hosts: n, bad, recall, precision, loss
+    held: dict[str, float] = field(default_factory=dict)  # on hosts that a model has not seen: n, bad, recall, precision, loss
 
     def featured(self, urls: DataFrame, url: str = "url") -> DataFrame:
         out = lexical(urls, url).join(F.broadcast(self.suffixes), "suffix", "left")
@@ -119,13 +125,21 @@ def _suffix_rates(rows: DataFrame, prior: float, total: int, smooth: float) -> t
     return every.select("suffix", rate(F.col("bad"), F.col("n"))), written(other, "suffix_folds")
 
 
-def fit(labelled: DataFrame, url: str = "url", label: str = "label", trees: int = 10, depth: int = 2, rate: float = 0.4, l2: float = 1.0, smooth: float = 20.0) -> Model | None:
+def _folded(rows: DataFrame) -> DataFrame:
+    """`rows` (host, label, ...) with fold: hosts in the order of their label (most of their URLs') and their number of URLs, dealt in turn."""
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    hosts = written(numbered(hosts.select("host", "n", (2 * F.col("bad") < F.col("n")).alias("good"), (-F.col("n")).alias("fewer")), ["good", "fewer", "host"]), "hosts")
+    fold = hosts.select("host", (F.col("i") % FOLDS).cast("int").alias("fold"))
+    return spread_join(rows, fold, "host", hosts.select("host", "n"), hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0], F.xxhash64("f_length", "f_entropy", "f_digits"))
+
+
+def fit(labelled: DataFrame, url: str = "url", label: str = "label", trees: int = 40, depth: int = 2, rate: float = 0.4, l2: float = 1.0, smooth: float = 20.0) -> Model | None:
     """From (url, label 0/1); rows with a null label or url are left out; None if no row is left. Repeated rows count as often as
-    they stand there; URLs may be of any length; an empty table gives None. All labelled rows count: those of the last fold of
-    hosts are held out and choose how many of the `trees` stay, the others are learnt from (all, if this leaves none)."""
+    they stand there; URLs may be of any length; an empty table gives None. The model learns from all rows; how many trees it has, `trees` at
+    most, and its record `held` come from the models that are grown without a fold. A recall below 0.9 there is logged."""
     rows = lexical(labelled.select(F.col(url).alias("url"), F.col(label).cast("double").alias("label")).dropna())
-    rows = written(rows.select("label", "suffix", "fold", *(f"f_{f}" for f in FEATURES[:-1])), "urls")
-    n, bad, learnt = rows.agg(F.count("*"), F.sum("label"), F.count_if(F.col("fold") < FOLDS - 1)).head()
+    rows = written(_folded(written(rows.select("label", "host", "suffix", *(f"f_{f}" for f in FEATURES[:-1])), "urls")), "folded")
+    n, bad = rows.agg(F.count("*"), F.sum("label")).head()
     if not n:
         return None
     prior = (bad + 0.5) / (n + 1)
@@ -135,47 +149,61 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", trees: int
     edges = rows.agg(*(F.percentile_approx(f"f_{f}", cuts, 1000).alias(f) for f in FEATURES)).head()
     edges = {f: sorted(set(edges[f])) for f in FEATURES}
     binned = [sum(((F.col(f"f_{f}") > e).cast("int") for e in edges[f]), F.lit(0)).alias(f) for f in FEATURES]
-    held = ((F.col("fold") == FOLDS - 1) & F.lit(0 < learnt)).alias("held")
-    table = written(rows.select("label", held, *binned).groupBy("held", *FEATURES).agg(F.sum("label").alias("bad"), F.count("*").cast("double").alias("n")), "binned")
-    model = Model(math.log(prior / (1 - prior)), prior, edges, suffixes)
-    for _ in range(trees):
-        model.trees.append(_tree(table.where(~F.col("held")), _margin(model), depth, rate, l2))
-    _prune(model, table.where("held"))
-    return model
-
-
-def _margin(model: Model, first: int | None = None) -> Column:
-    """From binned features, by the first trees."""
-    out = F.lit(model.base)
-    for t in model.trees[:first]:
-        out = out + _leaf(t, lambda f, b: F.col(f) > b)
-    return out
-
-
-def _tree(table: DataFrame, margin: Column, depth: int, rate: float, l2: float) -> dict:
-    """One tree by Newton steps, a job a level: sums by (node, feature, bin) give the split and the values of both its sides."""
-    p = 1 / (1 + F.exp(-margin))
-    tree: dict = {"value": 0.0}
-    open_nodes = [(tree, F.lit(True))]
+    table = written(rows.select("label", "fold", *binned).groupBy("fold", *FEATURES).agg(F.sum("label").alias("bad"), F.count("*").cast("double").alias("n")), "binned")
+    models = [Model(math.log(prior / (1 - prior)), prior, edges, suffixes) for _ in range(FOLDS + 1)]  # the last learns from all folds
+    base = F.lit(models[0].base)
+    state = table.withColumns({"margins": F.array(*(base for _ in models)), "unseen": F.array(base)})
+    held: list[dict] = []
+    while len(models[-1].trees) < trees:
+        for _ in range(min(BATCH, trees - len(models[-1].trees))):
+            grown = _grown(state, depth, rate, l2)
+            for model, tree in zip(models, grown, strict=True):
+                model.trees.append(tree)
+            now = F.array(*(F.get("margins", F.lit(m)) + _leaf(tree, lambda f, b: F.col(f) > b) for m, tree in enumerate(grown)))
+            state = state.withColumn("margins", now).withColumn("unseen", F.array_append("unseen", F.get("margins", F.col("fold"))))
+            state = written(state, "margins")
+        held = _held_out(state)
+        if held[-1 - min(BATCH, len(held) - 1)]["loss"] - held[-1]["loss"] < WORTH * held[0]["loss"]:
+            break
+    if held:
+        k = min(range(len(held)), key=lambda i: (held[i]["loss"], i))
+        models[-1].trees, models[-1].held = models[-1].trees[:k], held[k]
+        if held[k]["recall"] < 0.9:
+            logging.getLogger(__name__).warning("of the bad URLs of unseen hosts only %.2f are found", held[k]["recall"])
+    return models[-1]
+
+
+def _grown(state: DataFrame, depth: int, rate: float, l2: float) -> list[dict]:
+    """The next tree of each model by Newton steps, a job a level: sums by (model, node, feature, bin) give the splits and the values of their
+    sides. Model m does not see the rows of fold m. state: binned rows with each model's margin so far."""
+    trees: list[dict] = [{"value": 0.0} for _ in range(FOLDS + 1)]
+    open_nodes = [[(tree, F.lit(True))] for tree in trees]
+    state = state.withColumn("p", F.transform("margins", lambda m: 1 / (1 + F.exp(-m))))
     for _ in range(depth):
-        node = F.lit(-1)
-        for i, (_, where) in enumerate(open_nodes):
-            node = F.when(where, i).otherwise(node)
-        each = table.select(node.alias("node"), (F.col("bad") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in FEATURES))).alias("at"))
-        sums = each.where("node >= 0").groupBy("node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # bounded: nodes x features x bins
-        following = []
-        for i, (at, where) in enumerate(open_nodes):
-            best = _split([r for r in sums if r["node"] == i], l2)
-            if best is None:
-                continue
-            f, b, left, right = best
-            at.pop("value")
-            at |= {"feature": f, "bin": b, "left": {"value": rate * left}, "right": {"value": rate * right}}
-            following += [(at["left"], where & (F.col(f) <= b)), (at["right"], where & (F.col(f) > b))]
+        each = []
+        for m, nodes in enumerate(open_nodes):
+            node = F.lit(-1)
+            for i, (_, where) in enumerate(nodes):
+                node = F.when(where, i).otherwise(node)
+            q = F.get("p", F.lit(m))
+            each.append(F.struct(F.lit(m).alias("model"), F.when(F.col("fold") == m, -1).otherwise(node).alias("node"), (F.col("bad") - F.col("n") * q).alias("g"), (F.col("n") * q * (1 - q)).alias("h")))
+        at = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("bin")) for f in FEATURES))
+        rows = state.select(F.explode(F.array(*each)).alias("x"), at.alias("at")).where("x.node >= 0").select("x.*", F.explode("at").alias("at"))
+        sums = rows.groupBy("model", "node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # bounded: models x nodes x features x bins
+        following: list[list] = [[] for _ in trees]
+        for m, nodes in enumerate(open_nodes):
+            for i, (at_node, where) in enumerate(nodes):
+                best = _split([r for r in sums if r["model"] == m and r["node"] == i], l2)
+                if best is None:
+                    continue
+                f, b, left, right = best
+                at_node.pop("value")
+                at_node |= {"feature": f, "bin": b, "left": {"value": rate * left}, "right": {"value": rate * right}}
+                following[m] += [(at_node["left"], where & (F.col(f) <= b)), (at_node["right"], where & (F.col(f) > b))]
         open_nodes = following
-        if not open_nodes:
+        if not any(open_nodes):
             break
-    return tree
+    return trees
 
 
 def _split(sums: list, l2: float) -> tuple[str, int, float, float] | None:
@@ -193,20 +221,12 @@ def _split(sums: list, l2: float) -> tuple[str, int, float, float] | None:
     return best
 
 
-def _prune(model: Model, held: DataFrame) -> None:
-    """Keeps the trees up to the least loss on the held-out rows (all if there are none) and notes how they do there."""
-    of = []
-    for k in range(len(model.trees) + 1):
-        m = _margin(model, k)
-        loss = F.col("n") * F.log1p(F.exp(m)) - F.col("bad") * m
-        of.append(F.struct(F.sum(loss).alias("loss"), F.sum(F.when(m >= 0, F.col("bad"))).alias("hit"), F.sum(F.when(m >= 0, F.col("n"))).alias("blocked")).alias(f"k{k}"))
-    r = held.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *of).head()
-    if not r["n"]:
-        return
-    k = min(range(len(model.trees) + 1), key=lambda i: (r[f"k{i}"]["loss"], i))
-    model.trees = model.trees[:k]
-    hit, blocked = r[f"k{k}"]["hit"] or 0.0, r[f"k{k}"]["blocked"] or 0.0
-    model.held = {"n": r["n"], "bad": r["bad"], "recall": hit / r["bad"] if r["bad"] else 1.0, "precision": hit / blocked if blocked else 1.0, "loss": r[f"k{k}"]["loss"] / r["n"]}
+def _held_out(state: DataFrame) -> list[dict]:
+    """For each number of trees: n, bad, recall, precision and mean loss over all rows, each judged by the model that has not seen its fold."""
+    judged_ = state.select("n", "bad", F.posexplode("unseen").alias("k", "m"))
+    loss = F.col("n") * F.log1p(F.exp(F.col("m"))) - F.col("bad") * F.col("m")
+    rows = judged_.groupBy("k").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(loss).alias("loss"), F.sum(F.when(F.col("m") >= 0, F.col("bad")).otherwise(0)).alias("hit"), F.sum(F.when(F.col("m") >= 0, F.col("n")).otherwise(0)).alias("blocked"))
+    return [{"n": r["n"], "bad": r["bad"], "recall": r["hit"] / r["bad"] if r["bad"] else 1.0, "precision": r["hit"] / r["blocked"] if r["blocked"] else 1.0, "loss": r["loss"] / r["n"]} for r in sorted(rows.collect(), key=lambda r: r["k"])]
 
 
 def weakly_labelled(urls: DataFrame, url: str = "url", words: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

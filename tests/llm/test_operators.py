@@ -290,6 +290,30 @@ def test_url_trees_learn(spark):
 KINDS = {"casino-win": ("casino", "win"), "free-bets": ("free", "bet", "bets"), "ads-track": ("ads", "track"), "spam-farm": ("spam", "farm"), "cheap-pills": ("cheap", "pill", "pills"), "adult-x": ("adult",)}
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_junk_hosts_are_blocked_at_both_scales(spark, scale):
+    pages = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet").select("page_id", "url")
+    model = urls.fit(urls.weakly_labelled(pages))
+    assert model.held["recall"] >= 0.9 and model.held["precision"] >= 0.9 and model.held["bad"] > 10
+    rows = urls.judged(pages, [], model).collect()
+    junk, blocked = [r for r in rows if any(k in r["host"] for k in KINDS)], [r for r in rows if r["verdict"] == "block"]
+    assert sum(r["verdict"] == "block" for r in junk) >= 0.9 * len(junk)
+    assert sum(any(k in r["host"] for k in KINDS) for r in blocked) >= 0.9 * len(blocked)
+    for kind in KINDS:
+        mine = [r for r in junk if kind in r["host"]]
+        assert sum(r["verdict"] == "block" for r in mine) >= 0.9 * len(mine)
+
+
+def test_folds_hold_hosts_evenly(spark):
+    rows = [(f"http://h{i % 37}.x/", int(i % 37 < 9), i) for i in range(500)] + [("http://h0.x/", 1, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "url string, label int, n int")
+    out = urls._folded(urls.lexical(df)).select("host", "fold", "label").collect()
+    assert len(out) == len(rows) and len({(r["host"], r["fold"]) for r in out}) == 37  # a host is in one fold
+    for label in (0, 1):
+        hosts = Counter(f for _, f in {(r["host"], r["fold"]) for r in out if r["label"] == label})
+        assert len(hosts) == urls.FOLDS and max(hosts.values()) - min(hosts.values()) <= 1
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_junk_hosts_of_a_kind_never_labelled_are_blocked(spark, kind):
     """Each kind of junk host is held out of the labels altogether: the trees must know it by its form."""
@@ -319,8 +343,7 @@ def test_first_split_is_the_best_of_all(spark):
     rows = [(u, int((u.count("-") + u.count("/") > 5) ^ (r.random() < 0.1))) for (u,) in rows] * 2
     df = spark.createDataFrame(rows, "url string, label int")
     model = urls.fit(df, trees=1, depth=1, rate=1.0)
-    own = urls.lexical(df).where(F.col("fold") < urls.FOLDS - 1).toPandas()
-    other = urls.lexical(df).toPandas()
+    own = other = urls._folded(urls.lexical(df)).toPandas()  # the model of all rows; the suffix statistic comes from other folds
     rate = {(s, f): (other[(other.suffix == s) & (other.fold != f)].label.sum() + 20 * model.prior) / (((other.suffix == s) & (other.fold != f)).sum() + 20) for s in set(other.suffix) for f in range(urls.FOLDS)}
     own["f_suffix_rate"] = [rate[s, f] for s, f in zip(own.suffix, own.fold)]
     g, h = (own.label - model.prior).to_numpy(), np.full(len(own), model.prior * (1 - model.prior))
