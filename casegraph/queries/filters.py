@@ -183,8 +183,8 @@ def region_match(t: Tables) -> DataFrame:
 
 def _places_sql() -> str:
     points = lambda rows: ", ".join(f"('{k}', {a}::double, {b}::double)" for k, (a, b) in rows.items())
-    nations = ", ".join(f"('{k}', '{n}', {a}::double, {b}::double)" for k, (n, a, b) in places.countries().items())
-    return f"city(k, lat, lon) as (values {points(places.cities())}), state(k, lat, lon) as (values {points(places.states())}), court(k, lat, lon) as (values {points(places.courts())}), country(k, name, lat, lon) as (values {nations})"
+    nations = ", ".join(f"('{k}', '{n}', {a}::double, {b}::double)" for k, (n, a, b) in places.COUNTRIES.items())
+    return f"city(k, lat, lon) as (values {points(places.CITIES)}), state(k, lat, lon) as (values {points(places.states())}), court(k, lat, lon) as (values {points(places.courts())}), country(k, name, lat, lon) as (values {nations})"
 
 
 def _choice(names, by: str) -> str:
@@ -192,12 +192,12 @@ def _choice(names, by: str) -> str:
     return f"case {by} % {len(names)} " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(names)) + " end"
 
 
-CODE = f"case c_custkey % 4 when 0 then {_choice(list(places.countries()), 'c_nationkey')} when 1 then 'xx' end"
-NOTE = f"""case c_custkey % 3 when 0 then concat('Seen near ', upper({_choice(list(places.cities()), "c_custkey")}), ', ', {_choice(list(places.states()), "c_nationkey")}) when 1 then concat('From ', {_choice(list(places.states()), "c_custkey")}, ' yesterday')
+CODE = f"case c_custkey % 4 when 0 then {_choice(list(places.COUNTRIES), 'c_nationkey')} when 1 then 'xx' end"
+NOTE = f"""case c_custkey % 3 when 0 then concat('Seen near ', upper({_choice(list(places.CITIES), "c_custkey")}), ', ', {_choice(list(places.states()), "c_nationkey")}) when 1 then concat('From ', {_choice(list(places.states()), "c_custkey")}, ' yesterday')
  else concat('Heard at the ', {_choice(list(places.courts()), "c_custkey")}, ' court') end"""
 
 
-@query(rf"""with {_places_sql()}, x as (select c_custkey, {CODE} code, {NOTE} note from customer), y as (select *, lower(regexp_extract(note, '{places.pattern(places.cities())}', 1)) c, lower(regexp_extract(note, '{places.pattern(places.states())}', 1)) s from x),
+@query(rf"""with {_places_sql()}, x as (select c_custkey, {CODE} code, {NOTE} note from customer), y as (select *, lower(regexp_extract(note, '{places.pattern(places.CITIES)}', 1)) c, lower(regexp_extract(note, '{places.pattern(places.states())}', 1)) s from x),
  seat as (select c_custkey, arg_max(court.lat, length(court.k)) lat, arg_max(court.lon, length(court.k)) lon from y join court on contains(lower(note), court.k) group by 1)
  select y.c_custkey, case when country.k is not null then 'country' when c <> '' then 'city' when s <> '' then 'state' when seat.lat is not null then 'court' end as precision, coalesce(country.lat, city.lat, state.lat, seat.lat) lat, coalesce(country.lon, city.lon, state.lon, seat.lon) lon
  from y left join country on country.k = y.code left join city on city.k = y.c left join state on state.k = y.s left join seat on seat.c_custkey = y.c_custkey""")

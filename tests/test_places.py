@@ -21,9 +21,9 @@ def test_courts_countries_and_events(spark):
     df = spark.createDataFrame([("JUDGMENT", "t", "in Pune", "Punjab and Haryana High Court", "feed"), ("NEWS", "t", "in Pune", "Bombay High Court", "Desk - Chennai"), ("FIR", "t", "x" * 500 + " Pune", None, None)], "kind string, title string, text string, court string, feed string")
     at = P.event_place(F.col("kind"), F.col("title"), F.col("text"), {"court": F.col("court"), "feed": F.col("feed")})
     got = [r["at"] and (r["at"]["precision"], r["at"]["lat"]) for r in df.select(at.alias("at")).collect()]
-    assert got == [("state", P.states()["punjab"][0]), ("city", P.cities()["chennai"][0]), None]
+    assert got == [("state", P.states()["punjab"][0]), ("city", P.CITIES["chennai"][0]), None]
     one = df.select(P.court_point(F.col("court")).alias("c"), P.country_of(F.lit("mu")).alias("n")).collect()
-    assert one[0]["c"]["lat"] == P.cities()["chandigarh"][0] and one[2]["c"] is None and one[0]["n"]["name"] == "Mauritius"
+    assert one[0]["c"]["lat"] == P.CITIES["chandigarh"][0] and one[2]["c"] is None and one[0]["n"]["name"] == "Mauritius"
 
 
 def test_namesakes_are_proposed_as_brute_force_says(spark):
