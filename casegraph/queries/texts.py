@@ -10,7 +10,7 @@ from ..functions import similarity as S
 from ..functions import statutes
 from ..functions import text as T
 from ..operators.store import written
-from ..plans import search
+from ..plans import linkage, search
 from . import Tables, query
 
 
@@ -108,7 +108,15 @@ def centroid_similar(t: Tables) -> DataFrame:
     return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(S.cosine(F.col("x"), F.col("y")), 5).alias("cos"))
 
 
-@query()
+def _tfidf_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in search.STOP)
+    return f"""with w as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda v: length(v) >= 2 and v not in ({stop})) w from documents),
+ t as (select doc_id, unnest(w) term from w union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w),
+ c as (select doc_id, term, count(*) tf from t group by all), k as (select term, count(*) df from c group by term order by sum(tf) desc, term limit 6000),
+ v as (select doc_id, term, tf * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) x from c join k using (term)) select doc_id, term, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) w from v"""
+
+
+@query(_tfidf_sql())
 def tfidf_terms(t: Tables) -> DataFrame:
     return search.tfidf(t.documents, "doc_id", "text").withColumn("w", F.round("w", 6))
 
@@ -233,21 +241,50 @@ def grounding_check(t: Tables) -> DataFrame:
     return literal(t, [("He went  to Delhi.", "went to delhi"), ("He went to Delhi.", "to Agra"), ("x", None)], "body string, quote string").withColumn("ok", grounded(F.col("body"), F.col("quote")))
 
 
-def _case_links(t: Tables) -> DataFrame:
-    vocabulary = {"approach": ("the", "and "), "control": ("that", "for "), "scene": ("with", "from"), "signature": ("idiot", "license")}
-    f = search.case_features(t.documents.withColumnRenamed("doc_id", "case_id"), vocabulary=vocabulary)
-    weights = written(search.tfidf(t.documents, "doc_id", "text"), "weights")
-    return search.case_links(f, written(search.cosines(weights, "doc_id"), "cosines"))
+#: Words of these texts in place of the vocabulary of offences.
+FINDINGS = {"approach": {"form": ("http", "www"), "list": ("und", "von")}, "control": {"restraint": ("tied",)}, "scene": {"ordered": ("license",), "disordered": ("ing",)}, "signature": {"insult": ("idiot",), "dislike": ("stupid",), "licence": ("license",), "rights": ("rights",)}}
 
 
-@query()
+def _linkage_sql() -> str:
+    mask = lambda table: " + ".join(f"case when regexp_matches(x, '{linkage.phrases(w)}') then {1 << k} else 0 end" for k, w in enumerate(table.values()))
+    count = lambda g: f"len(regexp_extract_all(x, '{linkage.phrases(linkage.GENDER[g])}'))"
+    shared = lambda c: f"case when a.{c} | b.{c} <> 0 then bit_count(a.{c} & b.{c})::double / bit_count(a.{c} | b.{c}) end"
+    mean = lambda parts: f"coalesce(list_avg(list_filter([{', '.join(parts)}], lambda v: v is not null)), 0)"
+    same = lambda c: f"case when a.{c} is not null and b.{c} is not null then (a.{c} = b.{c})::int::double end"
+    near = "case when a.age > 0 and b.age > 0 then greatest(0::double, 1 - abs(a.age - b.age) / 25::double) end"
+    stop = ", ".join(f"'{w}'" for w in search.STOP)
+    # there a word boundary knows ASCII only
+    return f"""with d as (select doc_id, coalesce(text, '') x from documents), y as (select doc_id, regexp_replace(x, '[\\x{{AA}}\\x{{B5}}\\x{{BA}}\\x{{C0}}-\\x{{24F}}]', 'q', 'g') x from d), f as (select doc_id, {', '.join(f'{mask(v)} as {k}' for k, v in FINDINGS.items())},
+  case when {count('female')} + {count('male')} > 0 then case when {count('female')} >= {count('male')} then 'female' else 'male' end end gender,
+  try_cast(regexp_extract(regexp_extract(x, '(?i)\\bage[d]?\\s*(?:about\\s*)?[0-9]{{1,2}}\\b|[(][0-9]{{1,2}}\\s*(?:yr|year)s?[)]'), '[0-9]+') as int) age, nullif(lower(regexp_extract(x, '{linkage.phrases(linkage.OCCUPATIONS)}')), '') occupation from y),
+ w as (select doc_id, list_filter(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+'), lambda v: length(v) >= 2 and v not in ({stop})) w from d),
+ t as (select doc_id, unnest(w) term from w union all select doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w),
+ c as (select doc_id, term, count(*) tf from t group by all), k as (select term, count(*) df from c group by term order by sum(tf) desc, term limit 6000),
+ v as (select doc_id, term, tf * (ln((1 + (select count(*) from d)) / (1 + df)) + 1) x from c join k using (term)), u as (select doc_id, term, x / sqrt(sum(x * x) over (partition by doc_id)) w from v),
+ p as (select a.doc_id a, b.doc_id b, 0.4::double * coalesce({shared('signature')}, 0) + 0.2::double * {mean([same('gender'), near, same('occupation')])} + 0.15::double * {mean([shared('approach'), shared('control'), shared('scene')])} s
+  from f a join f b on a.doc_id < b.doc_id), q as (select * from p where s >= 0.2999), z as (select q.a, q.b, sum(x.w * y.w) cos from q join u x on x.doc_id = q.a join u y on y.doc_id = q.b and y.term = x.term group by all),
+ l as (select q.a, q.b, round(s + 0.25::double * coalesce(cos, 0), 4) score from q left join z on z.a = q.a and z.b = q.b), links as (select *, score >= 0.72 strong from l where score >= 0.55)"""
+
+
+def _case_links(t: Tables) -> tuple[DataFrame, DataFrame]:
+    found = linkage.features(t.documents, "doc_id", "text", FINDINGS)
+    weights = search.tfidf(t.documents, "doc_id", "text").withColumnRenamed("doc_id", "case_id")
+    return written(linkage.links(found, weights, vocabulary=FINDINGS), "case_links"), found
+
+
+@query(_linkage_sql() + " select * from links")
 def case_linkage(t: Tables) -> DataFrame:
-    return _case_links(t).select("a", "b", F.round("score", 6).alias("score"), "strong")
+    return _case_links(t)[0].select("a", "b", "score", "strong")
 
 
-@query()
+@query(_linkage_sql().replace("with d as", "with recursive d as", 1) + """, bw as (select a u, b v from links union select b, a from links), r(id, s) as (select u, u from bw union select v, s from r join bw on u = id),
+ g as (select id, min(s) series from r group by id), n as (select series, count(*) n from g group by series), m as (select series, avg(score) cohesion from links join g on g.id = a group by series),
+ e as (select series, bit_and(signature) common, list_sort(list_distinct(list(gender) filter (gender is not null))) genders from g join f on f.doc_id = id group by series)
+ select series, n as size, round(cohesion, 6) cohesion, array_to_string(list_filter(['dislike', 'insult', 'licence', 'rights'], lambda x: (common & case x when 'insult' then 1 when 'dislike' then 2 when 'licence' then 4 else 8 end) <> 0), ',') common_signature from n join m using (series) join e using (series)""")
 def case_series(t: Tables) -> DataFrame:
-    return search.series(written(_case_links(t), "case_links")).withColumn("cohesion", F.round("cohesion", 6))
+    linked, found = _case_links(t)
+    out = linkage.series(linked, found, vocabulary=FINDINGS)
+    return out.select("series", "size", F.round("cohesion", 6).alias("cohesion"), F.array_join("common_signature", ",").alias("common_signature"))
 
 
 @query("""with p as (select doc_id, cast(n as int) n, length(passage) % 97 score from (select doc_id, n, trim(substr(text, n * 1200 + 1, 1200), ' ') passage from (select doc_id, text, unnest(range(greatest(1, cast(ceil(length(text) / 1200.0) as int)))) n from documents)) where length(passage) >= 40),

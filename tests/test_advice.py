@@ -8,16 +8,11 @@ from casegraph.plans import search
 def test_case_linkage_reads_all_documents_and_narratives(spark, tmp_path):
     from casegraph.queries import QUERIES
 
-    texts = ["red lorry crossed silver bridge"] * 2 + ["green parrots sing songs", "license kept"]  # no vocabulary word in the first three
+    texts = ["idiot license red lorry crossed silver bridge"] * 2 + ["green parrots sing songs", "idiot license kept"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(r) for r in QUERIES["case_linkage"](spark, str(tmp_path)).collect()]
-    assert got == [(0, 1, 1.0, True)]
-    assert [(r["size"], r["cases"]) for r in QUERIES["case_series"](spark, str(tmp_path)).collect()] == [(2, "0,1")]
-
-
-def test_cosines_are_all_pairs(spark):
-    w = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.8), (2, "b", 1.0), (3, "a", 0.8), (3, "b", 0.6), (4, "c", 1.0)], "d long, term string, w double")
-    assert {(r["a"], r["b"]): r["cos"] for r in search.cosines(w, "d").collect()} == pytest.approx({(1, 2): 0.8, (1, 3): 0.96, (2, 3): 0.6})
+    got = sorted(tuple(r) for r in QUERIES["case_linkage"](spark, str(tmp_path)).collect())
+    assert got[0] == (0, 1, 0.8, True) and [r[:2] for r in got[1:]] == [(0, 3), (1, 3)] and all(0.55 <= r[2] < 0.8 for r in got[1:])
+    assert [(r["size"], r["common_signature"]) for r in QUERIES["case_series"](spark, str(tmp_path)).collect()] == [(3, "insult,licence")]
 
 
 def test_screening_scores_all_names(spark):

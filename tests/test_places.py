@@ -42,16 +42,6 @@ def test_namesakes_are_proposed_as_brute_force_says(spark):
     assert s == {1: ("institution", False), 2: ("accused", True)}
 
 
-def test_one_case_against_all(spark):
-    texts = ["lured her, tied with a note in the park", "he lured and tied her, a note, a park, aged 30", "forced entry with a knife at a residence", "lured, gagged, a mask near the highway (31 yrs)"]
-    f = search.case_features(spark.createDataFrame(list(enumerate(texts)), "case_id long, text string"))
-    cos = spark.createDataFrame([(a, b, 0.3) for a, b in product(range(4), range(4)) if a < b], "a long, b long, cos double")
-    every = {(r["a"], r["b"]): r["score"] for r in search.case_links(f, cos, least=0.1).collect()}
-    got = [(r["other"], r["score"]) for r in search.similar_cases(f, cos, 1, least=0.1).collect()]
-    want = sorted(((a + b - 1, s) for (a, b), s in every.items() if 1 in (a, b)), key=lambda x: (-x[1], x[0]))
-    assert got == want and len(got) >= 2
-
-
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "snap")
     assert snapshots.load(spark, root, "network") is None and snapshots.status(spark, root, 1).count() == 0

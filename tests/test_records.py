@@ -170,12 +170,10 @@ def test_purge_cascades(spark):
     assert a.count() == 1 and b.count() == 1 and c.count() == 1 and {r["id"]: r["entity_ids"] for r in d.collect()} == {"a": ["2"], "b": []}
 
 
-def test_nearest_and_series(spark):
+def test_nearest(spark):
     v = spark.createDataFrame([(i, [float(i == j) + 0.01 * i for j in range(4)]) for i in range(4)], "vec_id long, embedding array<float>")
     rows = search.nearest(v, [(0, [1.0, 0, 0, 0])], 2).collect()
     assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"])][0] == 0
-    links = spark.createDataFrame([(1, 2, 0.8), (2, 3, 0.6), (7, 8, 0.9)], "a long, b long, score double")
-    assert {r["series"]: (r["size"], round(r["cohesion"], 3)) for r in search.series(links).collect()} == {1: (3, 0.7), 7: (2, 0.9)}
 
 
 # --- dossiers ---
