@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -10,6 +10,7 @@ from ..functions.similarity import scored
 from ..operators.components import components
 from ..operators.edges import merged
 from ..operators.store import written
+from .names import similar
 
 
 def exact(mentions: DataFrame) -> DataFrame:
@@ -56,12 +57,18 @@ def contained_places(places: DataFrame, least: int = 5) -> DataFrame:
     return j.groupBy("id").agg(F.max_by("parent", F.struct(F.length("prefix"), "parent")).alias("parent"))
 
 
+def _nameable() -> Column:
+    """Names of seven characters or more, of persons with two words or more."""
+    return (F.length("label") >= 7) & ((F.col("type") != "PERSON") | (F.size(F.split(F.trim("label"), r"\s+")) >= 2))
+
+
 def screened(actors: DataFrame, listed: DataFrame, least_person: float = 88.0, least_org: float = 92.0) -> DataFrame:
     """(id, list_id, score, strong): the best watchlist name of each actor (id, type, label) among all names of any type; names under seven
-    characters and persons of one token are skipped. The list is the smaller side: actors are scored against the whole of it."""
-    a = actors.where((F.length("label") >= 7) & ((F.col("type") != "PERSON") | (F.size(F.split(F.trim("label"), r"\s+")) >= 2)))
-    pairs = a.select("id", "type", "label").crossJoin(listed.select(F.col("id").alias("list_id"), "name").distinct())
-    s = scored(pairs, "label", "name").where(F.col("score") >= F.when(F.col("type") == "PERSON", least_person).otherwise(least_org))
+    characters and persons of one token are skipped. Names meet in the index of names.similar(), so neither side is compared whole."""
+    a = actors.where(_nameable()).select("id", "type", "label").distinct()
+    found = similar(a.select("id", F.col("label").alias("name")), listed.select("id", "name"), min(least_person, least_org))
+    s = found.select(F.col("a").alias("id"), F.col("la").alias("label"), F.col("b").alias("list_id"), "score").join(a, ["id", "label"])
+    s = s.where(F.col("score") >= F.when(F.col("type") == "PERSON", least_person).otherwise(least_org))
     best = s.groupBy("id", "type", "label").agg(F.max_by(F.struct("list_id", "score"), F.struct("score", F.col("list_id"))).alias("x"))
     strong = ((F.size(F.split("label", r"\s+")) >= 3) & (F.col("x.score") >= 95)) | ((F.col("type") == "ORGANIZATION") & (F.col("x.score") >= 97))
     return best.select("id", "x.list_id", "x.score", strong.alias("strong"))
@@ -71,10 +78,9 @@ def proposed(listed: DataFrame, others: DataFrame, existing: DataFrame, least: f
     """(a, b, score, strength): namesakes of watchlist rows among the other actors (id, type, label) of the same type, as proposals that a person
     has to confirm, never merges. Of each listed row the `most` best names (by score, then id) that reach `least`; pairs that `existing`
     (a, b) holds in either direction are left out. Names under seven characters and persons of one token are skipped."""
-    fit = (F.length("label") >= 7) & ((F.col("type") != "PERSON") | (F.size(F.split(F.trim("label"), r"\s+")) >= 2))
-    x = listed.where(fit).select(F.col("id").alias("a"), "type", F.col("label").alias("la"))
-    y = others.where(fit).select(F.col("id").alias("b"), "type", F.col("label").alias("lb"))
-    s = scored(x.join(y, "type").where("a <> b"), "la", "lb").where(F.col("score") >= least)
+    x, y = (df.where(_nameable()).select("id", "type", "label").distinct() for df in (listed, others))
+    s = similar(*(df.select("id", F.col("label").alias("name")) for df in (x, y)), least).where("a <> b")
+    s = s.join(x.select(F.col("id").alias("a"), F.col("label").alias("la"), "type"), ["a", "la"]).join(y.select(F.col("id").alias("b"), F.col("label").alias("lb"), "type"), ["b", "lb", "type"])
     best = s.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= most)
     known = existing.select("a", "b").union(existing.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return best.join(known, ["a", "b"], "left_anti").select("a", "b", "score", F.when(F.col("score") >= strong, "strong").otherwise("probable").alias("strength"))

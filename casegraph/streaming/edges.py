@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.edges import accumulate, merged
-from .watches import _stored
+from ..operators.edges import accumulate
 
 
-def merge_batch(batch: DataFrame, folder: str, batch_id: int) -> None:
-    """Folds a batch of observations into the edges: version batch_id is written from the newest older version, so a replay of the
-    batch writes the same again and readers never see half a version."""
-    part = accumulate(batch)
-    spark = batch.sparkSession
-    before = None
-    for v in range(batch_id - 1, -1, -1):
-        old = _stored(spark, f"{folder}/v={v}", part.schema)
-        if old.limit(1).count():
-            before = old
-            break
-    out = part if before is None else merged(before, part)
-    out.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+KEY = ("src", "dst", "rel_type")
 
 
 def stream_edges(observations: DataFrame, folder: str, checkpoint: str):
-    return observations.writeStream.foreachBatch(lambda b, i: merge_batch(b, folder, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Keeps one accumulator an edge in the stream's state, keyed by (src, dst, rel_type), and appends only the edges that a micro-batch touches to
+    `folder`, a Parquet partition a batch. Rows count whenever they come: sums, bounds and first-wins attributes do not depend on arrival,
+    so there is no watermark and nothing is late. A batch that is replayed writes its partition again; current() reads the edges."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return accumulate(observations).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
+    """Each edge as its latest batch has it (up to batch `upto`, if given). What a batch writes is an edge's whole accumulator, so only the latest counts."""
+    rows = spark.read.parquet(folder)
+    if upto is not None:
+        rows = rows.where(F.col("batch") <= upto)
+    rest = [c for c in rows.columns if c not in (*KEY, "batch")]
+    last = rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*KEY, *(F.col(f"last.{c}").alias(c) for c in rest))
+
+
+def compact(spark: SparkSession, folder: str, into: str) -> None:
+    """The current edges as one batch of a new folder, numbered as the latest one, in place of all batches before."""
+    last = spark.read.parquet(folder).agg(F.max("batch")).head()[0]
+    current(spark, folder).write.mode("overwrite").parquet(f"{into}/batch={last}")
 
 
 def hourly(events: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:

@@ -99,15 +99,25 @@ def test_watch_context_precedence_and_selectors(spark):
 def test_incremental_edges_equal_one_batch(spark, tmp_path):
     schema = "src string, dst string, rel_type string, weight double, at timestamp_ntz, confidence double, amount double, duration long, night boolean, attr string, order long"
     rows = [("a", "b", "CALLED", 1.0, None, 0.5, None, 5, True, f"x{i}", i) for i in range(6)] + [("b", "c", "CALLED", 1.0, None, 0.7, None, 1, False, "y", 9)]
-    folder, out = str(tmp_path / "obs"), str(tmp_path / "edges")
-    for part in (rows[:3], rows[3:]):
+    folder, out, ck = (str(tmp_path / n) for n in ("obs", "edges", "ck"))
+    for part in (rows[3:], rows[:2], rows[2:3]):  # the first observations come last
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-        SE.stream_edges(spark.readStream.schema(schema).parquet(folder), out, str(tmp_path / "ck")).awaitTermination()
+        SE.stream_edges(spark.readStream.schema(schema).parquet(folder), out, ck).awaitTermination()
     from casegraph.operators.edges import accumulate
 
-    newest = max(int(n[2:]) for n in os.listdir(out) if n.startswith("v="))
-    got = spark.read.parquet(f"{out}/v={newest}").collect()
-    assert sorted(map(str, got)) == sorted(map(str, accumulate(spark.createDataFrame(rows, schema)).collect()))
+    want = sorted(map(str, accumulate(spark.createDataFrame(rows, schema)).collect()))
+    batches = sorted(int(n[6:]) for n in os.listdir(out) if n.startswith("batch="))
+    assert len(batches) == 3 and spark.read.parquet(f"{out}/batch={batches[-1]}").count() == 1  # only what the batch touches
+    assert sorted(map(str, SE.current(spark, out).collect())) == want
+    assert sorted(map(str, SE.current(spark, out, batches[0]).collect())) == sorted(map(str, accumulate(spark.createDataFrame(rows[3:], schema)).collect()))
+    os.remove(f"{ck}/commits/{batches[-1]}")  # lost before it was committed: the batch runs again
+    for n in os.listdir(f"{ck}/commits"):
+        if n.startswith(f".{batches[-1]}."):
+            os.remove(f"{ck}/commits/{n}")
+    SE.stream_edges(spark.readStream.schema(schema).parquet(folder), out, ck).awaitTermination()
+    assert sorted(map(str, SE.current(spark, out).collect())) == want
+    SE.compact(spark, out, str(tmp_path / "compact"))
+    assert sorted(map(str, SE.current(spark, str(tmp_path / "compact")).collect())) == want
 
 
 def test_windowed_streams(spark, tmp_path):
