@@ -67,12 +67,15 @@ def protected_party_filter(t: Tables) -> DataFrame:
     return x.select("p_partkey", protected.alias("protected"), K.non_subject({"court_role": F.col("record_role")}, F.col("label"), F.col("kind")).alias("non_subject"))
 
 
-@query("""select m kind_and_text, reason is not null junk, reason from (values ('PERSON:', 'empty'), ('PERSON:unknown', 'stopword'), ('PERSON:---', 'punctuation'), ('LOCATION:12-3', 'bare number'), ('LOCATION:IN', 'country code'), ('ORGANIZATION:ab', 'too short'), ('PERSON:two men', 'descriptor'), ('PERSON:Ravi Kumar', null)) x(m, reason)""")
+JUNK = (("PERSON", "''", "'empty'"), ("PERSON", "'unknown'", "'stopword'"), ("PERSON", "'---'", "'punctuation'"), ("LOCATION", "cast(p_size as string)", "'bare number'"), ("LOCATION", "substr(upper(p_name), 1, 2)", "'country code'"), ("ORGANIZATION", "substr(p_name, 1, 2)", "'too short'"), ("PERSON", "concat('two ', p_name)", "'descriptor'"), ("PERSON", "p_name", "null"))
+_JUNK = lambda i: f"case p_partkey % {len(JUNK)} " + " ".join(f"when {k} then {x[i]}" for k, x in enumerate(JUNK)) + " end"
+
+
+@query(f"select p_partkey, {_JUNK(2)} is not null junk, {_JUNK(2)} reason from part")
 def junk_mentions(t: Tables) -> DataFrame:
-    rows = ["PERSON:", "PERSON:unknown", "PERSON:---", "LOCATION:12-3", "LOCATION:IN", "ORGANIZATION:ab", "PERSON:two men", "PERSON:Ravi Kumar"]
-    df = t.spark.range(1).select(F.explode(F.array(*map(F.lit, rows))).alias("kind_and_text"))
-    j = K.junk_mention(F.split_part("kind_and_text", F.lit(":"), F.lit(1)), F.split_part("kind_and_text", F.lit(":"), F.lit(2)))
-    return df.select("kind_and_text", j["junk"].alias("junk"), j["reason"].alias("reason"))
+    kind = F.expr("case p_partkey % 8 " + " ".join(f"when {k} then '{x[0]}'" for k, x in enumerate(JUNK)) + " end")
+    j = K.junk_mention(kind, F.expr(_JUNK(1)))
+    return t.part.select("p_partkey", j["junk"].alias("junk"), j["reason"].alias("reason"))
 
 
 @query("select distinct c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")

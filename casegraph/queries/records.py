@@ -25,18 +25,30 @@ def namesake_split(t: Tables) -> DataFrame:
     return resolve.namesakes(m).select("key", "source").distinct()
 
 
-@query()
+@query("with x as (select c_custkey, c_custkey // 3 g, c_custkey % 2 source from customer) select c_custkey id, min(c_custkey) over (partition by g, source) entity from x")
 def fuzzy_resolve(t: Tables) -> DataFrame:
-    rows = [(1, "ravi kumar singh", "a"), (2, "ravi kr kumar singh", "a"), (3, "ravi kumar singh", "b"), (4, "amit verma", "a"), (5, "amit k verma", "a"), (6, "rohit singh", "a")]
-    e = t.spark.createDataFrame(rows, "id long, key string, source string").withColumn("type", F.lit("PERSON"))
+    """Three customers in a row have one name, with more or fewer words; those of one source are one."""
+    last = F.translate(F.floor(F.col("c_custkey") / 3).cast("string"), "0123456789", "abcdefghij")
+    middle = F.when(F.col("c_custkey") % 3 == 1, "kr ").when(F.col("c_custkey") % 3 == 2, "kumar ").otherwise("")
+    e = t.customer.select(F.col("c_custkey").alias("id"), F.lit("PERSON").alias("type"), F.concat(F.lit("ravi "), middle, last, F.lit("sharma")).alias("key"), (F.col("c_custkey") % 2).cast("string").alias("source"))
     return resolve.fuzzy(e)
 
 
-@query()
+CODE = "translate(substr(md5(cast({0} as string)), 1, 14), '0123456789', 'ghijklmnop')"
+FIRST, LAST = f"substr({CODE}, 1, 7)", f"substr({CODE}, 8, 7)"
+
+
+@query("""select c_custkey id, s_suppkey list_id, case s_suppkey % 3 when 0 then 100.0::double when 1 then 95.0::double else 100 * 28 / 29::double end score, c_custkey % 2 = 0 and s_suppkey % 3 = 0 strong
+ from customer join supplier on s_suppkey = c_custkey""")
 def screening(t: Tables) -> DataFrame:
-    a = t.spark.createDataFrame([(1, "PERSON", "Ravi Kumar Singh"), (2, "ORGANIZATION", "Blue Star Traders"), (3, "PERSON", "Ravi"), (4, "PERSON", "Someone Else")], "id long, type string, label string")
-    w = t.spark.createDataFrame([("L1", "PERSON", "Ravi Kumar Singh"), ("L2", "ORGANIZATION", "Blue Star Traders Ltd"), ("L3", "PERSON", "Ravi Kumar")], "id string, type string, name string")
-    return resolve.screened(a, w)
+    """Suppliers are listed under a customer's name, as it is, with its words in the other order, or one letter short."""
+    of = lambda x, k: F.expr(x.format(k))
+    kind = F.when(F.col("c_custkey") % 2 == 0, "ORGANIZATION").otherwise("PERSON")
+    a = t.customer.select(F.col("c_custkey").alias("id"), kind.alias("type"), F.concat_ws(" ", of(FIRST, "c_custkey"), of(LAST, "c_custkey")).alias("label"))
+    first, last, by = of(FIRST, "s_suppkey"), of(LAST, "s_suppkey"), F.col("s_suppkey") % 3
+    name = F.when(by == 0, F.concat_ws(" ", first, last)).when(by == 1, F.concat_ws(" ", last, first)).otherwise(F.concat_ws(" ", first, F.substring(last, 1, 6)))
+    out = resolve.screened(a, t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("PERSON").alias("type"), name.alias("name")))
+    return out.select("id", "list_id", "score", "strong")
 
 
 @query("select distinct l_suppkey src, l_partkey % 500 dst, cast(count(*) as double) weight, count(*) count from lineitem where l_suppkey <> l_partkey % 500 group by 1, 2")

@@ -14,10 +14,6 @@ from ..plans import linkage, search
 from . import Tables, query
 
 
-def literal(t: Tables, rows: list[tuple], schema: str) -> DataFrame:
-    return t.spark.createDataFrame(rows, schema)
-
-
 @query("""select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+[.][A-Za-z.]+')) as int) emails, cast(len(regexp_extract_all(text, '\\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\\b')) as int) ips, cast(len(regexp_extract_all(text, '[0-9]{9,}')) as int) numbers from documents""")
 def regex_identifiers(t: Tables) -> DataFrame:
     n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), 0))
@@ -36,10 +32,14 @@ def identifier_summary(t: Tables) -> DataFrame:
     return x.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
 
 
-@query("""select * from (values ('9876543210', '9876543210', false), ('09876543210', '9876543210', false), ('+91 98765-43210', '9876543210', false), ('+44 20 7946 0958', '442079460958', true), ('1234', '1234', false)) x(raw, norm, foreign_)""")
+NINE = "lpad(cast((o_orderkey * 7919 + o_custkey) % 1000000000 as string), 9, '0')"
+PHONE_RAW = f"case o_orderkey % 5 when 0 then concat('9', {NINE}) when 1 then concat('09', {NINE}) when 2 then concat('+91 9', substr({NINE}, 1, 4), '-', substr({NINE}, 5, 5)) when 3 then concat('+44 20 ', substr({NINE}, 1, 8)) else substr({NINE}, 1, 4) end"
+
+
+@query(f"select o_orderkey, {PHONE_RAW} raw, case o_orderkey % 5 when 3 then concat('4420', substr({NINE}, 1, 8)) when 4 then substr({NINE}, 1, 4) else concat('9', {NINE}) end norm, o_orderkey % 5 = 3 foreign_ from orders")
 def phone_keys(t: Tables) -> DataFrame:
-    df = literal(t, [("9876543210",), ("09876543210",), ("+91 98765-43210",), ("+44 20 7946 0958",), ("1234",)], "raw string")
-    return df.select("raw", K.norm_phone(F.col("raw")).alias("norm"), K.is_international(F.col("raw")).alias("foreign_"))
+    df = t.orders.select("o_orderkey", F.expr(PHONE_RAW).alias("raw"))
+    return df.select("o_orderkey", "raw", K.norm_phone(F.col("raw")).alias("norm"), K.is_international(F.col("raw")).alias("foreign_"))
 
 
 PERSON_RAW = "concat(case p_partkey % 6 when 0 then 'Shri. Md. ' when 1 then concat('D', chr(39)) when 2 then 'Smt ' when 3 then 'Abdul-' when 4 then '  Mohammed ' else '' end, p_name)"
@@ -54,21 +54,40 @@ def canonical_keys(t: Tables) -> DataFrame:
     return x.select("p_partkey", "kind", "raw", K.canonical_key(F.col("kind"), F.col("raw")).alias("canonical"))
 
 
-@query("select * from (values ('236', 3), ('12345', 1), ('142857', 0)) x(digits, check_digit)")
+def _verhoeff_sql(x: str) -> str:
+    """The checksum in the dihedral group, over the tables as lists."""
+    each = f"list_transform(range(0, length({x})), lambda i: {K.VERHOEFF_P}[i % 8 + 1][cast(substr({x}, length({x}) - i, 1) as int) + 1])"
+    return f"list_reduce(list_prepend(0, {each}), lambda a, b: {K.VERHOEFF_D}[a + 1][b + 1])"
+
+
+@query(f"with x as (select p_partkey, cast(p_partkey * 7919 as varchar) digits from part) select p_partkey, digits, {K.VERHOEFF_INVERSE}[{_verhoeff_sql("(digits || '0')")} + 1] check_digit from x")
 def verhoeff(t: Tables) -> DataFrame:
-    return literal(t, [("236",), ("12345",), ("142857",)], "digits string").select("digits", K.verhoeff_digit(F.col("digits")).alias("check_digit"))
+    return t.part.select("p_partkey", (F.col("p_partkey") * 7919).cast("string").alias("digits")).select("p_partkey", "digits", K.verhoeff_digit(F.col("digits")).alias("check_digit"))
+
+
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FOUR = "lpad(cast(c_custkey * 31 % 10000 as string), 4, '0')"
+ID_KIND = "case c_custkey % 4 when 0 then 'PAN' when 1 then 'IFSC' when 2 then 'GSTIN' else 'AADHAAR' end"
+ID_RAW = f"""case c_custkey % 4 when 0 then concat('ABC', case when c_custkey % 8 = 0 then 'P' else 'D' end, 'E', {FOUR}, 'F') when 1 then concat('SBIN', case when c_custkey % 8 = 1 then '0' else '1' end, '00', {FOUR})
+ when 2 then concat('27AAPFU', {FOUR}, 'F1Z', substr('{ALPHABET}', c_custkey % 36 + 1, 1)) else concat(cast(c_custkey % 10 as string), '2341', lpad(cast(c_custkey * 7919 % 10000000 as string), 7, '0')) end"""
 
 
-@query("select * from (values ('PAN', 'ABCPE1234F', true, 'ok'), ('PAN', 'ABCDE1234F', false, 'format'), ('IFSC', 'SBIN0001234', true, 'ok'), ('IFSC', 'SBIN1001234', false, 'format'), ('GSTIN', '27AAPFU0939F1ZV', true, 'ok'), ('GSTIN', '27AAPFU0939F1ZA', false, 'checksum or format'), ('AADHAAR', '123412341234', false, 'checksum or format')) x(kind, raw, valid, reason)")
+@query(f"""with x as (select c_custkey, {ID_KIND} kind, {ID_RAW} raw from customer), y as (select *, list_sum(list_transform(range(0, 14), lambda i: ((strpos('{ALPHABET}', substr(raw, i + 1, 1)) - 1) * (1 + i % 2)) // 36 + ((strpos('{ALPHABET}', substr(raw, i + 1, 1)) - 1) * (1 + i % 2)) % 36)) total from x),
+ z as (select *, case kind when 'PAN' then substr(raw, 4, 1) = 'P' when 'IFSC' then substr(raw, 5, 1) = '0' when 'GSTIN' then substr('{ALPHABET}', cast((36 - total % 36) % 36 + 1 as int), 1) = substr(raw, 15, 1) else substr(raw, 1, 1) >= '2' and {_verhoeff_sql("regexp_replace(raw, '[^0-9]', '', 'g')")} = 0 end valid from y)
+ select c_custkey, kind, raw, valid, case when valid then 'ok' when kind in ('AADHAAR', 'GSTIN') then 'checksum or format' else 'format' end reason from z""")
 def identifier_validation(t: Tables) -> DataFrame:
-    rows = [("PAN", "ABCPE1234F"), ("PAN", "ABCDE1234F"), ("IFSC", "SBIN0001234"), ("IFSC", "SBIN1001234"), ("GSTIN", "27AAPFU0939F1ZV"), ("GSTIN", "27AAPFU0939F1ZA"), ("AADHAAR", "123412341234")]
     v = K.validated(F.col("kind"), F.col("raw"))
-    return literal(t, rows, "kind string, raw string").select("kind", "raw", v["valid"].alias("valid"), v["reason"].alias("reason"))
+    return t.customer.select("c_custkey", F.expr(ID_KIND).alias("kind"), F.expr(ID_RAW).alias("raw")).select("c_custkey", "kind", "raw", v["valid"].alias("valid"), v["reason"].alias("reason"))
 
 
-@query("select * from (values ('AADHAAR', '234123412346', 'XXXX XXXX 2346'), ('PAN', 'ABCPE1234F', 'ABCXX1234X'), ('PASSPORT', 'K1234567', 'XXXX4567')) x(kind, raw, masked)")
+MASK_RAW = f"case c_custkey % 3 when 0 then concat('23412341', {FOUR}) when 1 then concat('ABCPE', {FOUR}, 'F') else concat('K123', {FOUR}) end"
+MASK_KIND = "case c_custkey % 3 when 0 then 'AADHAAR' when 1 then 'PAN' else 'PASSPORT' end"
+
+
+@query(f"select c_custkey, {MASK_KIND} kind, case c_custkey % 3 when 0 then concat('XXXX XXXX ', {FOUR}) when 1 then concat('ABCXX', {FOUR}, 'X') else concat('XXXX', {FOUR}) end masked from customer")
 def identifier_masks(t: Tables) -> DataFrame:
-    return literal(t, [("AADHAAR", "234123412346"), ("PAN", "ABCPE1234F"), ("PASSPORT", "K1234567")], "kind string, raw string").select("kind", "raw", K.masked(F.col("kind"), F.col("raw")).alias("masked"))
+    x = t.customer.select("c_custkey", F.expr(MASK_KIND).alias("kind"), F.expr(MASK_RAW).alias("raw"))
+    return x.select("c_custkey", "kind", K.masked(F.col("kind"), F.col("raw")).alias("masked"))
 
 
 @query("select c_custkey, substr(sha256('pepper|NAME|'||upper(regexp_replace(c_name, '[ -]', '', 'g'))), 1, 32) print from customer")
@@ -175,16 +194,21 @@ def charge_summary(t: Tables) -> DataFrame:
     return s.select("o_orderkey", F.array_join("keys", ",").alias("keys"), F.array_join("categories", ",").alias("categories"), "gravest", "gravity")
 
 
-@query("""select * from (values ('FIR dated 12/03/2024 and 2024-05-01 under section 302, 34', '12/03/2024,2024-05-01', '302,34')) x(raw, dates, sections)""")
+DAY = "cast(cast(o_orderdate as date) as string)"
+DAY_FIRST = f"concat(substr({DAY}, 9, 2), '/', substr({DAY}, 6, 2), '/', substr({DAY}, 1, 4))"
+ONE, TWO = "cast(o_custkey % 500 + 1 as string)", "cast(o_orderkey % 400 + 1 as string)"
+
+
+@query(f"select o_orderkey, concat({DAY_FIRST}, ',', {DAY}) dates, case when {ONE} = {TWO} then {ONE} else concat({ONE}, ',', {TWO}) end sections from orders")
 def dates_sections(t: Tables) -> DataFrame:
-    df = literal(t, [("FIR dated 12/03/2024 and 2024-05-01 under section 302, 34",)], "raw string")
-    return df.select("raw", F.array_join(T.dates(F.col("raw")), ",").alias("dates"), F.array_join(T.sections(F.col("raw")), ",").alias("sections"))
+    df = t.orders.select("o_orderkey", F.expr(f"concat('FIR dated ', {DAY_FIRST}, ' and ', {DAY}, ' under section ', {ONE}, ', ', {TWO})").alias("raw"))
+    return df.select("o_orderkey", F.array_join(T.dates(F.col("raw")), ",").alias("dates"), F.array_join(T.sections(F.col("raw")), ",").alias("sections"))
 
 
-@query("""select * from (values ('2024-03-05T10:20:30Z', timestamp '2024-03-05 10:20:30'), ('05/03/2024', timestamp '2024-03-05 00:00:00'), ('05/03/2024 14:05', timestamp '2024-03-05 14:05:00'), ('soon', null)) x(raw, parsed)""")
+@query(f"""with x as (select o_orderkey, cast(cast(o_orderdate as date) as timestamp) d from orders) select o_orderkey, case o_orderkey % 4 when 0 then d + interval '10 hours 20 minutes 30 seconds' when 1 then d when 2 then d + interval '14 hours 5 minutes' end parsed from x""")
 def datetime_parse(t: Tables) -> DataFrame:
-    df = literal(t, [("2024-03-05T10:20:30Z",), ("05/03/2024",), ("05/03/2024 14:05",), ("soon",)], "raw string")
-    return df.select("raw", K.parsed_time(F.col("raw")).alias("parsed"))
+    raw = f"case o_orderkey % 4 when 0 then concat({DAY}, 'T10:20:30Z') when 1 then {DAY_FIRST} when 2 then concat({DAY_FIRST}, ' 14:05') else o_orderpriority end"
+    return t.orders.select("o_orderkey", K.parsed_time(F.expr(raw)).alias("parsed"))
 
 
 @query("""select doc_id, len(regexp_extract_all(lower(text), 'idiot|moron|stupid'))::int hits from documents where regexp_matches(lower(text), 'idiot|moron|stupid')""")
@@ -221,12 +245,12 @@ def named_mentions(t: Tables) -> DataFrame:
     return mentions(t.orders.select("o_orderkey", F.expr(NER_TEXT).alias("note")), doc_id="o_orderkey", text="note").select("doc_id", "type", "text", "rule")
 
 
-@query()
+@query(f"""select o_orderkey doc_id, 'PERSON' src_type, {NAMED_BY} src, 'DIRECTOR_OF' rel_type, 'ORGANIZATION' dst_type, 'Silver Star Exports' dst, 0.8::double confidence from orders where o_orderkey % 4 = 0""")
 def relation_inference(t: Tables) -> DataFrame:
     from ..plans.extract import relations
 
-    text = ["Ravi Kumar met Amit Singh near Central Market. Shri Anil Verma is director of Blue Star Traders Ltd.", "Sunita Sharma phoned Neha Gupta; Deepak Yadav was present. accused Imran Khan using mobile 9876543210."]
-    return relations(literal(t, list(enumerate(text)), "doc_id long, text string"))
+    note = f"concat('On record: Shri ', {NAMED_BY}, case when o_orderkey % 4 = 0 then ' is director of Silver Star Exports.' else ' was not seen.' end)"
+    return relations(t.orders.select("o_orderkey", F.expr(note).alias("note")), doc_id="o_orderkey", text="note")
 
 
 @query()
@@ -234,11 +258,14 @@ def sentence_split(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
 
 
-@query("""select * from (values ('He went  to Delhi.', 'went to delhi', true), ('He went to Delhi.', 'to Agra', false), ('x', null, false)) x(body, quote, ok)""")
+QUOTE = "case turn % 3 when 0 then concat(' ', substr(text, 3, 30)) when 1 then concat('zz', substr(text, 1, 10)) end"
+
+
+@query(f"""with x as (select conv_id, turn, text, {QUOTE} quote from conversations), y as (select *, lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) b, lower(regexp_replace(quote, '[ \t\n\x0B\f\r]+', '', 'g')) q from x) select conv_id, turn, coalesce(length(q) > 0 and contains(b, q), false) ok from y""")
 def grounding_check(t: Tables) -> DataFrame:
     from ..plans.extract import grounded
 
-    return literal(t, [("He went  to Delhi.", "went to delhi"), ("He went to Delhi.", "to Agra"), ("x", None)], "body string, quote string").withColumn("ok", grounded(F.col("body"), F.col("quote")))
+    return t.conversations.select("conv_id", "turn", grounded(F.col("text"), F.expr(QUOTE)).alias("ok"))
 
 
 #: Words of these texts in place of the vocabulary of offences.
