@@ -4,10 +4,11 @@ table functions."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import AnalyzeResult
 
 from ..operators import graph as G
 from ..operators import relational as R
@@ -114,8 +115,63 @@ class MentionTable:
             yield m["type"], m["text"], m["rule"], m["start"], m["end"], m["confidence"]
 
 
+class LabelTable:
+    """SQL: select * from labelled(table(t) partition by key order by ..., text => 'column', labels => 'WEAPON: knife, pistol; PLACE: station').
+
+    The table has the partitioning columns and the text. One row a partition: the partitioning columns, `rows`, and for each label a column with the number of its words' occurrences (whole
+    words, in either case). The labels are the caller's, so the columns differ from query to query; a fault in them is an error of analysis."""
+
+    def __init__(self, result):
+        self.text, self.words, self.keys = result.text, result.words, result.keys
+        self.key, self.rows, self.counts = None, 0, None
+
+    @staticmethod
+    def analyze(table, text, labels):
+        from pyspark.sql.types import IntegerType, StructType
+
+        if not table.isTable or text.value is None or labels.value is None:
+            raise ValueError("labelled(TABLE(...), text => 'column', labels => 'LABEL: word, word; ...') takes a table and two constants")
+        if text.value not in table.dataType.names:
+            raise ValueError(f"the table has no column {text.value}")
+        words = {}
+        for part in filter(str.strip, labels.value.split(";")):
+            name, _, listed = part.partition(":")
+            words[name.strip()] = [w.strip() for w in listed.split(",") if w.strip()]
+        taken = [n.lower() for n in (*(f for f in table.dataType.names if f != text.value), "rows")]
+        if not words or any(not n or not w or n.lower() in taken for n, w in words.items()):
+            raise ValueError("each label has a name that is no column of the table, and a word")
+        schema = StructType([f for f in table.dataType.fields if f.name != text.value]).add("rows", IntegerType())
+        for name in words:
+            schema = schema.add(name, IntegerType())
+        keys = [f for f in table.dataType.names if f != text.value]
+        return _LabelResult(schema=schema, text=text.value, words=words, keys=keys)
+
+    def eval(self, row, text, labels):
+        import re
+
+        if self.counts is None:
+            self.patterns = [re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, w)) + r")(?!\w)", re.I) for w in self.words.values()]
+            self.counts = [0] * len(self.patterns)
+        self.key = tuple(row[k] for k in self.keys)
+        self.rows += 1
+        for i, p in enumerate(self.patterns):
+            self.counts[i] += len(p.findall(row[self.text] or ""))
+
+    def terminate(self):
+        if self.counts is not None:
+            yield (*self.key, self.rows, *self.counts)
+
+
+@dataclass
+class _LabelResult(AnalyzeResult):
+    text: str = ""
+    words: dict = field(default_factory=dict)
+    keys: list = field(default_factory=list)
+
+
 def register_functions(spark: SparkSession) -> None:
     spark.udtf.register("mentions_of", F.udtf(MentionTable, returnType="type string, text string, rule string, start int, end int, confidence double"))
+    spark.udtf.register("labelled", F.udtf(LabelTable))
 
 
 # --- records that users keep ---

@@ -330,3 +330,18 @@ def mention_function(t: Tables) -> DataFrame:
     register_functions(t.spark)
     t.conversations.createOrReplaceTempView("turns")
     return t.spark.sql("select conv_id, turn, m.* from turns, lateral mentions_of(text) m")
+
+
+LABELS = {"ARTICLE": ("the", "la", "der"), "LINK": ("and", "und", "et"), "OF": ("of", "de")}
+_COUNTED = ", ".join(f"cast(sum(len(regexp_extract_all(x, '(?i)\\b(?:{'|'.join(w)})\\b'))) as int) as {k}" for k, w in LABELS.items())
+
+
+@query(f"""with x as (select conv_id, regexp_replace(coalesce(text, ''), '[\\x{{AA}}\\x{{B5}}\\x{{BA}}\\x{{C0}}-\\x{{24F}}]', 'q', 'g') x from conversations) select conv_id, cast(count(*) as int) as rows, {_COUNTED} from x group by conv_id""")
+def labelled_conversations(t: Tables) -> DataFrame:
+    """A table function whose columns are the labels of the call."""
+    from ..plans.tools import register_functions
+
+    register_functions(t.spark)
+    t.conversations.select("conv_id", "text").createOrReplaceTempView("turns_of_text")
+    labels = "; ".join(f"{k}: {', '.join(w)}" for k, w in LABELS.items())
+    return t.spark.sql(f"select * from labelled(table(turns_of_text) partition by conv_id, text => 'text', labels => '{labels}')")

@@ -73,3 +73,20 @@ def test_outliers_stand_out(spark):
     got = {r["id"]: r for r in o.collect()}
     assert got[99]["both"] and got[99]["score"] == max(r["score"] for r in got.values())
     assert outliers.outliers(spark.createDataFrame(rows[:5], "id long, calls double, cases double"), "id", ("calls", "cases")).collect() == []
+
+
+def test_labels_make_the_columns(spark):
+    from casegraph.plans.tools import register_functions
+
+    register_functions(spark)
+    rows = [(1, "A knife, two Knives and a pistol."), (1, "the station"), (2, None), (2, "pistols"), (None, "knife knife")]
+    spark.createDataFrame(rows, "k long, note string").createOrReplaceTempView("notes_by_key")
+    call = "select * from labelled(table(notes_by_key) partition by k, text => 'note', labels => '{}')"
+    got = spark.sql(call.format("WEAPON: knife, pistol; PLACE: station"))
+    assert got.columns == ["k", "rows", "WEAPON", "PLACE"] and sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2, 2, 1), (2, 2, 0, 0), (None, 1, 2, 0)], key=str)
+    assert spark.sql(call.format("X: a.b, two")).columns == ["k", "rows", "X"]
+    for bad in ("", "rows: x", "K: x", "NAME"):
+        with pytest.raises(Exception, match="each label has a name"):
+            spark.sql(call.format(bad)).collect()
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("select * from labelled(table(notes_by_key) partition by k, text => 'nothing', labels => 'A: b')").collect()
