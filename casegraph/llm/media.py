@@ -161,7 +161,9 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 
 def stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media) of every row, written to the shared folder: the payload as a P6 image, 64 pixels wide."""
+    """(doc_id, n_bytes, media) of every row, written to the shared folder: the payload as a P6 image, 64 pixels wide. Null and
+    empty texts are one row of spaces, texts of any length as many rows as they need; repeated rows are stored each, ids may be of any type and null,
+    an empty table gives an empty one, other columns are not read."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([own.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
@@ -178,7 +180,7 @@ def stored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def features(media: DataFrame) -> DataFrame:
     """From (doc_id, n_bytes, media): what the stored bytes hold, their digests, the difference hash and the NPY tile. A null
-    or unreadable image has null features."""
+    or unreadable image has null features, one without pixels has a null hash and tile. Repeated rows have a row each; an empty table gives an empty one."""
     schema = T.StructType(
         [
             media.schema["doc_id"], media.schema["n_bytes"], T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()),
@@ -194,6 +196,8 @@ def features(media: DataFrame) -> DataFrame:
         except (ValueError, struct.error):
             return None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, None
         p = a.tobytes()
+        if not a.size:
+            return 0, hashlib.sha256(p).hexdigest(), zlib.crc32(p), len(data), hashlib.sha256(data).hexdigest(), None, None
         return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(a), npy(tile(a))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,3 +209,8 @@ def features(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=schema.names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def write_tiles(featured: DataFrame, folder: str) -> None:
+    """The NPY tiles of features() as a Parquet table (doc_id, tile_npy) in `folder`; images without a tile have no row."""
+    featured.where("tile_npy is not null").select("doc_id", "tile_npy").write.option("compression", "zstd").mode("overwrite").parquet(folder)

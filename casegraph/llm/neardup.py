@@ -325,9 +325,16 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 # --- operators ---
 
 
+def _integers(docs: DataFrame, doc_id: str) -> None:
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} has to be an integer column")
+
+
 def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) per row: groups of texts joined by similarity of at least `least`; component_id as in clusters().
-    Equal texts are one; null and wordless texts are equal to each other. A null doc_id counts as the smallest id."""
+    Equal texts are one; null and wordless texts are equal to each other. A null doc_id counts as the smallest id; ids have to be integers
+    (TypeError). An empty table gives an empty one; other columns are not read."""
+    _integers(docs, doc_id)
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL)).alias("doc_id"), F.unhex(F.md5(F.when(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.col(text).cast("string")).otherwise(""))).alias("digest"), F.col(text).cast("string").alias("text"))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +410,8 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of `docs` with one document of each group of similar_clusters(): that of the smallest doc_id. Of rows that repeat this
-    id one stays. All columns stay as they are; an empty table gives an empty one."""
+    id one stays. All columns stay as they are; an empty table gives an empty one. Ids have to be integers (TypeError)."""
+    _integers(docs, doc_id)
     key, rank = fresh_name("_key", docs.columns), fresh_name("_rank", docs.columns)
     whole = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL))  # one plain key, so that the join's partitioning serves the window
     kept = similar_clusters(docs, doc_id, text, k, least).where("doc_id = component_id").select(F.col("doc_id").alias(key))

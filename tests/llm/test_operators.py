@@ -723,3 +723,27 @@ def test_nothing_else_imports_the_subpackage():
             if n.endswith(".py") and os.sep + "llm" not in folder:
                 assert "llm" not in re.findall(r"(?:from|import)\s+[\w.]*\b(llm)\b", open(os.path.join(folder, n)).read())
     assert json.dumps(sorted(os.listdir(os.path.join(root, "llm"))))
+
+
+# --- defined results at the edges ---
+
+
+def test_ids_of_pairs_are_integers(spark):
+    named = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for f in (neardup.similar_clusters, neardup.deduplicated):
+        with pytest.raises(TypeError):
+            f(named)
+
+
+def test_images_without_pixels_and_written_tiles(spark, tmp_path):
+    import io
+
+    flat = media.write_netpbm(np.full((4, 5, 3), 200, np.uint8))
+    rows = [(1, 0, b"P6\n0 2\n255\n"), (2, 0, None), (3, 0, b"nothing"), (4, 60, flat), (4, 60, flat), (None, 60, flat)]
+    out = media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert (got[1]["payload_bytes"], got[1]["feature"], got[1]["tile_npy"]) == (0, None, None) and got[3]["feature"] is None and got[4]["feature"] == "0" * 16
+    media.write_tiles(out, str(tmp_path / "tiles"))
+    kept = spark.read.parquet(str(tmp_path / "tiles")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["4", "4", "None"] and (np.load(io.BytesIO(kept[0]["tile_npy"])) == 200).all()
+    assert media.features(out.select("doc_id", "n_bytes", F.lit(None).cast("binary").alias("media")).limit(0)).count() == 0
