@@ -59,7 +59,7 @@ def test_works_without_the_subpackage(tmp_path):
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for n in ("casegraph", "__spark_entry__.py"):
+    for n in ("casegraph", "__spark_entry__.py", *(["corpus_pipeline.py"] if os.path.exists(f"{root}/corpus_pipeline.py") else [])):
         (shutil.copytree if os.path.isdir(f"{root}/{n}") else shutil.copy)(f"{root}/{n}", tmp_path / n)
     shutil.rmtree(tmp_path / "casegraph/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; assert e.oracle_sql()"
