@@ -176,9 +176,9 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _mapped(df: DataFrame, source: str, path: str, what: str, kind: T.DataType) -> DataFrame:
-    """`df` with a last column `_out` made of the binary column `source` by a method of the codec, in batches of bounded size."""
-    at, binary = df.columns.index(source), isinstance(kind, T.BinaryType)
+def _mapped(df: DataFrame, source: str, path: str, what: str, kind: T.DataType, keep: list[str]) -> DataFrame:
+    """The columns `keep` of `df` and `_out`, made of the binary column `source` by a method of the codec, in batches of bounded size."""
+    at, kept, binary = df.columns.index(source), [df.columns.index(c) for c in keep], isinstance(kind, T.BinaryType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = getattr(codec(path), what)
@@ -189,10 +189,11 @@ def _mapped(df: DataFrame, source: str, path: str, what: str, kind: T.DataType)
                 held += len(values[-1])
                 if held >= BATCH or i == b.num_rows:
                     made = pa.array(values, pa.binary() if binary else pa.string())
-                    yield pa.RecordBatch.from_arrays([*b.slice(start, i - start).columns, made], names=[*b.schema.names, "_out"])
+                    part = b.slice(start, i - start)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), made], names=[*keep, "_out"])
                     values, start, held = [], i, 0
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("_out", kind)]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[k] for k in kept), T.StructField("_out", kind)]))
 
 
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,11 +204,11 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     any type, null or repeated (a row each); an empty table gives an empty one; other columns are not read. Nothing is shuffled.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.encode(F.col(text).cast("string"), "UTF-8").alias("_text"))
-    out = _mapped(own, "_text", path, "encode", T.BinaryType())
+    out = _mapped(own, "_text", path, "encode", T.BinaryType(), ["doc_id"])
     return out.select("doc_id", (F.octet_length("_out") / 4).cast("long").alias("n_tokens"), F.col("_out").alias("ids"))
 
 
 def decoded(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """`tokens` with decoded, the text of the ids with special tokens, instead of any column so named; null ids give an empty text."""
     own = tokens.select(*(F.col(f"`{c}`") for c in tokens.columns if c.lower() != "decoded"))
-    return _mapped(own, ids, path, "decode", T.StringType()).withColumnRenamed("_out", "decoded")
+    return _mapped(own, ids, path, "decode", T.StringType(), own.columns).withColumnRenamed("_out", "decoded")
