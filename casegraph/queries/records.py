@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.prefix import numbered
-from ..operators.store import written
-from ..plans import dossier, ledger, resolve
+from ..operators.store import shared_dir, written
+from ..plans import dossier, ledger, mountains, resolve
 from ..streaming import watches as W
 from . import Tables, query
 
@@ -103,21 +105,36 @@ def payload_hashes(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2("text", 256).alias("payload_hash"))
 
 
-@query("with recursive l as (select row_number() over (order by doc_id) - 1 i, sha256(text) h from documents), r(lv, i, h) as (select 0, i, h from l union all select lv + 1, i // 2, case when count(*) = 2 then sha256(min(case when i % 2 = 0 then h end) || max(case when i % 2 = 1 then h end)) else sha256(max(h) || max(h)) end from r where lv < 14 group by lv, i // 2) select h root from r where lv = (select cast(ceil(log2(count(*))) as int) from documents) and i = 0")
+MERKLE = "with recursive l as (select row_number() over (order by doc_id) - 1 i, sha256(text) h from documents), r(lv, i, h) as (select 0, i, h from l union all select lv + 1, i // 2, case when count(*) = 2 then sha256(min(case when i % 2 = 0 then h end) || max(case when i % 2 = 1 then h end)) else sha256(max(h) || max(h)) end from r where lv < 14 group by lv, i // 2) select h root from r where lv = (select cast(ceil(log2(count(*))) as int) from documents) and i = 0"
+
+
+@query(MERKLE)
 def merkle_root(t: Tables) -> DataFrame:
     leaves = numbered(t.documents.select("doc_id", F.sha2("text", 256).alias("hash")), ["doc_id"]).select("i", "hash")
     return t.spark.createDataFrame([(ledger.merkle_root(written(leaves, "leaves")),)], "root string")
 
 
-@query("select 17::bigint as index, 'content' why union all select 40, 'link'")
+@query(MERKLE.replace("select h root", "select 0 + (select count(*) from documents) entries, h root"))
+def append_only_log(t: Tables) -> DataFrame:
+    """The same tree as an append-only log, in two appends: its length and its root from the peaks."""
+    folder = f"{shared_dir(t.spark)}/casegraph/log-{uuid.uuid4().hex}"
+    leaves = t.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
+    middle = leaves.agg(F.floor((F.min("doc_id") + F.max("doc_id")) / 2).alias("m"))
+    both = leaves.crossJoin(F.broadcast(middle))  # one row
+    mountains.append(both.where("doc_id <= m"), folder, ["doc_id"])
+    n = mountains.append(both.where("doc_id > m"), folder, ["doc_id"])
+    return t.spark.createDataFrame([(n, mountains.root(t.spark, folder))], "entries long, root string")
+
+
+@query("select 7::bigint as index, 'content' why union all select 20, 'link'")
 def chain_verify(t: Tables) -> DataFrame:
-    rows = ledger.append([{"timestamp": f"2024-01-01T00:00:{i:02d}", "actor": "a", "action": "ADD", "subject_type": "doc", "subject_id": str(i), "payload": {"n": i}} for i in range(60)], None)
-    rows[17]["detail"] = "changed"
-    rows[40]["previous_hash"] = "0" * 64
-    rows[40]["entry_hash"] = ledger.entry_hash(rows[40])
-    rows[41]["previous_hash"] = rows[40]["entry_hash"]
-    for i in range(41, 60):
-        rows[i]["previous_hash"] = rows[i - 1]["entry_hash"]
+    """A ledger of the nations, two entries of which are changed. A chain is made entry by entry, so the table is a small one."""
+    nations = t.nation.orderBy("n_nationkey").limit(25).collect()
+    rows = ledger.append([{"timestamp": f"2024-01-01T00:00:{r['n_nationkey']:02d}", "actor": "a", "action": "ADD", "subject_type": "nation", "subject_id": str(r["n_nationkey"]), "payload": {"name": r["n_name"]}} for r in nations], None)
+    rows[7]["detail"] = "changed"
+    rows[20]["previous_hash"] = "0" * 64
+    for i in range(20, len(rows)):
+        rows[i]["previous_hash"] = rows[i]["previous_hash"] if i == 20 else rows[i - 1]["entry_hash"]
         rows[i]["entry_hash"] = ledger.entry_hash(rows[i])
     return ledger.broken(t.spark.createDataFrame(rows))
 
