@@ -149,9 +149,15 @@ def jaccard_sets(t: Tables) -> DataFrame:
 
 @query("""with p as (select p_partkey, p_name, substr(lower(p_name), 1, 6) block, p_brand from part) select x.p_partkey a, y.p_partkey b, cast(levenshtein(x.p_name, y.p_name) as int) d from p x join p y on x.block = y.block and x.p_brand = y.p_brand and x.p_partkey < y.p_partkey where levenshtein(x.p_name, y.p_name) <= 2""")
 def fuzzy_block_match(t: Tables) -> DataFrame:
+    """Distances are taken between different names of a block and brand; their parts come after, so that copies of a name are not compared again."""
     p = t.part.select("p_partkey", "p_name", F.substring(F.lower("p_name"), 1, 6).alias("block"), "p_brand")
-    x, y = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na"), "block", "p_brand"), p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"), "block", "p_brand")
-    return x.join(y, ["block", "p_brand"]).where("a < b").select("a", "b", F.levenshtein("na", "nb").alias("d")).where("d <= 2")
+    names = p.select("p_name", "block", "p_brand").distinct()
+    x, y = names.withColumnRenamed("p_name", "na"), names.withColumnRenamed("p_name", "nb")
+    near = x.join(y, ["block", "p_brand"]).select("na", "nb", "p_brand", F.levenshtein("na", "nb").alias("d")).where("d <= 2")
+    a, b = (p.select(F.col("p_partkey").alias(k), F.col("p_name").alias(f"n{k}"), "p_brand") for k in "ab")
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes make many pairs, so they are not coalesced by size
+    left = near.join(a, ["na", "p_brand"]).repartition(n, "nb", "p_brand")
+    return left.join(b.repartition(n, "nb", "p_brand").hint("merge"), ["nb", "p_brand"]).where("a < b").select("a", "b", "d")
 
 
 @query()
