@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import spread_join
-from ..operators.store import fresh_name, written
+from ..operators.store import dropped, fresh_name, written
 from ..operators.components import components
 from ._words import SPACE, mixed, rolled, sliced
 
@@ -131,20 +131,19 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 # --- similarity above a threshold ---
 #
-# A radius of three bits holds copies that differ in few words of many. All texts of a shingle similarity of `least` or more are
-# found by a prefix-filtered set join, which loses none: with all shingles in one order, two such texts share one of their first
+# Texts whose fingerprints link come first, by the anchors, and stay linked if their shingles are similar enough. A radius of three bits holds
+# copies that differ in few words of many. The other texts of a shingle similarity of `least` or more are found by a prefix-filtered
+# set join of what the fingerprints have not joined yet, which loses none: with all shingles in one order, two such texts share one of their first
 # n - ceil(least * n) + 1 shingles, where n is the size of the set. Any order is right; shingles that a sample shows to be common
 # come last, so that they are seldom among the first. Lengths and positions bound the overlap further. A group of n copies is not
-# compared n * n times: texts are first compared with a few pivots of each shingle, then those outside the largest component of a
-# shingle with one member of it, in turns, and at last all pairs that share a shingle and are not in one component yet. There, a sketch of the set bounds the difference: its bits are the parities of the shingles of each of
+# compared n * n times: after the fingerprints' links, texts outside the largest component of a shingle are compared with one member of it, in turns, and at last all pairs that share a shingle and are not in one component yet. There, a sketch of the set bounds the difference: its bits are the parities of the shingles of each of
 # 512 classes, so two sketches differ in no more bits than the sets in shingles. Candidates are verified by the exact Jaccard similarity
 # of their shingle sets.
 
 SAMPLE_TEXTS = 50_000
 COMMON = 50_000
 SKETCH = 8
-PIVOTS = 4
-TURNS = 1
+TURNS = 2
 TASK_PAIRS = 2_000_000
 BROADCAST_TEXTS = 500_000
 _LANES = np.uint64(0x0101010101010101)
@@ -257,13 +256,14 @@ def possible(least: float) -> Column:
     return (F.least(nx, ny) >= least * F.greatest(nx, ny) - 1e-6) & (most * (1 + least) >= least * (nx + ny) - 1e-6)
 
 
-def pivot_pairs(placed: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: each text of `placed`, as of shared(), with one text of each of its shingles. Shingles choose by one of PIVOTS orders,
-    so that those of one group choose few texts."""
-    by = F.xxhash64("id", F.pmod("key", F.lit(PIVOTS)))
-    pivot = placed.groupBy("key").agg(F.min_by(F.struct("id", "size", "pos"), F.struct(by, "id")).alias("p")).select("key", "p.*")
-    met = placed.alias("x").join(pivot.alias("y"), "key").where((F.col("x.id") != F.col("y.id")) & possible(least))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def anchor_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b: each of `prints` (id, fp) with the smallest id of its fingerprint, and those of fingerprints that link by their anchors."""
+    first = written(prints.groupBy("fp").agg(F.min("id").alias("one"), F.count("*").alias("n")), "distinct")
+    total = first.agg(F.sum("n")).head()[0] or 0
+    same = spread_join(prints, first.select("fp", "one"), "fp", first.select("fp", "n"), total, F.xxhash64("id")).where("id <> one")
+    x, y = (first.select(F.col("fp").alias(k), F.col("one").alias(f"one_{k}")) for k in "ab")
+    across = links(first).join(x, "a").join(y, "b").select(F.least("one_a", "one_b").alias("a"), F.greatest("one_a", "one_b").alias("b"))
+    return same.select(F.col("one").alias("a"), F.col("id").alias("b")).unionByName(across)
 
 
 def unlike(placed: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,23 +282,29 @@ def near(least: float) -> Column:
     return apart * (1 + least) <= (1 - least) * (F.col("x.size") + F.col("y.size")) + 1e-6
 
 
+def alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose sketches let the similarity reach `least`."""
+    both = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
+    return both.where(near(least)).select("a", "b")
+
+
 def outsider_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float, turn: int) -> DataFrame:
     """(a, b), a < b: of each shingle, the texts outside its largest component, each with one text of that component, which shingle and
     turn choose: no more pairs than rows, and a text with many shingles meets many members of a group."""
     left, count = unlike(placed, nodes)
     both = left.join(count.select("key", F.col("main.of").alias("main")), "key")
-    member = both.where("of = main").groupBy("key").agg(F.min_by(F.struct("id", "size", "pos"), F.struct(F.xxhash64("id", "key", F.lit(turn)), "id")).alias("p")).select("key", "p.*").join(sketches, "id")
-    met = both.where("of <> main").join(sketches, "id").alias("x").join(member.alias("y"), "key").where(possible(least) & near(least))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    member = both.where("of = main").groupBy("key").agg(F.min_by(F.struct("id", "size", "pos"), F.struct(F.xxhash64("id", "key", F.lit(turn)), "id")).alias("p")).select("key", "p.*")
+    met = both.where("of <> main").alias("x").join(member.alias("y"), "key").where(possible(least))
+    return alike(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), sketches, least)
 
 
 def other_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: all pairs of `placed` that share a shingle and are not in one component of `nodes` (node, component) yet. For each
-    shingle, the texts outside its largest component are compared with all others; where these are many, in several tasks. sketches: (id, q0, q1, ...)."""
+    shingle, the texts outside its largest component are compared with all others; where these are many, in several tasks. sketches: (id, size, q0, q1, ...)."""
     left, count = unlike(placed, nodes)
     work = (F.col("n") - F.col("main.n")).cast("double") * F.col("n") / TASK_PAIRS
     count = count.select("key", F.col("main.of").alias("main"), F.least(F.ceil(work), F.col("n")).cast("int").alias("parts"))
-    both = left.join(count, "key").join(sketches, "id")
+    both = left.join(count, "key").join(sketches.drop("size"), "id")
     x = both.where("of <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     y = both.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     once = (F.col("y.of") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
@@ -341,7 +347,8 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for b in batches:
             s = shingle_sets(b.column(2), k)
             size, q = np.array([len(x) // 8 for x in s], np.int32), np.array([parities(x) for x in s], np.int64).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(prefixes(s, least, common), pa.binary()), *(pa.array(q[:, i].copy()) for i in range(SKETCH))], names=["doc_id", "digest", "size", "prefix", *longs])
+            fp = np.array([fingerprint(x.as_py(), k) for x in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(prefixes(s, least, common), pa.binary()), pa.array(fp), *(pa.array(q[:, i].copy()) for i in range(SKETCH))], names=["doc_id", "digest", "size", "prefix", "fp", *longs])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,23 +361,27 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             used = F.broadcast(used)
         s = own.join(used, ["doc_id", "digest"]).select(F.col("node").alias("id"), "text").mapInArrow(sets, "id long, s binary")
         s = written(s.groupBy("id").agg(F.first("s").alias("s")), "sets")  # rows that repeat
-        return written(verified(pairs, s, least), "similar")
+        out = written(verified(pairs, s, least), "similar")
+        dropped(s)
+        return out
 
     spark = docs.sparkSession
     longs = [f"q{i}" for i in range(SKETCH)]
     # the sample only orders the shingles
     part = max(1, docs.count() // SAMPLE_TEXTS)
     common = common_shingles(own.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).dropDuplicates(["digest"]), k)
-    rows = written(own.mapInArrow(printed, "doc_id long, digest binary, size int, prefix binary, " + ", ".join(f"{q} long" for q in longs)), "prints")
-    first = written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(q).alias(q) for q in longs)), "distinct")
-    rows = rows.select("doc_id", "digest")
-    named = first.select("digest", "id", "n", F.xxhash64("digest").alias("node"))
-    placed = written(shared(first.select(F.xxhash64("digest").alias("id"), "size", "prefix")), "shared")
-    sketches = first.select(F.xxhash64("digest").alias("id"), *longs)
-    first = first.select("digest", "id", "n")
-    pairs = written(pivot_pairs(placed, least), "pivots")
+    prints = written(own.mapInArrow(printed, "doc_id long, digest binary, size int, prefix binary, fp long, " + ", ".join(f"{q} long" for q in longs)), "prints")
+    rows = written(prints.select("doc_id", "digest"), "rows")
+    texts = written(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "prefix", "fp", *longs))), "distinct")
+    dropped(prints)
+    first = texts.select("digest", "id", "n")
+    node = F.xxhash64("digest").alias("id")
+    named = first.select("digest", "id", "n", node.alias("node"))
+    sketches = texts.select(node, "size", *longs)
+    pairs = written(alike(anchor_pairs(texts.where("size > 0").select(node, "fp")), sketches, least), "anchored")
     links = pairs if pairs.isEmpty() else similar(pairs)
     nodes = spark.createDataFrame([], "node long, component long") if links.isEmpty() else written(components(links), "nodes")
+    placed = written(shared(texts.select(node, "size", "prefix")), "shared")
     for turn in range(TURNS):  # linear rounds first: what they join is not compared again
         more = written(outsider_pairs(placed, nodes, sketches, least, turn).join(pairs, ["a", "b"], "left_anti"), "outsiders")
         if more.isEmpty():
@@ -380,6 +391,7 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             links = links.union(found)
             nodes = written(components(links), "nodes")
     rest = written(other_pairs(placed, nodes, sketches, least).join(pairs, ["a", "b"], "left_anti"), "met")
+    dropped(placed)
     if not rest.isEmpty() and not (found := similar(rest)).isEmpty():
         nodes = components(links.union(found))
     linked = nodes.join(named, "node").select("digest", "component", "id")
