@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,29 +135,46 @@ def fit_rows(texts: list[str | None] | pa.Array, grades: np.ndarray, grade_count
 
 def fit(docs: DataFrame, ratings: DataFrame, grade_count: int, doc_id: str = "doc_id", text: str = "text", per_grade: int = 1500, longest: int = 50_000, **options) -> Model:
     """Fits on a bounded sample: about `per_grade` rated documents of each grade, drawn by a hash of their id among those of
-    at most `longest` bytes; equal texts count once. `ratings`: doc_id, grade (0 .. grade_count - 1; other and null
+    at most `longest` bytes; equal texts count once. The sample is fitted in one task, the driver gets the weights only. `ratings`: doc_id, grade (0 .. grade_count - 1; other and null
     grades are left out)."""
     rated = ratings.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("_grade")).where(F.col("_grade").between(0, grade_count - 1))
     counts = {r["_grade"]: r["n"] for r in rated.groupBy("_grade").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Model(np.zeros(SIZE, np.float32), np.linspace(-1, 1, grade_count - 1) if grade_count > 2 else np.zeros(1))
+        return _weightless(grade_count)
     share = F.lit(0.0)
     for grade, n in counts.items():
         share = F.when(F.col("_grade") == grade, min(1.0, per_grade / n)).otherwise(share)
     unit = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
     picked = rated.where(unit < share)  # about per_grade * grade_count rows
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where(F.octet_length("_text") <= longest)
-    rows = own.join(F.broadcast(picked), "_id").select("_id", "_grade", "_text").toArrow().sort_by([("_id", "ascending"), ("_grade", "ascending")])
-    first = {t.as_py(): i for i, t in reversed(list(enumerate(rows["_text"])))}  # equal texts: the first
-    rows = rows.take(pa.array(sorted(first.values()), pa.int64()))
-    del first
-    of = rows["_grade"].to_numpy().astype(np.int64)
-    # a grade that was thinned out counts for all its documents
-    weight_of = [counts.get(j, 0) / max((of == j).sum(), 1) for j in range(grade_count)]
-    model = fit_rows(rows["_text"], of, grade_count, weight_of, **options)
-    del rows
-    pa.default_memory_pool().release_unused()
-    return model
+    rows = own.join(F.broadcast(picked), "_id").select("_id", "_grade", "_text")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (parts := [b for b in batches if b.num_rows]):
+            return
+        rows = pa.Table.from_batches(parts).sort_by([("_id", "ascending"), ("_grade", "ascending")])
+        first = {t.as_py(): i for i, t in reversed(list(enumerate(rows["_text"])))}  # equal texts: the first
+        rows = rows.take(pa.array(sorted(first.values()), pa.int64()))
+        del first
+        of = rows["_grade"].to_numpy().astype(np.int64)
+        # a grade that was thinned out counts for all its documents
+        weight_of = [counts.get(j, 0) / max((of == j).sum(), 1) for j in range(grade_count)]
+        model = fit_rows(rows["_text"], of, grade_count, weight_of, **options)
+        at = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([model.weights[at].tolist()], pa.list_(pa.float32())), pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))], names=["at", "weights", "thresholds"])
+
+    found = rows.repartition(1).mapInArrow(fitted, "at array<long>, weights array<float>, thresholds array<double>").collect()
+    return _restored(found[0]) if found else _weightless(grade_count)
+
+
+def _weightless(grade_count: int) -> Model:
+    return Model(np.zeros(SIZE, np.float32), np.linspace(-1, 1, grade_count - 1) if grade_count > 2 else np.zeros(1))
+
+
+def _restored(row: Row) -> Model:
+    weights = np.zeros(SIZE, np.float32)
+    weights[np.array(row["at"], np.int64)] = np.array(row["weights"], np.float32)
+    return Model(weights, np.array(row["thresholds"]))
 
 
 def scores(column: pa.Array, model: Model, useful: np.ndarray) -> np.ndarray:
