@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import spread_join
-from ..operators.store import dropped, fresh_name, written
-from ..operators.components import components
+from ..operators.store import dropped, fresh_name, settled, written
+from ..operators.components import components, joined
 from ._words import SPACE, mixed, rolled, sliced
 
 RADIUS = 3
@@ -226,8 +226,10 @@ def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
             break
         lowest = r["count"]
     if lowest is None:
+        dropped(counts)
         return np.zeros(0, np.uint64)
     rows = counts.where(F.col("count") >= lowest).toArrow()
+    dropped(counts)
     h, n = rows.column("h").to_numpy(), rows.column("count").to_numpy()
     return h[np.lexsort((h, n))].view(np.uint64)
 
@@ -361,9 +363,7 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             used = F.broadcast(used)
         s = own.join(used, ["doc_id", "digest"]).select(F.col("node").alias("id"), "text").mapInArrow(sets, "id long, s binary")
         s = written(s.groupBy("id").agg(F.first("s").alias("s")), "sets")  # rows that repeat
-        out = written(verified(pairs, s, least), "similar")
-        dropped(s)
-        return out
+        return verified(pairs, s, least)
 
     spark = docs.sparkSession
     longs = [f"q{i}" for i in range(SKETCH)]
@@ -378,22 +378,33 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     node = F.xxhash64("digest").alias("id")
     named = first.select("digest", "id", "n", node.alias("node"))
     sketches = texts.select(node, "size", *longs)
-    pairs = written(alike(anchor_pairs(texts.where("size > 0").select(node, "fp")), sketches, least), "anchored")
-    links = pairs if pairs.isEmpty() else similar(pairs)
-    nodes = spark.createDataFrame([], "node long, component long") if links.isEmpty() else written(components(links), "nodes")
+    pairs = settled(lambda: alike(anchor_pairs(texts.where("size > 0").select(node, "fp")), sketches, least), "anchored")
+    tested, nodes = [pairs], spark.createDataFrame([], "node long, component long")
+    if not pairs.isEmpty():
+        links = settled(lambda: similar(pairs), "similar")
+        nodes = settled(lambda: components(links), "nodes")
+        dropped(links)
     placed = written(shared(texts.select(node, "size", "prefix")), "shared")
+
+    def with_links(nodes: DataFrame, more: DataFrame) -> DataFrame:
+        found = settled(lambda: similar(more), "similar")
+        if found.isEmpty():
+            return nodes
+        out = settled(lambda: joined(nodes, found, BROADCAST_TEXTS), "nodes")
+        dropped(found, nodes)
+        return out
+
     for turn in range(TURNS):  # linear rounds first: what they join is not compared again
-        more = written(outsider_pairs(placed, nodes, sketches, least, turn).join(pairs, ["a", "b"], "left_anti"), "outsiders")
+        more = settled(lambda: outsider_pairs(placed, nodes, sketches, least, turn).join(pairs, ["a", "b"], "left_anti"), "outsiders")
         if more.isEmpty():
             break
-        pairs, found = pairs.union(more), similar(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            nodes = written(components(links), "nodes")
-    rest = written(other_pairs(placed, nodes, sketches, least).join(pairs, ["a", "b"], "left_anti"), "met")
+        tested.append(more)
+        pairs, nodes = pairs.union(more), with_links(nodes, more)
+    rest = settled(lambda: other_pairs(placed, nodes, sketches, least).join(pairs, ["a", "b"], "left_anti"), "met")
     dropped(placed)
-    if not rest.isEmpty() and not (found := similar(rest)).isEmpty():
-        nodes = components(links.union(found))
+    if not rest.isEmpty():
+        nodes = with_links(nodes, rest)
+    dropped(*tested, rest)
     linked = nodes.join(named, "node").select("digest", "component", "id")
     smallest = linked.groupBy("component").agg(F.min("id").alias("component_id"))
     of = first.join(linked.join(smallest, "component").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
