@@ -389,6 +389,7 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def with_links(nodes: DataFrame, more: DataFrame) -> DataFrame:
         found = settled(lambda: similar(more), "similar")
         if found.isEmpty():
+            dropped(found)
             return nodes
         out = settled(lambda: joined(nodes, found, BROADCAST_TEXTS), "nodes")
         dropped(found, nodes)
@@ -396,9 +397,9 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     for turn in range(TURNS):  # linear rounds first: what they join is not compared again
         more = settled(lambda: outsider_pairs(placed, nodes, sketches, least, turn).join(pairs, ["a", "b"], "left_anti"), "outsiders")
+        tested.append(more)
         if more.isEmpty():
             break
-        tested.append(more)
         pairs, nodes = pairs.union(more), with_links(nodes, more)
     rest = settled(lambda: other_pairs(placed, nodes, sketches, least).join(pairs, ["a", "b"], "left_anti"), "met")
     dropped(placed)
