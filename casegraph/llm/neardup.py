@@ -290,14 +290,15 @@ def alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return both.where(near(least)).select("a", "b")
 
 
-def outsider_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float, turn: int) -> DataFrame:
-    """(a, b), a < b: of each shingle, the texts outside its largest component, each with one text of that component, which shingle and
+def outsider_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float, turn: int, pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b, not in `pairs`: of each shingle, the texts outside its largest component, each with one text of that component, which shingle and
     turn choose: no more pairs than rows, and a text with many shingles meets many members of a group."""
     left, count = unlike(placed, nodes)
     both = left.join(count.select("key", F.col("main.of").alias("main")), "key")
     member = both.where("of = main").groupBy("key").agg(F.min_by(F.struct("id", "size", "pos"), F.struct(F.xxhash64("id", "key", F.lit(turn)), "id")).alias("p")).select("key", "p.*")
     met = both.where("of <> main").alias("x").join(member.alias("y"), "key").where(possible(least))
-    return alike(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), sketches, least)
+    new = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return alike(new, sketches, least)
 
 
 def other_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -396,7 +397,7 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return out
 
     for turn in range(TURNS):  # linear rounds first: what they join is not compared again
-        more = settled(lambda: outsider_pairs(placed, nodes, sketches, least, turn).join(pairs, ["a", "b"], "left_anti"), "outsiders")
+        more = settled(lambda: outsider_pairs(placed, nodes, sketches, least, turn, pairs), "outsiders")
         tested.append(more)
         if more.isEmpty():
             break
