@@ -137,8 +137,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 # n - ceil(least * n) + 1 shingles, where n is the size of the set. Any order is right; shingles that a sample shows to be common
 # come last, so that they are seldom among the first. Lengths and positions bound the overlap further. A group of n copies is not
 # compared n * n times: after the fingerprints' links, texts outside the largest component of a shingle are compared with one member of it, in turns, and at last all pairs that share a shingle and are not in one component yet. There, a sketch of the set bounds the difference: its bits are the parities of the shingles of each of
-# 512 classes, so two sketches differ in no more bits than the sets in shingles. Candidates are verified by the exact Jaccard similarity
-# of their shingle sets.
+# 512 classes, so two sketches differ in no more bits than the sets in shingles. Of long texts so few classes say nothing: they have a second sketch
+# of as many classes as shingles, which candidates have to pass before sets are made. What is left is verified by the exact Jaccard similarity of
+# the shingle sets.
 
 SAMPLE_TEXTS = 50_000
 COMMON = 50_000
@@ -211,6 +212,24 @@ def parities(s: bytes) -> np.ndarray:
     return np.packbits((n & 1).astype(np.uint8)).view("<i8")
 
 
+def wide(s: bytes) -> bytes:
+    """The sketch of a set of more shingles than parities() has bits: parities of at least as many classes, a power of two; empty for other sets."""
+    n = len(s) // 8
+    if n <= 64 * SKETCH:
+        return b""
+    classes = 1 << (n - 1).bit_length()
+    return np.packbits((np.bincount(np.frombuffer(s, "<u8").astype(np.int64) & (classes - 1), minlength=classes) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches of wide() differ, at most as many as the sets in shingles; the longer one is folded to the classes of the other."""
+    if not x or not y:
+        return 0
+    n = min(len(x), len(y))
+    p, q = (np.bitwise_xor.reduce(np.frombuffer(w, np.uint8).reshape(-1, n), axis=0) for w in (x, y))
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
     """Hashes of shingles that three or more of `texts` (column text) hold, the rarest first; at most COMMON of the commonest."""
 
@@ -290,6 +309,19 @@ def alike(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return both.where(near(least)).select("a", "b")
 
 
+def finer(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose wide sketches let the similarity reach `least`. sketches: (id, size, wide)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (1 - least) * b.column(4).to_numpy(zero_copy_only=False) + 1e-6
+            bits = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)], np.int64)
+            yield b.select([0, 1]).filter(pa.array(bits * (1 + least) <= most, pa.bool_()))
+
+    both = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
+    return both.select("a", "b", F.col("x.wide").alias("w1"), F.col("y.wide").alias("w2"), (F.col("x.size") + F.col("y.size")).alias("sizes")).mapInArrow(run, "a long, b long")
+
+
 def outsider_pairs(placed: DataFrame, nodes: DataFrame, sketches: DataFrame, least: float, turn: int, pairs: DataFrame) -> DataFrame:
     """(a, b), a < b, not in `pairs`: of each shingle, the texts outside its largest component, each with one text of that component, which shingle and
     turn choose: no more pairs than rows, and a text with many shingles meets many members of a group."""
@@ -351,13 +383,14 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             s = shingle_sets(b.column(2), k)
             size, q = np.array([len(x) // 8 for x in s], np.int32), np.array([parities(x) for x in s], np.int64).reshape(-1, SKETCH)
             fp = np.array([fingerprint(x.as_py(), k) for x in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(prefixes(s, least, common), pa.binary()), pa.array(fp), *(pa.array(q[:, i].copy()) for i in range(SKETCH))], names=["doc_id", "digest", "size", "prefix", "fp", *longs])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size), pa.array(prefixes(s, least, common), pa.binary()), pa.array([wide(x) for x in s], pa.binary()), pa.array(fp), *(pa.array(q[:, i].copy()) for i in range(SKETCH))], names=["doc_id", "digest", "size", "prefix", "wide", "fp", *longs])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shingle_sets(b.column(1), k), pa.binary())], names=["id", "s"])
 
     def similar(pairs: DataFrame) -> DataFrame:
+        pairs = written(finer(pairs, texts.select(node, "size", "wide"), least), "finer")
         used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(named, "node").select("node", F.col("id").alias("doc_id"), "digest")
         used = written(used, "used")
         if used.count() <= BROADCAST_TEXTS:
@@ -371,9 +404,9 @@ def similar_clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # the sample only orders the shingles
     part = max(1, docs.count() // SAMPLE_TEXTS)
     common = common_shingles(own.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).dropDuplicates(["digest"]), k)
-    prints = written(own.mapInArrow(printed, "doc_id long, digest binary, size int, prefix binary, fp long, " + ", ".join(f"{q} long" for q in longs)), "prints")
+    prints = written(own.mapInArrow(printed, "doc_id long, digest binary, size int, prefix binary, wide binary, fp long, " + ", ".join(f"{q} long" for q in longs)), "prints")
     rows = written(prints.select("doc_id", "digest"), "rows")
-    texts = written(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "prefix", "fp", *longs))), "distinct")
+    texts = written(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("size", "prefix", "wide", "fp", *longs))), "distinct")
     dropped(prints)
     first = texts.select("digest", "id", "n")
     node = F.xxhash64("digest").alias("id")
